@@ -33,6 +33,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -44,5 +50,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op6_toxicity": op6_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_extract": op9_html_extract,
 }

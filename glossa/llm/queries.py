@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,23 @@ def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+#: A vocabulary file of a public tokenizer; None takes the one that is installed.
+SENTENCEPIECE_MODEL: str | None = None
+
+
+def sentencepiece_model():
+    from .sentencepiece_codec import load_model
+
+    path = SENTENCEPIECE_MODEL or os.environ.get("GLOSSA_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+    return load_model(path)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_codec import encode
+
+    return encode(table(spark, sf_dir, "documents"), sentencepiece_model())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -59,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_extract": op9_html_extract,
+    "op10_sentencepiece": op10_sentencepiece,
 }

@@ -25,4 +25,26 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(it.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(it.items, '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
     """,
+    "op5_line_dedup": r"""
+        WITH l AS (SELECT doc_id, i - 1 AS line_no, trim(parts[i], e' \t\r\f\x0B') AS line
+                   FROM (SELECT doc_id, string_split(coalesce(text, ''), e'\n') AS parts, unnest(range(1, len(string_split(coalesce(text, ''), e'\n')) + 1)) AS i FROM documents)),
+             d AS (SELECT line, length(line) AS n, min({'d': doc_id, 'k': line_no}) AS first FROM l WHERE line <> '' GROUP BY line),
+             near AS (SELECT a.line, min(b.first) AS near FROM d a JOIN d b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first
+                      WHERE a.n >= 20 AND b.n >= 20 AND (a.line[: a.n // 2] = b.line[: a.n // 2] OR a.line[a.n // 2 + 2 :] = b.line[b.n - a.n + a.n // 2 + 2 :])
+                        AND levenshtein(a.line, b.line) <= 1 GROUP BY a.line),
+             gone AS (SELECT l.doc_id, list_sort(list(CAST(l.line_no AS INTEGER))) AS dropped, count(*) AS n FROM l JOIN d USING (line) LEFT JOIN near USING (line)
+                      WHERE least(d.first, coalesce(near.near, d.first)) < {'d': l.doc_id, 'k': l.line_no} GROUP BY l.doc_id)
+        SELECT s.doc_id, CAST(len(string_split(coalesce(s.text, ''), e'\n')) AS BIGINT) AS n_lines, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_dropped,
+               coalesce(gone.dropped, CAST([] AS INTEGER[])) AS dropped
+        FROM documents s LEFT JOIN gone USING (doc_id)
+    """,
+    "op7_chat_format": r"""
+        WITH u AS (SELECT * FROM conversations WHERE role = 'user'), a AS (SELECT * FROM conversations WHERE role = 'assistant'),
+             m AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, u.turn AS turn, u.conv_id IS NOT NULL AS called, a.conv_id IS NOT NULL AS answered,
+                          '{"arguments":{"prompt":' || to_json(u.text) || ',"turn":' || u.turn || '},"errors":[],"id":"t:' || u.turn || '","name":"chat.reply","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS body
+                   FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn - 1)
+        SELECT conv_id, count(*) FILTER (called) AS n_calls, count(*) FILTER (called AND answered) AS n_linked, count(*) FILTER (NOT called) AS n_orphans,
+               CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_cyclic, '{"calls":[' || coalesce(string_agg(body, ',' ORDER BY turn) FILTER (called), '') || ']}' AS json
+        FROM m GROUP BY conv_id
+    """,
 }

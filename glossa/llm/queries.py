@@ -34,12 +34,24 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import conversations_as_calls, link_tools
+
+    return link_tools(*conversations_as_calls(table(spark, sf_dir, "conversations")))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import report
 
@@ -74,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_dedup": op4_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
+    "op7_chat_format": op7_chat_format,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_extract": op9_html_extract,
     "op10_sentencepiece": op10_sentencepiece,

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_values, mix64, partitions_for, spans, string_buffers, text_or_empty
+from .common import Rolling, byte_values, cut, mix64, partitions_for, spans, string_buffers, text_or_empty
 
 LENGTH, KMER = 200, 40
 #: Different runs of one anchor that one bucket sorts, at most.
@@ -140,12 +140,17 @@ def sort_buckets(segments: DataFrame, length: int) -> DataFrame:
         return owner, offset, flag, anchors, bodies
 
     def run(batches):
-        waiting, size, last = [], 0, None
+        waiting, size, last, seen = [], 0, None, set()
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "body", "copies", "blob"))):
-                if size > STEP_BYTES and row[0] != last:
-                    yield from flagged_spans(*settle(waiting))
-                    waiting, size = [], 0
+                if row[0] != last:
+                    if size > STEP_BYTES:
+                        yield from flagged_spans(*settle(waiting))
+                        waiting, size = [], 0
+                    seen = set()
+                if row[1] in seen:
+                    continue
+                seen.add(row[1])
                 waiting.append(row)
                 size, last = size + len(row[3]), row[0]
         if waiting:
@@ -195,20 +200,21 @@ def window_rows(segments: DataFrame, length: int) -> DataFrame:
     return segments.mapInArrow(run, "hash long, anchor long, body long, offset int, copies long")
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, kmer: int = KMER, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """key, xx, spans: for each row with repeated windows, the starts (first, last) of their unbroken sequences."""
+def repeated_spans(rows: DataFrame, dealt: DataFrame, length: int = LENGTH, kmer: int = KMER, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """key, xx, spans: for each row with repeated windows, the starts (first, last) of their unbroken sequences.  dealt: rows, partitioned by key and xx."""
     parts = partitions_for(rows)
-    bodies = run_table(rows, length, kmer, False).groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("copies"))
-    anchors = bodies.groupBy("anchor").agg(F.count(F.lit(1)).alias("bodies"), F.sum("copies").alias("runs")).where("runs > 1")
-    runs = run_table(rows, length, kmer, True).join(anchors.select("anchor", "bodies"), "anchor")
+    anchors = run_table(rows, length, kmer, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("runs"), F.min("body").alias("lo"), F.max("body").alias("hi"))
+    anchors = anchors.where("runs > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"))
     first, width, lead = F.shiftright("packed", 16), F.shiftright("packed", 8).bitwiseAND(F.lit(255)), F.col("packed").bitwiseAND(F.lit(255))
-    runs = runs.select("anchor", "body", "bodies", "key", "xx", first.alias("first"), width.alias("width"), lead.alias("lead"))
-    whole = runs.where("bodies = 1").select("key", "xx", F.col("first").alias("a"), (F.col("first") + F.col("width")).alias("b"))
+    runs = cut(run_table(rows, length, kmer, True).join(anchors, "anchor").select("anchor", "body", "mixed", "key", "xx", "packed"))
+    runs = runs.select("anchor", "body", "mixed", "key", "xx", first.alias("first"), width.alias("width"), lead.alias("lead"))
+    whole = runs.where("not mixed").select("key", "xx", F.col("first").alias("a"), (F.col("first") + F.col("width")).alias("b"))
 
     # One copy of each different run whose anchor stands in several, with its bytes.
-    mixed = runs.where("bodies > 1")
-    one = mixed.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "xx", "first", "width", "lead", "bodies")).alias("at")).select("anchor", "body", "copies", "at.*")
-    texts = rows.select("key", "xx", "text").dropDuplicates(["key", "xx"])
+    mixed = runs.where("mixed")
+    one = mixed.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "xx", "first", "width", "lead")).alias("at")).select("anchor", "body", "copies", "at.*")
+    one = cut(one)
+    one = one.join(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("bodies")), "anchor")
     wanted = one.groupBy("key", "xx").agg(F.collect_list(F.struct("anchor", "body", "copies", "first", "width", "lead", "bodies")).alias("runs"))
 
     def slices(batches):
@@ -222,10 +228,11 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, kmer: int = KMER, max_
             leads = [b[k : k + 16] for b, k in zip(blobs, get("lead").tolist())]
             yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("body"), flat.field("copies"), flat.field("bodies"), pa.array(leads, pa.binary()), pa.array(blobs, pa.binary())], ["anchor", "body", "copies", "bodies", "lead", "blob"])
 
-    segments = texts.join(wanted, ["key", "xx"]).mapInArrow(slices, "anchor long, body long, copies long, bodies long, lead binary, blob binary")
+    # Repeated rows give a segment once each; the copies are already counted.
+    segments = dealt.join(wanted, ["key", "xx"]).mapInArrow(slices, "anchor long, body long, copies long, bodies long, lead binary, blob binary")
     buckets = segments.where(F.col("bodies") <= max_bucket).repartitionByRange(parts, "lead", "anchor").sortWithinPartitions("anchor")
     found = sort_buckets(buckets.select("anchor", "body", "copies", "blob"), length)
-    windows = window_rows(segments.where(F.col("bodies") > max_bucket).select("anchor", "body", "copies", "blob"), length)
+    windows = window_rows(segments.where(F.col("bodies") > max_bucket).select("anchor", "body", "copies", "blob").dropDuplicates(["anchor", "body"]), length)
     repeated = windows.groupBy("hash").agg(F.sum("copies").alias("n")).where("n > 1").select("hash")
     loose = windows.join(repeated, "hash").groupBy("anchor", "body").agg(F.array_sort(F.collect_list(F.struct(F.col("offset").alias("a"), F.col("offset").alias("b")))).alias("spans"))
     some = mixed.join(found.unionByName(loose), ["anchor", "body"]).select("key", "xx", "first", F.explode("spans").alias("s"))
@@ -245,8 +252,10 @@ def covered(spans_of: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, id_column: str, text_column: str, length: int, kmer: int, max_bucket: int) -> DataFrame:
+    # The texts are dealt by their key once, for the runs' bytes and for the result.
     rows = keyed(docs, id_column, text_column)
-    return rows.join(repeated_spans(rows, length, kmer, max_bucket), ["key", "xx"], "left")
+    dealt = rows.repartition(partitions_for(rows), "key", "xx")
+    return dealt.join(repeated_spans(rows, dealt, length, kmer, max_bucket), ["key", "xx"], "left")
 
 
 def _pieces(batch, length):
@@ -290,7 +299,7 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             )
 
     rows = _with_spans(docs, id_column, text_column, length, kmer, max_bucket)
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, kmer: int = KMER, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -308,4 +317,4 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = _with_spans(docs, id_column, text_column, length, kmer, max_bucket)
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(run, "doc_id long, text string")

@@ -70,7 +70,7 @@ def number(seed: str, *keys: str) -> str:
 OCC = PTS + """, occ AS (SELECT label AS group_id, vec_id AS item, vec, CASE WHEN label < 4 THEN 'm' || label || '_' || (vec_id % 3) WHEN label = 4 AND vec_id % 4 = 0 THEN 'solo4' ELSE 'p' || (vec_id % 6) END AS word
     FROM pts WHERE label <> 9 OR vec_id % 5 = 0)"""
 BUILT = f"""{OCC}, {keep('occ', 'group_id', 'item')}, thr AS (SELECT quantile_cont(cohesion, 0.7) AS t FROM stats WHERE cohesion IS NOT NULL),
-    safe AS (SELECT group_id FROM stats, thr WHERE cohesion >= t AND n_keep >= 20), safe_keep AS (SELECT * FROM keep WHERE group_id IN (SELECT group_id FROM safe)),
+    safe AS (SELECT group_id FROM stats, thr WHERE cohesion >= t AND n_keep >= 20), safe_keep AS (SELECT group_id, item, vec FROM keep WHERE group_id IN (SELECT group_id FROM safe)),
     {trimmed('sp', 'safe_keep', 'group_id', 'item')},
     mono AS (SELECT group_id, word FROM (SELECT DISTINCT group_id, word FROM occ) WHERE word IN (SELECT word FROM (SELECT DISTINCT group_id, word FROM occ) GROUP BY word HAVING count(*) = 1)),
     best AS (SELECT k.item, max(list_dot_product(k.vec, sp.mu)) AS best_sim FROM keep k, sp GROUP BY k.item),
@@ -151,8 +151,8 @@ ORACLES: dict[str, str] = {
     "vocab_union": f"WITH {LEX} SELECT DISTINCT word FROM ws",
     "both_tag_words": f"WITH {LEX} SELECT word FROM syn INTERSECT SELECT word FROM rel",
     "sentence_split": f"WITH {SENT} SELECT doc_id, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS chars, CAST(max(length(sentence)) AS INTEGER) AS longest FROM sent GROUP BY 1",
-    "colon_split": f"""WITH {SENT}, c AS (SELECT doc_id, sentence, instr(sentence, ',') AS at, len(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+')) AS n FROM sent),
-        p AS (SELECT doc_id, CASE WHEN at > 0 AND n > 20 THEN list_filter([CASE WHEN trim(sentence[: at - 1]) <> '' THEN trim(sentence[: at - 1]) || ',' END, CASE WHEN trim(sentence[at + 1 :]) <> '' THEN trim(sentence[at + 1 :]) END], lambda x: x IS NOT NULL) ELSE [sentence] END AS ps FROM c),
+    "colon_split": f"""WITH {SENT}, c AS (SELECT doc_id, sentence, instr(sentence, ',') AS p, len(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+')) AS n FROM sent),
+        p AS (SELECT doc_id, CASE WHEN p > 0 AND n > 20 THEN list_filter([CASE WHEN trim(sentence[: p - 1]) <> '' THEN trim(sentence[: p - 1]) || ',' END, CASE WHEN trim(sentence[p + 1 :]) <> '' THEN trim(sentence[p + 1 :]) END], lambda x: x IS NOT NULL) ELSE [sentence] END AS ps FROM c),
         q AS (SELECT doc_id, i, ps[i] AS s FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM p))
         SELECT doc_id, count(*) AS n, count(*) FILTER (i > 1) AS n_split, CAST(sum(length(s)) AS BIGINT) AS chars FROM q GROUP BY 1""",
     "sanitize_names": r"""WITH a AS (SELECT page_id, trim(regexp_replace(regexp_replace(url, '[\\/:*?"<>|]+', '_', 'g'), '\s+', ' ', 'g')) AS s FROM pages)
@@ -177,7 +177,7 @@ ORACLES: dict[str, str] = {
     "masked_mean": f"""WITH {PTS}, f AS (SELECT label, vec, vec_id % 3 = 0 AND label <> 5 AS mask FROM pts)
         SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(coalesce(sum(vec[i]) FILTER (mask), 0) / greatest(count(*) FILTER (mask), 1), 6) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM f) GROUP BY label, i""",
     "word_vector_lookup": f"""WITH {PTS}, g AS (SELECT vec_id // 3 AS row_no, list(vec ORDER BY vec_id) AS words, min(label) AS label FROM pts GROUP BY 1),
-        v AS (SELECT row_no, CASE WHEN label >= 2 AND label - 1 <= len(words) THEN words[label - 1] END AS v FROM g) SELECT row_no, round(v[1], 6) AS x0, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM v""",
+        v AS (SELECT row_no, CASE WHEN label >= 2 AND label - 1 <= len(words) THEN words[label - 1] END AS v FROM g) SELECT row_no, round(v[1], 6) AS x0, CASE WHEN v IS NOT NULL THEN round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) END AS norm FROM v""",
     "safe_groups": f"WITH {BUILT} SELECT group_id, round(cohesion, 6) AS cohesion, round(t, 6) AS threshold FROM stats JOIN safe USING (group_id), thr",
     "prototype_status": f"""WITH {BUILT} SELECT group_id, status, coalesce(n_occ, 0) AS n_occ, coalesce(n_keep, 0) AS n_keep, n_anchor_words, CASE WHEN status = 'anchor_proto' THEN n_anchor_occ END AS n_anchor_occ,
         CASE WHEN status LIKE 'allpoly%' THEN n_residual END AS n_residual FROM st""",

@@ -3,7 +3,7 @@
 A text is a sequence of words: spaces with the characters after them (pieces never reach across).  Each block of
 documents keeps its distinct words, so the corpus moves as one row per block and word, and as compact word numbers.
 Distinct words then become a lattice in SQL: their substrings of bounded length are exploded, equi-joined to the piece
-table (broadcast; its size is checked) and grouped by word, and a higher-order aggregate folds the edges of a word:
+table (broadcast; its size is checked) and gathered by word, and a higher-order aggregate folds the edges of a word:
 
 - for a unigram model the fold is Viterbi, position by position;
 - for a BPE model, Viterbi over its scores gives other pieces than the model's merges, so the fold takes, step by step,
@@ -32,9 +32,11 @@ from .common import cut, list_array, text_or_empty
 SPACE = "▁"
 MASK_CHARS = 60
 #: Distinct words after which a block of documents ends.
-BLOCK_WORDS = 1 << 19
+BLOCK_WORDS = 1 << 21
 #: Bytes of word numbers in one row.
 ROW_BYTES = 1 << 16
+#: Places (blocks) of a word in one row.
+PLACES = 4096
 #: Pieces that may be broadcast.
 MAX_PIECES = 1 << 20
 WORD = re.compile(r" *[^ \n]+| +|\n")
@@ -142,27 +144,102 @@ def piece_table(spark, model: Model) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "score": pa.array([r[2] for r in rows], pa.float64())}))
 
 
+def grouped_words(words: DataFrame) -> DataFrame:
+    """word, at: each distinct word with its places (block << 32 | number), at most PLACES in a row.
+
+    Words are dealt by hash and sorted, so equal ones are neighbours; a word of more blocks has several rows.
+    """
+
+    def run(batches):
+        left = None
+
+        def rows(table):
+            word, at = table.column("word"), table.column("at")
+            coded = word.combine_chunks().dictionary_encode() if isinstance(word, pa.ChunkedArray) else word.dictionary_encode()
+            index = np.asarray(coded.indices)
+            new = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+            size = np.diff(np.r_[new, len(index)])
+            first = np.concatenate([np.arange(a, a + n, PLACES) for a, n in zip(new.tolist(), size.tolist())]) if (size > PLACES).any() else new
+            return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(index[first])), list_array(at, np.diff(np.r_[first, len(index)]))], ["word", "at"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if left is not None:
+                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([left.column(c), batch.column(c)]) for c in ("word", "at")], ["word", "at"])
+            last = batch.num_rows - 1
+            begin = last
+            value = batch.column("word")[last]
+            while begin > 0 and last - begin < PLACES and batch.column("word")[begin - 1] == value:
+                begin -= 1
+            left = batch.slice(begin)
+            if begin:
+                yield rows(batch.slice(0, begin))
+        if left is not None and left.num_rows:
+            yield rows(left)
+
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, at array<long>")
+
+
+def gather_edges(edges: DataFrame) -> DataFrame:
+    """word, at, m, edges: the rows of a word, which follow each other, as one; edges by cost, then start.
+
+    The first row of a word, its first character, brings word and at.
+    """
+
+    def run(batches):
+        names = ["word", "at", "s", "e", "id", "cost"]
+        left = None
+
+        def rows(t):
+            word, end = t.column("word"), np.asarray(t.column("e"))
+            new = np.flatnonzero(np.asarray(word.is_valid()))
+            size = np.diff(np.r_[new, t.num_rows])
+            owner = np.repeat(np.arange(len(new)), size)
+            cost = np.asarray(t.column("cost").fill_null(np.inf))
+            order = pa.array(np.lexsort((np.asarray(t.column("s")), cost, owner)))
+            s, e = np.asarray(t.column("s")).astype(np.int64), end.astype(np.int64)
+            bit = lambda k: np.int64(1) << np.minimum(k, 62)
+            masks = [bit(s) | bit(e), (bit(e) - 1) & ~(bit(s + 1) - 1)]
+            items = pa.StructArray.from_arrays([t.column(c).take(order) for c in ("cost", "s", "e", "id")] + [pa.array(v).take(order) for v in masks], ["cost", "s", "e", "id", "ends", "inside"])
+            first = pa.array(new)
+            return pa.RecordBatch.from_arrays([word.take(first), t.column("at").take(first), pa.array(np.maximum.reduceat(end, new).astype(np.int32)), list_array(items, size)], ["word", "at", "m", "edges"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if left is not None:
+                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([left.column(c), batch.column(c)]) for c in names], names)
+            begin = int(np.flatnonzero(np.asarray(batch.column("word").is_valid()))[-1])
+            left = batch.slice(begin)
+            if begin:
+                yield rows(batch.slice(0, begin))
+        if left is not None and left.num_rows:
+            yield rows(left)
+
+    return edges.mapInArrow(run, "word string, at array<long>, m int, edges array<struct<cost:double,s:int,e:int,id:int,ends:long,inside:long>>")
+
+
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
-    """Distinct words (their spaces as plain spaces) -> word, ids."""
+    """Distinct words (word, at; their spaces as plain spaces) -> word, at, ids."""
     spark = words.sparkSession
     longest = max((len(p) for p, _, _ in model.normal), default=1)
     short = words.where(F.length("word") <= MASK_CHARS) if model.kind == "bpe" else words
-    text, at = F.translate("word", " ", SPACE), F.col("at")
-    starts = short.select("word", text.alias("w"), F.xxhash64("word").alias("h"), F.length("word").alias("m"))
-    parts = starts.select("h", "word", "m", F.explode(F.expr(
+    text, part = F.translate("word", " ", SPACE), F.col("part")
+    parts = short.select("word", "at", text.alias("w"), F.length("word").alias("m")).select("word", "at", F.explode(F.expr(
         f"flatten(transform(sequence(0, m - 1), s -> transform(sequence(1, least({longest}, m - s)), n -> named_struct('s', s, 'n', n, 'piece', substring(w, s + 1, n)))))"
-    )).alias("at")).select("h", "word", "m", at["s"].alias("s"), at["n"].alias("n"), at["piece"].alias("piece"))
+    )).alias("part")).select("word", "at", part["s"].alias("s"), part["n"].alias("n"), part["piece"].alias("piece"))
+    # A broadcast join streams past the pieces, so the edges of a word stay together and are not shuffled or sorted.
     edges = parts.join(F.broadcast(piece_table(spark, model)), "piece", "left").where("id is not null or n = 1")
-    fields_of = F.struct((-F.col("score")).alias("cost"), "s", (F.col("s") + F.col("n")).alias("e"), "id")
-    grouped = edges.groupBy("h", "word", "m").agg(F.array_sort(F.collect_list(fields_of)).alias("edges"))
+    head = (F.col("s") == 0) & (F.col("n") == 1)
+    grouped = gather_edges(edges.select(F.when(head, F.col("word")).alias("word"), F.when(head, F.col("at")).alias("at"), "s", (F.col("s") + F.col("n")).alias("e"), "id", (-F.col("score")).alias("cost")))
     if model.kind == "bpe":
-        # Borders are bits 0..m.  An edge joins two symbols if both its ends are borders with one between them.
-        inside = "((shiftleft(1L, x.e) - 1L) - (shiftleft(1L, x.s + 1) - 1L))"
-        ends = "(shiftright(mask, x.s) & shiftright(mask, x.e) & 1L) = 1L"
-        first = f"filter(joins, x -> {ends} and bit_count(mask & {inside}) = 1)"
-        fold = f"aggregate(sequence(1, greatest(m - 1, 1)), shiftleft(1L, m + 1) - 1L, (mask, k) -> aggregate(slice({first}, 1, 1), mask, (old, x) -> old & ~{inside}))"
-        masked = grouped.select("word", "edges", F.expr("filter(edges, x -> x.e - x.s > 1)").alias("joins"), "m").select("word", "edges", F.expr(fold).alias("mask"))
-        best = masked.select("word", F.expr(f"array_sort(transform(filter(edges, x -> {ends} and (mask & {inside}) = 0L), x -> named_struct('s', x.s, 'e', x.e, 'id', x.id)))").alias("best"))
+        # Borders are bits 0..m.  An edge joins two symbols if both its ends are borders with one between them; `ends`
+        # and `inside` hold these bits.  joins is sorted by cost, so the first edge that fits is the best.
+        fits = "filter(joins, x -> (mask & x.ends) = x.ends and bit_count(mask & x.inside) = 1)"
+        fold = f"aggregate(sequence(1, least(greatest(m - 1, 1), greatest(size(joins), 1))), shiftleft(1L, m + 1) - 1L, (mask, k) -> mask & ~coalesce(get({fits}, 0).inside, 0L))"
+        masked = grouped.select("word", "at", "edges", "m", F.expr("filter(edges, x -> x.inside <> 0L)").alias("joins")).select("word", "at", "edges", F.expr(fold).alias("mask"))
+        best = masked.select("word", "at", F.expr("array_sort(transform(filter(edges, x -> (mask & x.ends) = x.ends and (mask & x.inside) = 0L), x -> named_struct('s', x.s, 'e', x.e, 'id', x.id)))").alias("best"))
     else:
         least = min((s for _, _, s in model.normal), default=0.0) - 10.0
         step = (
@@ -170,10 +247,10 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
         )
         fold = f"aggregate(sequence(1, m), array(named_struct('cost', 0D, 's', -1, 'e', 0, 'id', cast(null as int))), (state, k) -> concat(state, array(array_min({step}))))"
         back = "aggregate(sequence(1, m), named_struct('k', m, 'path', cast(array() as array<struct<s:int,e:int,id:int>>)), (b, i) -> if(b.k = 0, b, named_struct('k', element_at(state, b.k + 1).s, 'path', concat(array(named_struct('s', element_at(state, b.k + 1).s, 'e', element_at(state, b.k + 1).e, 'id', element_at(state, b.k + 1).id)), b.path))), b -> b.path)"
-        best = grouped.select("word", "m", F.expr(fold).alias("state")).select("word", F.expr(back).alias("best"))
+        best = grouped.select("word", "at", "m", F.expr(fold).alias("state")).select("word", "at", F.expr(back).alias("best"))
     codes = ", ".join(map(str, model.bytes_ids))
     fallback = "transform(sequence(1, octet_length(substring(word, x.s + 1, 1))), k -> element_at(array(%s), cast(conv(substring(hex(substring(word, x.s + 1, 1)), 2 * k - 1, 2), 16, 10) as int) + 1))" % codes
-    done = best.select("word", F.expr(f"flatten(transform(best, x -> if(x.id is null, {fallback}, array(x.id))))").alias("ids"))
+    done = best.select("word", "at", F.expr(f"flatten(transform(best, x -> if(x.id is null, {fallback}, array(x.id))))").alias("ids"))
     if model.kind != "bpe":
         return done
     scores = spark.sparkContext.broadcast({p: (s, k) for p, k, s in model.normal})
@@ -188,9 +265,9 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
                 for symbol in merge_long(word.replace(" ", SPACE), score):
                     out += [scores.value[symbol][1]] if symbol in scores.value else [byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass")]
                 ids.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("at"), pa.array(ids, pa.list_(pa.int32()))], ["word", "at", "ids"])
 
-    return done.unionByName(words.where(F.length("word") > MASK_CHARS).mapInArrow(merge, "word string, ids array<int>"))
+    return done.unionByName(words.where(F.length("word") > MASK_CHARS).mapInArrow(merge, "word string, at array<long>, ids array<int>"))
 
 
 # ---------------------------------------------------------------------------------------------- blocks
@@ -235,7 +312,7 @@ def to_blocks(rows: DataFrame, block_words: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        block, table, sent = TaskContext.get().partitionId() << 24, Numbers({"\n": 0}), 0
+        block, table, sent = TaskContext.get().partitionId() << 12, Numbers({"\n": 0}), 0
         find, ids, parts, digests, sizes, held = WORD.findall, [], [], [], [], 0
 
         def rows_out():
@@ -282,19 +359,21 @@ def words_of_blocks(table: DataFrame) -> DataFrame:
             for block, payload, first in zip(*(batch.column(c).to_pylist() for c in ("block", "payload", "ids"))):
                 words = zlib.decompress(payload).decode("utf-8", "surrogatepass").split("\n")
                 n = len(words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(first[0], first[0] + n, dtype=np.int32)), pa.array(words, pa.string())], ["block", "number", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array((block << 32) + np.arange(first[0], first[0] + n))], ["word", "at"])
 
-    return table.where("kind = 1").select("block", "payload", "ids").mapInArrow(run, "block long, number int, word string")
+    return table.where("kind = 1").select("block", "payload", "ids").mapInArrow(run, "word string, at long")
 
 
 def packed_ids(found: DataFrame) -> DataFrame:
-    """block, number, ids -> a row of the blocks' table (kind 0) for each block and batch."""
+    """at (places), ids -> a row of the blocks' table (kind 0) for each block and batch."""
 
     def run(batches):
         for batch in batches:
-            block, number, ids = np.asarray(batch.column("block")), np.asarray(batch.column("number")), batch.column("ids")
+            ids, places = batch.column("ids"), batch.column("at")
             sizes, flat = np.asarray(ids.value_lengths()).astype(np.int64), np.asarray(ids.flatten()).astype(np.int64)
-            start = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(batch.num_rows), np.asarray(places.value_lengths()))
+            block, number = np.asarray(places.flatten()) >> 32, np.asarray(places.flatten()) & 0xFFFFFFFF
+            start, sizes = (np.cumsum(sizes) - sizes)[row], sizes[row]
             order = np.lexsort((number, block))
             edges = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
             for a, b in zip(edges, np.r_[edges[1:], len(order)]):
@@ -374,11 +453,9 @@ def encode(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     parts = rows.rdd.getNumPartitions() if not rows.isStreaming else 1
-    table = cut(to_blocks(rows.coalesce(max(min(parts, 8), -(-parts // 4))), block_words))
-    words = words_of_blocks(table).repartition("word")
-    codes = encode_words(words.select("word").distinct(), model)
-    found = words.join(codes, "word").select("block", "number", "ids")
-    stream = packed_ids(found).unionByName(table.where("kind = 2"))
+    table = cut(to_blocks(rows.coalesce(max(1, min(parts, 8), -(-parts // 4))), block_words))
+    codes = encode_words(grouped_words(words_of_blocks(table)), model)
+    stream = packed_ids(codes.select("at", "ids")).unionByName(table.where("kind = 2"))
     return assemble(stream.repartition("block").sortWithinPartitions("block", "kind"), model)
 
 

@@ -22,7 +22,6 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
             return labels
         hook = edges.groupBy("v").agg(F.min("u").alias("p"))
         for _ in range(2):
-            hook = cut(hook)
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
             hook = hook.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
         hook = cut(hook)

@@ -7,13 +7,15 @@ document id under every coordinate-value pair of its signature.  Two classes who
 - a pair that one class alone posts is skipped, and so is a class with fewer than `matches` shared pairs;
 - of the rest each class keeps a prefix, its rarest shared pairs but for `matches - 1`; candidates share a prefix pair;
 - lists are not expanded into all pairs.  First each class is compared with one head of a list, the one that most of
-  its lists name; then classes that are in another component than the head of a list with that head; at last, in lists
-  that still hold several components, all that are not in the head's with all that are in another than theirs.
+  its lists name.  Then, in lists that hold several components, classes outside of the main one are compared with other
+  members, a new one for each list and round.  What is still apart after `ROUNDS` rounds is compared in full, except for
+  pairs that the triangle inequality rules out by their distances from a component's centre.
 
-So every candidate pair is either inside one component already or compared, and groups of near copies take about one
-comparison a member.  A comparison counts agreeing coordinates (from the second step on) and then decides on full sets.
+So every candidate pair is inside one component already, or compared, or out of reach, and groups of near copies take a
+few comparisons a member.  Comparisons count agreeing coordinates and then decide on full sets.
 
-With 64 coordinates and 32 matches, a pair at a similarity of exactly 0.75 is missed with a chance of 2e-6.
+With 64 coordinates and 34 matches, a pair at a similarity of exactly 0.75 is missed with a chance of 5e-5 (of 3e-4 if it
+comes to the last step, which asks for 36), and at 0.8 of less than 1e-5.
 """
 
 from __future__ import annotations
@@ -27,9 +29,15 @@ from pyspark.sql import Window
 from .common import Rolling, byte_values, cut, fold_case_table, grams, mix64, spans, string_buffers, text_or_empty, words_of
 from .components import merge_labels
 
-SHINGLE, COORDINATES, MATCHES = 5, 64, 32
+SHINGLE, COORDINATES, MATCHES = 5, 64, 34
 #: Similarity of linked texts, in hundredths.
 PERCENT = 75
+#: Rounds with other members, and comparisons of a class in one of them.  More rounds leave less to the last step.
+ROUNDS, TRIES = 1, 4
+#: Passes that drop classes without enough shared pairs.
+PRUNES = 2
+#: Collisions in the prefixes that the last step asks for: with these, pairs agree in MATCHES + COLLISIONS - 1 coordinates.
+COLLISIONS = 3
 
 
 def space_bytes() -> np.ndarray:
@@ -122,9 +130,18 @@ def post(classes: DataFrame, coordinates: int) -> DataFrame:
 
 
 def prefixes(postings: DataFrame, matches: int) -> DataFrame:
-    """token, id: of each class with at least `matches` shared pairs, the rarest but for matches - 1."""
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")
-    both = postings.join(shared, "token")
+    """token, id: of each class with at least `matches` shared pairs, the rarest but for matches - 1.
+
+    A class with fewer shared pairs has no partner, and no longer counts as one for others: this is done over until
+    little changes, or PRUNES times.
+    """
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1").select("token")
+    left = cut(postings.join(shared, "token"))
+    for _ in range(PRUNES):
+        alive = left.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= matches).select("id")
+        left = left.join(alive, "id")
+        left = cut(left.join(left.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "token").select("token", "id"))
+    both = left.join(left.groupBy("token").agg(F.count(F.lit(1)).alias("freq")), "token")
     by_id = Window.partitionBy("id")
     ranked = both.withColumn("m", F.count(F.lit(1)).over(by_id)).where(F.col("m") >= matches)
     ranked = ranked.withColumn("r", F.row_number().over(by_id.orderBy("freq", "token"))).where(F.col("r") <= F.col("m") - (matches - 1))
@@ -151,34 +168,44 @@ def full_sets(rows: DataFrame, ids: DataFrame, shingle: int, coordinates: int) -
     return wanted.select("doc_id", "text").mapInArrow(run, "id long, sig binary, codes binary").distinct()
 
 
-def agreeing(pairs: DataFrame, sets: DataFrame, matches: int) -> DataFrame:
-    """Pairs whose signatures agree in at least `matches` coordinates."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}"))
+def _sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """pairs with the column of both sides, as <column>_a and <column>_b."""
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(c), F.col(column).alias(f"{column}_{c}")), c)
+    return pairs
+
+
+def agreement(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, agree: the number of coordinates in which the signatures agree."""
 
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= matches))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).sum(1).astype(np.int32))], ["a", "b", "agree"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long").distinct()
+    return _sides(pairs, sets, "sig").mapInArrow(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("codes").alias(f"codes_{c}"))
-    size = lambda c: F.octet_length(f"codes_{c}")
+def similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, both, either: sizes of the intersection and the union of the full sets (of the nearest ones, if an id has
+    several)."""
 
     def run(batches):
         for batch in batches:
-            keep = []
+            both, either = [], []
             for x, y in zip(batch.column("codes_a"), batch.column("codes_b")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                both.append(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()))
+                either.append(len(x) + len(y) - both[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
+
+    rows = _sides(pairs, sets, "codes").mapInArrow(run, "a long, b long, both long, either long")
+    best = F.max(F.struct((F.col("both") / F.col("either")).alias("j"), "both", "either"))
+    return rows.groupBy("a", "b").agg(best.alias("m")).select("a", "b", "m.both", "m.either", (F.lit(1.0) - F.col("m.j")).alias("d"))
+
 
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((size("a") * 100 >= size("b") * percent) & (size("b") * 100 >= size("a") * percent))
-    return near.mapInArrow(run, "a long, b long").distinct()
+def links_of(scored: DataFrame, percent: int) -> DataFrame:
+    return scored.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
 def components_of(rows: DataFrame, classes: DataFrame, shingle: int, coordinates: int, matches: int, percent: int) -> DataFrame:
@@ -189,27 +216,94 @@ def components_of(rows: DataFrame, classes: DataFrame, shingle: int, coordinates
     labels = cut(ids.select("id", F.col("id").alias("comp")))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
+    link = lambda pairs: links_of(cut(similarity(pairs, sets)), percent)
+
+    # Each class with the head of most of its lists.
     heads = prefix.groupBy("token").agg(F.min("id").alias("head"))
     votes = prefix.join(heads, "token").where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("head")).alias("minus"))).alias("top"))
-    checked = cut(best.select(*pair(F.col("id"), -F.col("top.minus"))).distinct())
-    labels = merge_labels(labels, cut(linked(checked, sets, percent)))
-
-    for last in (False, True):
-        member = prefix.join(labels, "id")
-        lists = member.groupBy("token").agg(F.min(F.struct("id", "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        lists = lists.select("token", F.col("h.id").alias("head"), F.col("h.comp").alias("main"))
-        member = cut(member.join(lists, "token"))
-        others = member.where("comp <> main")
-        if last:
-            away = member.select("token", F.col("id").alias("other"), F.col("comp").alias("other_comp"))
-            found = others.join(away, "token").where("comp <> other_comp").select(*pair(F.col("id"), F.col("other")))
-        else:
-            found = others.select(*pair(F.col("id"), F.col("head")))
-        fresh = cut(found.distinct().join(checked, ["a", "b"], "left_anti"))
-        labels = merge_labels(labels, cut(linked(agreeing(fresh, sets, matches), sets, percent)))
-        checked = checked.unionByName(fresh)
-    return labels
+    labels = merge_labels(labels, link(best.select(*pair(F.col("id"), -F.col("top.minus"))).distinct()))
+
+    # Classes outside of a list's main component with a member of it, another one for each list and round.
+    for turn in range(ROUNDS):
+        member = cut(open_lists(prefix, labels))
+        if member.isEmpty():
+            return labels
+        some = member.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "token", "id"), F.col("id").alias("head"), F.col("comp").alias("head_comp"))).alias("h")).select("token", "h.head", "h.head_comp")
+        found = member.where("comp <> main").join(some, "token").where("comp <> head_comp").select("id", "head").distinct()
+        found = cut(agreement(found.select(F.col("id").alias("a"), F.col("head").alias("b")), sets).where(F.col("agree") >= matches))
+        first = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))).where(F.col("r") <= TRIES)
+        labels = merge_labels(labels, link(first.select(*pair(F.col("a"), F.col("b"))).distinct()))
+
+    return the_rest(prefix, labels, sets, matches, percent)
+
+
+def open_lists(prefix: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, id, comp, main: lists that hold several components, and the component with most members there."""
+    member = prefix.join(labels, "id").select("token", "id", "comp")
+    sizes = member.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    lists = sizes.groupBy("token").agg(F.max(F.struct("n", (-F.col("comp")).alias("minus"))).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    return member.join(lists.select("token", (-F.col("m.minus")).alias("main")), "token")
+
+
+def shingles_of(rows: DataFrame) -> DataFrame:
+    """The columns of rows but codes, and each shingle as code."""
+    names = [c for c in rows.columns if c != "codes"]
+
+    def run(batches):
+        for batch in batches:
+            codes = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("codes")]
+            row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in codes]))
+            flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in names), pa.array(flat)], [*names, "code"])
+
+    return rows.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in rows.dtypes if c != "codes"] + ["code long"]))
+
+
+def attainable(close: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows of close (a, other, d) whose class can be as similar to a member of the component as it must be.
+
+    With s of its n shingles anywhere in the component, and members of at least m shingles, the similarity is at most
+    s / (n + max(m, s) - s).  Edits bring shingles that nothing else has, so most classes at a group's edge end here.
+    """
+    inside = members.select("other", F.col("member").alias("id")).unionByName(members.select("other", F.col("other").alias("id"))).distinct()
+    inside = inside.join(close.select("other").distinct(), "other").join(sets.select("id", "codes"), "id")
+    least = inside.groupBy("other").agg(F.min(F.octet_length("codes") / 8).alias("least"))
+    known = shingles_of(inside.select("other", "codes")).distinct()
+    own = close.select("a", "other").join(sets.select(F.col("id").alias("a"), "codes"), "a").withColumn("n", F.octet_length("codes") / 8)
+    found = shingles_of(own.select("a", "other", "n", "codes")).join(known, ["other", "code"]).groupBy("a", "other", "n").agg(F.count(F.lit(1)).alias("s"))
+    fits = found.join(least, "other").where(F.col("s") * 100 >= (F.col("n") + F.greatest("least", "s") - F.col("s")) * percent)
+    return close.select("a", "other", "d").join(fits.select("a", "other").distinct(), ["a", "other"])
+
+
+def the_rest(prefix: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """labels after all candidates that are still in different components have been compared, or ruled out.
+
+    A class outside of a list's main component is measured against the centre (least id) of each other component there.
+    One less the similarity is a metric, so a member can be linked with the class only if their distances from the centre
+    differ by no more than the bound; just these are compared, and only if attainable() lets the class through.
+    """
+    bound = 1 - percent / 100 + 1e-9
+    member = cut(open_lists(prefix, labels))
+    comps = member.select("token", F.col("comp").alias("other")).distinct()
+    near = member.where("comp <> main").select("token", "id", "comp").join(comps, "token").where("comp <> other")
+    near = near.groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= COLLISIONS)
+    several = labels.where("id <> comp").select(F.col("comp").alias("other")).distinct().withColumn("several", F.lit(True))
+    near = cut(near.join(several, "other", "left").select(F.col("id").alias("a"), F.col("other").alias("b"), "several"))
+    alone = agreement(near.where("several is null").select("a", "b"), sets).where(F.col("agree") >= matches).select("a", "b")
+    near = near.where("several").select("a", "b")
+    measured = cut(similarity(near.unionByName(alone), sets))
+    links = links_of(measured, percent)
+    inside = labels.join(near.select(F.col("b").alias("comp")).distinct(), "comp").where("id <> comp").select("comp", "id")
+    radius = cut(similarity(inside.select(F.col("id").alias("a"), F.col("comp").alias("b")), sets))
+    members = radius.select(F.col("b").alias("other"), F.col("a").alias("member"), F.col("d").alias("d_member"))
+    reach = members.groupBy("other").agg(F.max("d_member").alias("far"))
+    close = measured.select("a", F.col("b").alias("other"), "d").join(reach, "other").where(F.col("d") <= F.col("far") + bound)
+    close = cut(attainable(close, members, sets, percent))
+    pairs = close.join(members, "other").where(F.abs(F.col("d") - F.col("d_member")) <= bound)
+    pairs = pairs.select(F.least("a", "member").alias("a"), F.greatest("a", "member").alias("b")).distinct()
+    likely = agreement(pairs, sets).where(F.col("agree") >= matches).select("a", "b")
+    return merge_labels(labels, cut(links.unionByName(links_of(similarity(likely, sets), percent))))
 
 
 def groups(

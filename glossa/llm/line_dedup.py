@@ -29,24 +29,26 @@ ROUNDS = (2, 16)
 STEP_CHARS = 1 << 17
 
 
-def stripped(line):
-    return F.regexp_replace(line, r"^[ \t\r\f\x0B]+|[ \t\r\f\x0B]+$", "")
-
-
 def lines_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """key, xx (of the row), doc, line_no, line, h1, h2: the lines that are not blank.  A null id sorts last."""
+    """doc, xx (of the row's text), line_no, line, h1, h2: the lines that are not blank."""
     text, doc = text_or_empty(text_column), F.col(id_column).cast("long")
     rows = docs.select(doc.alias("doc"), F.xxhash64(text).alias("xx"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", stripped(F.col("line"))).where("line <> ''")
+    rows = rows.withColumn("line", F.expr(r"trim(BOTH ' \t\r\f\u000B' FROM line)")).where("line <> ''")
     return rows.select("doc", "xx", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
 
 
 def place():
-    return F.struct(F.col("doc").isNull().alias("none"), F.col("doc").alias("doc"), F.col("line_no").alias("line_no"))
+    """doc and line_no as one number, which sums without sorting; a null id comes last."""
+    doc = F.coalesce(F.col("doc").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+    return (doc * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(33,0)")
 
 
-def variant_keys(lines: DataFrame, blocks: int | None) -> DataFrame:
-    """h1, h2 and key of each variant of each line; blocks None: a key for each gap."""
+def variant_keys(lines: DataFrame, blocks: int, single: bool = False) -> DataFrame:
+    """h1, h2, key and part of the variants of each line, its gaps in so many blocks; part is the block, negative (from -1
+    down) for the line less a character.
+
+    single: a key for each gap instead, in the blocks that the column parts lists.
+    """
 
     def run(batches):
         rolling = Rolling()
@@ -56,34 +58,44 @@ def variant_keys(lines: DataFrame, blocks: int | None) -> DataFrame:
             raw, _, _ = string_buffers(text)
             points = mix64(np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(11))
             begin = np.cumsum(sizes) - sizes
+            if single:
+                listed = np.asarray(batch.column("parts").flatten())
+                owner = np.repeat(np.arange(batch.num_rows), np.asarray(batch.column("parts").value_lengths()))
             i = 0
             while i < len(sizes):
                 j = max(i + 1, int(np.searchsorted(begin, begin[i] + STEP_CHARS)))
                 base, n = begin[i], sizes[i:j]
                 prefix = rolling.prefix(points[base : base + n.sum()])
                 at = begin[i:j] - base
-                for m in (n, n - 1):
-                    count = m + 1 if blocks is None else np.minimum(blocks, m + 1)
+                for sign, m in ((0, n), (1, n - 1)):
+                    count = np.minimum(blocks, m + 1)
                     row = np.repeat(np.arange(j - i), count)
                     k = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    if single:  # the listed blocks only
+                        row, k = owner[(owner >= i) & (owner < j) & (listed < 0 if sign else listed >= 0)] - i, listed[(owner >= i) & (owner < j) & (listed < 0 if sign else listed >= 0)]
+                        k = -k - 1 if sign else k
                     gaps, parts = m[row] + 1, count[row]
                     lo, hi = -(-k * gaps // parts), -(-(k + 1) * gaps // parts) - 1
+                    if single:
+                        many = hi - lo + 1
+                        lo = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                        row, hi, k = np.repeat(row, many), lo, lo
                     start, end = at[row], at[row] + n[row]
                     head = rolling.of(prefix, start, start + lo)
                     tail = rolling.of(prefix, end - (m[row] - hi), end)
                     key = mix64(mix64(head + lo.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + tail * np.uint64(0xD6E8FEB86659FD93) + m[row].astype(np.uint64))
                     take = pa.array(row + i)
-                    yield pa.RecordBatch.from_arrays([batch.column("h1").take(take), batch.column("h2").take(take), pa.array(key.view(np.int64))], ["h1", "h2", "key"])
+                    yield pa.RecordBatch.from_arrays([batch.column("h1").take(take), batch.column("h2").take(take), pa.array(key.view(np.int64)), pa.array((-k - 1 if sign else k).astype(np.int32))], ["h1", "h2", "key", "part"])
                 i = j
 
-    return lines.select("h1", "h2", "line").mapInArrow(run, "h1 long, h2 long, key long")
+    return lines.select("h1", "h2", "line", *(["parts"] if single else [])).mapInArrow(run, "h1 long, h2 long, key long, part int")
 
 
 def neighbours(lines: DataFrame, blocks: int) -> DataFrame:
-    """h1, h2 of the lines that share a coarse key with a different line."""
+    """h1, h2, parts: lines that share a coarse key with a different line, and the blocks of these keys."""
     keys = variant_keys(lines, blocks)
     shared = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
-    return keys.join(shared, "key").select("h1", "h2").distinct()
+    return keys.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set("part").alias("parts"))
 
 
 def decisions(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
@@ -91,20 +103,20 @@ def decisions(docs: DataFrame, id_column: str, text_column: str, min_chars: int)
     an earlier one for some line."""
     lines = lines_of(docs, id_column, text_column)
     exact = cut(lines.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")))
-    long = lines.where(F.length("line") >= min_chars)
-    near = long.join(neighbours(long, ROUNDS[0]), ["h1", "h2"], "left_semi").select("h1", "h2", "line").distinct()
+    long = lines.where(F.length("line") >= min_chars).select("h1", "h2", "line")
+    near = long.join(neighbours(long, ROUNDS[0]).select("h1", "h2"), ["h1", "h2"], "left_semi").distinct()
     for blocks in ROUNDS[1:]:
         near = cut(near)
-        near = near.join(neighbours(near, blocks), ["h1", "h2"], "left_semi")
+        near = near.select("h1", "h2", "line").join(neighbours(near, blocks), ["h1", "h2"])
     near = cut(near.join(exact.select("h1", "h2", "first"), ["h1", "h2"]))
-    keyed = variant_keys(near, None).join(near.select("h1", "h2", "first"), ["h1", "h2"])
-    # The two earliest different lines would do; the earliest decides, and it is never dropped for itself.
-    earliest = keyed.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "top")
-    found = keyed.join(earliest, "key").where(F.col("top.first") < F.col("first")).groupBy("h1", "h2").agg(F.min("top").alias("top"))
-    found = found.select("h1", "h2", F.col("top.first").alias("near"), F.col("top.h1").alias("g1"), F.col("top.h2").alias("g2"))
+    keyed = variant_keys(near, ROUNDS[-1], single=True).join(near.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "key", "first")
+    # Equal variants: the earliest line of a key decides, and it is never dropped for itself.
+    earliest = keyed.groupBy("key").agg(F.min("first").alias("near"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "near")
+    found = keyed.join(earliest, "key").where(F.col("near") < F.col("first")).groupBy("h1", "h2").agg(F.min("near").alias("near"))
+    # A place has one line but for rows that repeat an id; one of its lines within the bound is enough.
     text = near.select("h1", "h2", "line")
-    other = near.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("other"))
-    found = found.join(text, ["h1", "h2"]).join(other, ["g1", "g2"]).where(F.levenshtein("line", "other", 1) >= 0).select("h1", "h2", "near")
+    other = near.select(F.col("first").alias("near"), F.col("line").alias("other"))
+    found = found.join(text, ["h1", "h2"]).join(other, "near").where(F.levenshtein("line", "other", 1) >= 0).select("h1", "h2", "near").distinct()
     best = exact.join(found, ["h1", "h2"], "left").where("n > 1 or near is not null")
     return lines.drop("line"), best.select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("best"))
 

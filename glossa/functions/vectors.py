@@ -20,8 +20,9 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column, floor: float = 1e-12) -> Column:
-    """v over its length; a zero vector stays zero."""
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(floor)))
+    """v over its length; a zero vector stays zero.  The length is bound by an outer lambda, so it is taken once a vector."""
+    length = F.when(v.isNotNull(), F.array(F.greatest(norm(v), F.lit(floor))))
+    return F.get(F.transform(length, lambda n: F.transform(v, lambda x: x / n)), F.lit(0))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Numbers (rows times dimensions) of the candidate vectors that are broadcast at once.
 BLOCK_VALUES = 1 << 24
+#: Candidates that are fetched at once.
+FEW_ROWS = 4096
 
 
 def matrix(column, rows: int) -> np.ndarray:
@@ -20,7 +22,10 @@ def matrix(column, rows: int) -> np.ndarray:
 def blocks(candidates: DataFrame, order: str, vector: str):
     """(order values, matrix) of the candidates, a block at a time, by order.  The driver holds one block."""
     keys, rows = [], []
-    for key, vec in candidates.where(F.col(vector).isNotNull()).select(order, vector).orderBy(order).toLocalIterator(prefetchPartitions=True):
+    source = candidates.where(F.col(vector).isNotNull()).select(order, vector)
+    few = source.limit(FEW_ROWS + 1).collect()  # one job, where a sorted stream takes one for each partition
+    ordered = sorted(few) if len(few) <= FEW_ROWS else source.orderBy(order).toLocalIterator(prefetchPartitions=True)
+    for key, vec in ordered:
         keys.append(key)
         rows.append(vec)
         if len(rows) * len(vec) >= BLOCK_VALUES:

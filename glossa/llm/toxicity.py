@@ -27,7 +27,7 @@ INPUTS = 1 + len(ORDERS)
 BITS = 20
 HIDDEN, ATTENTION = 8, 8
 #: Labelled rows that a model is fitted on, at most.
-MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
+MAX_POSITIVE, MAX_NEGATIVE = 1200, 2400
 STEPS, BATCH, RATE, RESELECT = 320, 96, 0.02, 64
 #: Bytes of text in one scoring step.
 STEP_BYTES = 1 << 21
@@ -63,12 +63,12 @@ def word_slots(words: pa.Array):
     for n in range(2, max(ORDERS) + 1):
         m = len(points) - n + 1
         if m <= 0:
-            out += [(k, np.empty(0, np.int64), np.empty(0, np.int32)) for k in ORDERS if k >= n]
+            out += [(k, np.empty(0, np.int32), np.empty(0, np.int32)) for k in ORDERS if k >= n]
             break
         code = code[:m] * np.uint64(0x5851F42D4C957F2D) + value[n - 1 :]
         if n in ORDERS:
             same = np.flatnonzero(row[:m] == row[n - 1 :])
-            out.append((n, (mix64(code[same] + np.uint64(n)) >> shift).astype(np.int64), row[same]))
+            out.append((n, (mix64(code[same] + np.uint64(n)) >> shift).astype(np.int32), row[same]))
     return (mix64(whole) >> shift).astype(np.int64), out
 
 

@@ -81,27 +81,25 @@ def split_texts(texts: DataFrame, keys: list[str], text: str = "text", mode: str
 
 
 def decode_labels(sentence: Column, labels: Column, offsets: Column) -> Column:
-    """Words from begin/middle/end/single labels and character offsets (struct s, e), as one fold.
+    """Words from begin/middle/end/single labels and character offsets (struct s, e), in time linear in the labels.
 
     S gives up the open word, then itself; B opens a word; M and I add to it; E adds and closes; any other label is an S.
     Offsets (0, 0) and empty pieces are skipped; a missing label is an S; an open word at the end counts.
     """
     pairs = F.zip_with(labels, offsets, lambda a, o: F.struct(F.coalesce(F.upper(F.substring(a, 1, 1)), F.lit("S")).alias("t"), o["s"].alias("s"), o["e"].alias("e")))
     real = F.filter(pairs, lambda p: p["s"].isNotNull() & ~((p["s"] == 0) & (p["e"] == 0)) & (p["e"] > p["s"]))
-    some = lambda w: F.when(w != "", F.array(w)).otherwise(F.array().cast("array<string>"))
-    start = F.struct(F.array().cast("array<string>").alias("words"), F.lit("").alias("open"))
-
-    def step(state, p):
-        piece = F.substring(sentence, p["s"] + 1, p["e"] - p["s"])
-        grown = F.concat(state["open"], piece)
-        kind = p["t"]
-        words = (
-            F.when(kind == "B", F.concat(state["words"], some(state["open"])))
-            .when(kind.isin("M", "I"), state["words"])
-            .when(kind == "E", F.concat(state["words"], F.array(grown)))
-            .otherwise(F.concat(state["words"], some(state["open"]), F.array(piece)))
-        )
-        left = F.when(kind == "B", piece).when(kind.isin("M", "I"), grown).otherwise(F.lit(""))
-        return F.struct(words.alias("words"), left.alias("open"))
-
-    return F.aggregate(real, start, step, lambda s: F.concat(s["words"], some(s["open"])))
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  (value is computed once, not for each element)
+
+    def words(chars, real):
+        piece = lambda p: F.when(p["s"] >= 0, F.array_join(F.slice(chars, p["s"] + 1, p["e"] - p["s"]), "")).otherwise(F.substring(sentence, p["s"] + 1, p["e"] - p["s"]))
+        first = lambda p, i: ~p["t"].isin("M", "I", "E") | ~F.coalesce(F.get(real, i - 1)["t"].isin("B", "M", "I"), F.lit(False))
+        starts = F.filter(F.transform(real, lambda p, i: F.when(first(p, i), i)), lambda i: i.isNotNull())
+
+        def word(part):
+            closed = ~F.element_at(part, -1)["t"].isin("B", "M", "I")
+            return F.struct(F.when(sentence.isNotNull(), F.array_join(F.transform(part, piece), "")).alias("w"), closed.alias("closed"))
+
+        found = let(starts, lambda at: F.transform(at, lambda i, k: let(F.slice(real, i + 1, F.coalesce(F.get(at, k + 1), F.size(real)) - i), word)))
+        return F.transform(F.filter(found, lambda x: x["closed"] | (x["w"] != "")), lambda x: x["w"])
+
+    return let(F.struct(F.split(sentence, "").alias("chars"), real.alias("real")), lambda v: words(v["chars"], v["real"]))

@@ -229,9 +229,9 @@ def bmes_decode(spark, sf_dir):
     """Labels by a token's characters: a token of one is S, else B, M..., E; decoding gives the tokens again."""
     docs = tokens(spark, sf_dir).select("doc_id", "tokens", F.array_join("tokens", "").alias("text"))
     labels = F.flatten(F.transform("tokens", lambda t: F.when(F.length(t) == 1, F.array(F.lit("S"))).otherwise(F.concat(F.array(F.lit("B")), F.array_repeat(F.lit("M"), F.length(t) - 2), F.array(F.lit("E"))))))
-    offsets = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0))), lambda i: F.struct(i.alias("s"), (i + 1).alias("e")))
-    short = docs.where(F.length("text").between(1, 600))
-    decoded = short.select("doc_id", splitting.decode_labels(F.col("text"), labels, offsets).alias("words"))
+    places = F.when(F.length("text") > 0, F.sequence(F.lit(0), F.length("text") - 1)).otherwise(F.array().cast("array<int>"))
+    offsets = F.transform(places, lambda i: F.struct(i.alias("s"), (i + 1).alias("e")))
+    decoded = docs.select("doc_id", splitting.decode_labels(F.col("text"), labels, offsets).alias("words"))
     return decoded.select("doc_id", F.size("words").cast("long").alias("n"), F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5"))
 
 

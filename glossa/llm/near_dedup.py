@@ -14,8 +14,8 @@ document id under every coordinate-value pair of its signature.  Two classes who
 So every candidate pair is inside one component already, or compared, or out of reach, and groups of near copies take a
 few comparisons a member.  Comparisons count agreeing coordinates and then decide on full sets.
 
-With 64 coordinates and 34 matches, a pair at a similarity of exactly 0.75 is missed with a chance of 5e-5 (of 3e-4 if it
-comes to the last step, which asks for 36), and at 0.8 of less than 1e-5.
+With 64 coordinates and 34 matches, a pair at a similarity of exactly 0.75 is missed with a chance of 4.4e-5, and at 0.8 of
+3.2e-7.  A pair of that many agreements shares at least one prefix pair, and the last step takes every such pair up.
 """
 
 from __future__ import annotations
@@ -36,8 +36,6 @@ PERCENT = 75
 ROUNDS, TRIES = 1, 4
 #: Passes that drop classes without enough shared pairs.
 PRUNES = 2
-#: Collisions in the prefixes that the last step asks for: with these, pairs agree in MATCHES + COLLISIONS - 1 coordinates.
-COLLISIONS = 3
 
 
 def space_bytes() -> np.ndarray:
@@ -287,7 +285,7 @@ def the_rest(prefix: DataFrame, labels: DataFrame, sets: DataFrame, matches: int
     member = cut(open_lists(prefix, labels))
     comps = member.select("token", F.col("comp").alias("other")).distinct()
     near = member.where("comp <> main").select("token", "id", "comp").join(comps, "token").where("comp <> other")
-    near = near.groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= COLLISIONS)
+    near = near.select("id", "other").distinct()
     several = labels.where("id <> comp").select(F.col("comp").alias("other")).distinct().withColumn("several", F.lit(True))
     near = cut(near.join(several, "other", "left").select(F.col("id").alias("a"), F.col("other").alias("b"), "several"))
     alone = agreement(near.where("several is null").select("a", "b"), sets).where(F.col("agree") >= matches).select("a", "b")

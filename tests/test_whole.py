@@ -2,9 +2,10 @@
 
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
-from glossa.operators import splitting
+from glossa.operators import prototypes, splitting
 from glossa.plans.oracles import ORACLES
 from glossa.plans.queries import QUERIES
 
@@ -42,3 +43,22 @@ def test_decode_labels_by_brute_force(spark):
     table = spark.createDataFrame(rows, "text string, labels array<string>")
     for r in table.select("text", "labels", splitting.decode_labels(F.col("text"), F.col("labels"), offsets).alias("words")).collect():
         assert r["words"] == folded(r["text"], r["labels"]), r["labels"]
+
+
+@pytest.mark.parametrize("name", ["safe_groups", "prototype_status", "prototype_params"])
+def test_prototypes_of_all_vectors(spark, name):
+    same(spark, QUERIES[name], without(name, " WHERE label <> 9 OR vec_id % 5 = 0"))
+
+
+def test_every_vector_is_an_occurrence(spark):
+    n = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert QUERIES["prototype_status"](spark, DATA).agg(F.sum("n_occ")).first()[0] == n
+
+
+def test_status_of_small_groups(spark):
+    rows = [(g, f"{g}_{k % 3}", 100 * g + k, [1.0, 0.01 * k]) for g, n in ((1, 60), (2, 19)) for k in range(n)]
+    occ = spark.createDataFrame(rows, "group_id int, word string, item long, vec array<double>")
+    groups = spark.createDataFrame([(1,), (2,), (3,)], "group_id int")
+    meta = prototypes.build(occ, groups, occ.select("group_id", "word").distinct(), prototypes.Parameters())["meta"]
+    status = {r["group_id"]: r["status"] for r in meta.collect()}
+    assert status == {1: "anchor_proto", 2: "too_small_or_empty", 3: "too_small_or_empty"}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: Schemas (tools) that are broadcast; more are joined by shuffle.
 MAX_TOOLS = 10_000
@@ -59,7 +60,7 @@ def topological(calls_column: str) -> str:
     )
 
 
-def link_tools(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
+def link_tools(calls: DataFrame, results: DataFrame, schemas: DataFrame, turns: DataFrame | None = None) -> DataFrame:
     """One row per conversation with calls or results: conv_id, n_calls, n_linked, n_orphans, n_invalid, n_cyclic, json.
 
     calls: conv_id, call_id, turn, name, arguments (JSON text), depends (array<string>).  results: conv_id, call_id,
@@ -67,6 +68,9 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     of results the least content; both null identifiers and results without a call are no part of the JSON, the latter
     counted as orphans.  Null depends are none, null arguments invalid.  Empty tables give no rows; extra columns are
     ignored.  json has sorted keys, no spaces, and null for a missing result.
+
+    turns: conv_id, turn, role, text of what is neither a call nor a result.  A conversation with such turns has them after
+    its calls, as "turns" in the order of turn, role and text; it has a row even without calls and results.
     """
     one = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(
         F.min(F.struct("turn", "name", "arguments", F.coalesce("depends", F.array().cast("array<string>")).alias("depends"))).alias("c")
@@ -79,6 +83,10 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
         F.coalesce("l.conv_id", "r.conv_id").alias("conv_id"), F.coalesce("l.call_id", "r.call_id").alias("call_id"),
         "turn", "name", F.to_json("args").alias("args"), "errors", "depends", F.coalesce("called", F.lit(False)).alias("called"), "content", F.coalesce("answered", F.lit(False)).alias("answered"),
     )
+    linked = linked.withColumn("said", F.lit(None).cast("struct<turn:bigint,role:string,text:string>"))
+    if turns is not None:
+        said = turns.select("conv_id", F.struct(F.col("turn").cast("long").alias("turn"), "role", "text").alias("said"))
+        linked = linked.unionByName(said.withColumns({"called": F.lit(False), "answered": F.lit(False)}), allowMissingColumns=True)
     quoted = lambda c: F.to_json(F.array(c))
     text = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
     body = F.concat(
@@ -87,14 +95,17 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
     )
     entry = F.struct("turn", "call_id", "depends", body.alias("body"))
     grouped = linked.groupBy("conv_id").agg(
-        F.count_if("called").alias("n_calls"), F.count_if(F.col("called") & F.col("answered")).alias("n_linked"), F.count_if(~F.col("called")).alias("n_orphans"),
+        F.count_if("called").alias("n_calls"), F.count_if(F.col("called") & F.col("answered")).alias("n_linked"), F.count_if(~F.col("called") & F.col("said").isNull()).alias("n_orphans"), F.array_sort(F.collect_list("said")).alias("said"),
         F.count_if(F.col("called") & (F.size("errors") > 0)).alias("n_invalid"), F.array_sort(F.collect_list(F.when(F.col("called"), entry))).alias("entries"),
     )
     ordered = grouped.withColumn("o", F.expr(topological("entries")))
     bodies = F.expr("array_join(transform(o.done, d -> element_at(filter(entries, e -> e.call_id = d), 1).body), ',')")
+    value = lambda c: f"coalesce(substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2), 'null')"
+    one_turn = f"""concat('{{"role":', {value("x.role")}, ',"text":', {value("x.text")}, ',"turn":', coalesce(cast(x.turn as string), 'null'), '}}')"""
+    others = F.when(F.size("said") > 0, F.concat(F.lit(',"turns":['), F.expr(f"array_join(transform(said, x -> {one_turn}), ',')"), F.lit("]"))).otherwise(F.lit(""))
     return ordered.select(
         "conv_id", "n_calls", "n_linked", "n_orphans", "n_invalid", F.col("o.cyclic").cast("long").alias("n_cyclic"),
-        F.concat(F.lit('{"calls":['), F.when(F.size("entries") > 0, bodies).otherwise(F.lit("")), F.lit("]}")).alias("json"),
+        F.concat(F.lit('{"calls":['), F.when(F.size("entries") > 0, bodies).otherwise(F.lit("")), F.lit("]"), others, F.lit("}")).alias("json"),
     )
 
 
@@ -102,18 +113,26 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Data
 REPLY_SCHEMA = [("chat.reply", "prompt", "string", True, None, None), ("chat.reply", "turn", "integer", True, 0.0, None)]
 
 
-def conversations_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls, results and schema of a table of turns: a user's turn asks chat.reply, the assistant's next turn answers.
+def conversations_as_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Calls, results, schema and other turns of a table of turns: a user's turn asks chat.reply, the assistant's next turn
+    answers.
 
-    A user's turn depends on the one two turns before.  Other roles are no calls.
+    A user's turn depends on the one two turns before.  Other turns are those of other roles, an assistant's turn that no
+    user's turn precedes, and what repeats the turn number of a call or result.
     """
     spark = conversations.sparkSession
     key = lambda shift: F.concat_ws(":", F.lit("t"), (F.col("turn") - shift).cast("string"))
-    user = conversations.where("role = 'user'")
-    calls = user.select(
-        "conv_id", key(0).alias("call_id"), F.col("turn").cast("long").alias("turn"), F.lit("chat.reply").alias("name"),
-        F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").cast("long").alias("turn"))).alias("arguments"), F.array(key(2)).alias("depends"),
+    asked, answer = F.coalesce(F.col("role") == "user", F.lit(False)), F.coalesce(F.col("role") == "assistant", F.lit(False))
+    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.col("turn").cast("long").alias("turn")))
+    rows = conversations.select("conv_id", "turn", "role", "text", asked.alias("asked"), answer.alias("answer"), F.when(asked, arguments).alias("arguments"))
+    talk = rows.where("asked or answer").withColumn("call_id", F.when(F.col("asked"), key(0)).otherwise(key(1)))
+    place = Window.partitionBy("conv_id", "call_id")
+    talk = talk.withColumn("has_call", F.max("asked").over(place)).withColumn("k", F.row_number().over(Window.partitionBy("conv_id", "call_id", "asked").orderBy("arguments", F.asc_nulls_last("text"))))
+    calls = talk.where("asked and k = 1").select(
+        "conv_id", "call_id", F.col("turn").cast("long").alias("turn"), F.lit("chat.reply").alias("name"), "arguments", F.array(key(2)).alias("depends"),
     )
-    results = conversations.where("role = 'assistant'").select("conv_id", key(1).alias("call_id"), F.col("text").alias("content"))
+    results = talk.where("answer").select("conv_id", "call_id", F.col("text").alias("content"))
+    left = talk.where("k > 1 or not has_call").select("conv_id", "turn", "role", "text")
+    turns = rows.where("not asked and not answer").select("conv_id", "turn", "role", "text").unionByName(left)
     schemas = spark.createDataFrame(REPLY_SCHEMA, "tool string, field string, type string, required boolean, minimum double, maximum double")
-    return calls, results, schemas
+    return calls, results, schemas, turns

@@ -1,8 +1,13 @@
 """Operators without cuts: what is rare or of another kind is in the results too."""
 
+import json
+
 import pytest
 
-from glossa.llm import near_dedup
+from glossa.llm import chat_format, near_dedup
+from glossa.llm.queries import QUERIES
+
+from oracle import DATA
 
 
 @pytest.mark.parametrize("lists", [{1: (1, 2)}, {1: (1, 2, 3), 2: (1, 2, 3), 3: (1, 2, 4), 4: (1, 2, 4)}])
@@ -16,3 +21,25 @@ def test_last_step_compares_pairs_of_few_common_lists(spark, lists):
     sets = near_dedup.full_sets(rows, labels.select("id"), near_dedup.SHINGLE, near_dedup.COORDINATES)
     got = near_dedup.the_rest(prefix, labels, sets, near_dedup.MATCHES, near_dedup.PERCENT)
     assert {r["comp"] for r in got.collect()} == {1}
+
+
+def texts(line):
+    """The texts of a conversation's JSON."""
+    got = json.loads(line)
+    calls = [t for c in got["calls"] for t in (c["arguments"].get("prompt"), c["result"])]
+    return sorted(t for t in [*calls, *(x["text"] for x in got.get("turns", []))] if t is not None)
+
+
+def test_chat_format_has_every_turn(spark):
+    rows = [("a", 0, "system", "be \"kind\""), ("a", 1, "user", "q"), ("a", 2, "assistant", "r"), ("a", 4, "assistant", "late"), ("a", 1, "user", "again"), ("a", 2, "assistant", "s"), ("b", 0, "tool", None), ("b", 1, None, "x")]
+    table = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.link_tools(*chat_format.conversations_as_calls(table)).collect()}
+    assert texts(got["a"]["json"]) == sorted(t for c, _, _, t in rows if c == "a") and got["a"]["n_orphans"] == 1
+    assert got["b"]["json"] == '{"calls":[],"turns":[{"role":"tool","text":null,"turn":0},{"role":null,"text":"x","turn":1}]}'
+
+
+def test_op7_has_every_turn(spark):
+    want = {}
+    for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect():
+        want.setdefault(r["conv_id"], []).append(r["text"])
+    assert {r["conv_id"]: texts(r["json"]) for r in QUERIES["op7_chat_format"](spark, DATA).collect()} == {c: sorted(t) for c, t in want.items()}

@@ -198,7 +198,7 @@ def sanitize_names(spark, sf_dir):
 @query
 def document_names(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return docs.select("doc_id", tx.document_name(F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("doc_id").cast("string")), F.substring("text", 1, 50)).alias("name"))
+    return docs.select("doc_id", tx.document_name(F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("doc_id").cast("string")), F.col("text")).alias("name"))
 
 
 @query

@@ -62,3 +62,9 @@ def test_status_of_small_groups(spark):
     meta = prototypes.build(occ, groups, occ.select("group_id", "word").distinct(), prototypes.Parameters())["meta"]
     status = {r["group_id"]: r["status"] for r in meta.collect()}
     assert status == {1: "anchor_proto", 2: "too_small_or_empty", 3: "too_small_or_empty"}
+
+
+def test_document_names_of_whole_texts(spark):
+    sql = without("document_names", "text[: 50] AS title", "text AS title").replace("ELSE s END AS name", "WHEN length(s) > 120 THEN regexp_replace(s[: 120], '\\s+$', '') ELSE s END AS name")
+    same(spark, QUERIES["document_names"], sql)
+    assert QUERIES["document_names"](spark, DATA).agg(F.max(F.length("name"))).first()[0] > 50

@@ -601,7 +601,7 @@ def template_table(spark, sf_dir):
 
 @query
 def csc_template(spark, sf_dir):
-    return metrics.csc_template(lx.pairs(lexicon(spark), "="), template_table(spark, sf_dir), 40).select(r6("csc").alias("csc"), "n")
+    return metrics.csc_template(lx.pairs(lexicon(spark), "="), template_table(spark, sf_dir)).select(r6("csc").alias("csc"), "n")
 
 
 @query

@@ -5,7 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.operators import prototypes, splitting
+from glossa.operators import metrics, prototypes, splitting
 from glossa.plans.oracles import ORACLES
 from glossa.plans.queries import QUERIES
 
@@ -68,3 +68,13 @@ def test_document_names_of_whole_texts(spark):
     sql = without("document_names", "text[: 50] AS title", "text AS title").replace("ELSE s END AS name", "WHEN length(s) > 120 THEN regexp_replace(s[: 120], '\\s+$', '') ELSE s END AS name")
     same(spark, QUERIES["document_names"], sql)
     assert QUERIES["document_names"](spark, DATA).agg(F.max(F.length("name"))).first()[0] > 50
+
+
+def test_csc_template_of_all_pairs(spark):
+    same(spark, QUERIES["csc_template"], without("csc_template", "LIMIT 40", "LIMIT 200"))
+
+
+def test_csc_template_samples(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("a", "a")], "word string, cand string")
+    vectors = spark.createDataFrame([(w, 0, [1.0, 0.0]) for w in "abc"], "word string, template_no int, vec array<double>")
+    assert [metrics.csc_template(pairs, vectors, n).first()["n"] for n in (2, 200)] == [2, 3]

@@ -7,12 +7,13 @@ document id under every coordinate-value pair of its signature.  Two classes who
 - a pair that one class alone posts is skipped, and so is a class with fewer than `matches` shared pairs;
 - of the rest each class keeps a prefix, its rarest shared pairs but for `matches - 1`; candidates share a prefix pair;
 - lists are not expanded into all pairs.  First each class is compared with one head of a list, the one that most of
-  its lists name.  Then, in lists that hold several components, classes outside of the main one are compared with other
-  members, a new one for each list and round.  What is still apart after `ROUNDS` rounds is compared in full, except for
-  pairs that the triangle inequality rules out by their distances from a component's centre.
+  its lists name.  Then, in lists that still hold several components, every class is measured against the centre of the
+  main one, and finer lists are made of the shingles that the centre lacks (`finer_lists`): two classes that are not
+  linked through the centre can be linked only if they meet there.  Finer lists have heads too, and only classes that are
+  outside of their main component after that are compared with the others, if enough coordinates agree.
 
 So every candidate pair is inside one component already, or compared, or out of reach, and groups of near copies take a
-few comparisons a member.  Comparisons count agreeing coordinates and then decide on full sets.
+few comparisons a member.  All links are decided on full sets.
 
 With 64 coordinates and 34 matches, a pair at a similarity of exactly 0.75 is missed with a chance of 4.4e-5, and at 0.8 of
 3.2e-7.  A pair of that many agreements shares at least one prefix pair, and the last step takes every such pair up.
@@ -26,14 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Rolling, byte_values, cut, fold_case_table, grams, mix64, spans, string_buffers, text_or_empty, words_of
+from .common import Rolling, byte_values, cut, fold_case_table, free_name, grams, mix64, spans, string_buffers, text_or_empty, words_of
 from .components import merge_labels
 
 SHINGLE, COORDINATES, MATCHES = 5, 64, 34
 #: Similarity of linked texts, in hundredths.
 PERCENT = 75
-#: Rounds with other members, and comparisons of a class in one of them.  More rounds leave less to the last step.
-ROUNDS, TRIES = 1, 4
 #: Passes that drop classes without enough shared pairs.
 PRUNES = 2
 
@@ -147,7 +146,7 @@ def prefixes(postings: DataFrame, matches: int) -> DataFrame:
 
 
 def full_sets(rows: DataFrame, ids: DataFrame, shingle: int, coordinates: int) -> DataFrame:
-    """id, sig, codes (sorted shingle hashes): of the documents with these ids."""
+    """id, sig, codes (sorted shingle hashes): of the documents with these ids; one row for each of an id's sets."""
 
     def run(batches):
         tool = Shingler(shingle, coordinates)
@@ -199,109 +198,127 @@ def similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     rows = _sides(pairs, sets, "codes").mapInArrow(run, "a long, b long, both long, either long")
     best = F.max(F.struct((F.col("both") / F.col("either")).alias("j"), "both", "either"))
-    return rows.groupBy("a", "b").agg(best.alias("m")).select("a", "b", "m.both", "m.either", (F.lit(1.0) - F.col("m.j")).alias("d"))
+    return rows.groupBy("a", "b").agg(best.alias("m")).select("a", "b", "m.both", "m.either")
 
 
 def links_of(scored: DataFrame, percent: int) -> DataFrame:
     return scored.where(F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
-def components_of(rows: DataFrame, classes: DataFrame, shingle: int, coordinates: int, matches: int, percent: int) -> DataFrame:
-    """id, comp of the classes that may have links."""
-    prefix = cut(prefixes(post(classes, coordinates), matches))
-    ids = prefix.select("id").distinct()
-    sets = cut(full_sets(rows, ids, shingle, coordinates))
-    labels = cut(ids.select("id", F.col("id").alias("comp")))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-
-    link = lambda pairs: links_of(cut(similarity(pairs, sets)), percent)
-
-    # Each class with the head of most of its lists.
-    heads = prefix.groupBy("token").agg(F.min("id").alias("head"))
-    votes = prefix.join(heads, "token").where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("votes"))
+def star(lists: DataFrame, labels: DataFrame, link) -> DataFrame:
+    """labels after each class of lists (token, id) has been compared with one head, the one that most of its lists name."""
+    heads = lists.groupBy("token").agg(F.min("id").alias("head"))
+    votes = lists.join(heads, "token").where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("head")).alias("minus"))).alias("top"))
-    labels = merge_labels(labels, link(best.select(*pair(F.col("id"), -F.col("top.minus"))).distinct()))
-
-    # Classes outside of a list's main component with a member of it, another one for each list and round.
-    for turn in range(ROUNDS):
-        member = cut(open_lists(prefix, labels))
-        if member.isEmpty():
-            return labels
-        some = member.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "token", "id"), F.col("id").alias("head"), F.col("comp").alias("head_comp"))).alias("h")).select("token", "h.head", "h.head_comp")
-        found = member.where("comp <> main").join(some, "token").where("comp <> head_comp").select("id", "head").distinct()
-        found = cut(agreement(found.select(F.col("id").alias("a"), F.col("head").alias("b")), sets).where(F.col("agree") >= matches))
-        first = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agree"), "b"))).where(F.col("r") <= TRIES)
-        labels = merge_labels(labels, link(first.select(*pair(F.col("a"), F.col("b"))).distinct()))
+    return merge_labels(labels, link(best.select(F.col("id").alias("a"), (-F.col("top.minus")).alias("b"))))
 
-    return the_rest(prefix, labels, sets, matches, percent)
 
-
-def open_lists(prefix: DataFrame, labels: DataFrame) -> DataFrame:
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """token, id, comp, main: lists that hold several components, and the component with most members there."""
-    member = prefix.join(labels, "id").select("token", "id", "comp")
+    member = lists.join(labels, "id").select("token", "id", "comp")
     sizes = member.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    lists = sizes.groupBy("token").agg(F.max(F.struct("n", (-F.col("comp")).alias("minus"))).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    return member.join(lists.select("token", (-F.col("m.minus")).alias("main")), "token")
+    several = sizes.groupBy("token").agg(F.max(F.struct("n", (-F.col("comp")).alias("minus"))).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    return member.join(several.select("token", (-F.col("m.minus")).alias("main")), "token")
+
+
+def against_centres(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """centre, id, n, n_centre, s, rest: classes of open lists against the centre (least id) of the main component.
+
+    n and n_centre are the sizes of the two sets, s of their intersection, and rest is what of the class's set the centre
+    lacks.  A centre with several sets stands for its least one; all its sets are members as well.
+    """
+
+    def run(batches):
+        for batch in batches:
+            own, most, both, rest = [], [], [], []
+            for x, y in zip(batch.column("codes"), batch.column("codes_centre")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                own.append(len(x))
+                most.append(len(y))
+                both.append(int(hit.sum()))
+                rest.append(x[~hit].tobytes())
+            columns = [pa.array(own, pa.int64()), pa.array(most, pa.int64()), pa.array(both, pa.int64()), pa.array(rest, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("centre"), batch.column("id"), *columns], ["centre", "id", "n", "n_centre", "s", "rest"])
+
+    pairs = open_.select(F.col("main").alias("centre"), "id").unionByName(open_.select(F.col("main").alias("centre"), F.col("main").alias("id"))).distinct()
+    centres = sets.groupBy(F.col("id").alias("centre")).agg(F.min("codes").alias("codes_centre"))
+    return pairs.join(sets.select("id", "codes"), "id").join(centres, "centre").mapInArrow(run, "centre long, id long, n long, n_centre long, s long, rest binary")
 
 
 def shingles_of(rows: DataFrame) -> DataFrame:
-    """The columns of rows but codes, and each shingle as code."""
-    names = [c for c in rows.columns if c != "codes"]
+    """The columns of rows but rest, and each shingle of rest as code."""
+    names = [c for c in rows.columns if c != "rest"]
 
     def run(batches):
         for batch in batches:
-            codes = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("codes")]
+            codes = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("rest")]
             row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in codes]))
             flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in names), pa.array(flat)], [*names, "code"])
 
-    return rows.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in rows.dtypes if c != "codes"] + ["code long"]))
+    return rows.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in rows.dtypes if c != "rest"] + ["code long"]))
 
 
-def attainable(close: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows of close (a, other, d) whose class can be as similar to a member of the component as it must be.
+def finer_lists(measured: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """token, id: lists in which all links between different components of one centre's classes are found.
 
-    With s of its n shingles anywhere in the component, and members of at least m shingles, the similarity is at most
-    s / (n + max(m, s) - s).  Edits bring shingles that nothing else has, so most classes at a group's edge end here.
+    Two classes with s and t shingles of the centre share at most min(s, t) of these, so the rest of what a link takes
+    must come from shingles that the centre lacks.  With m the size of the smallest class that may be linked, a class of n
+    shingles needs `need` = percent (n + m) / (100 + percent) - s of them.  It is posted under its rarest such shingles but
+    for need - 1, which is as in the signatures' lists.  Where need is 0 or less, a link may also take shingles of
+    the centre alone.  Of two such classes in different components one is not linked with the centre, and so the other is
+    smaller than the centre: these meet under sizes.
     """
-    inside = members.select("other", F.col("member").alias("id")).unionByName(members.select("other", F.col("other").alias("id"))).distinct()
-    inside = inside.join(close.select("other").distinct(), "other").join(sets.select("id", "codes"), "id")
-    least = inside.groupBy("other").agg(F.min(F.octet_length("codes") / 8).alias("least"))
-    known = shingles_of(inside.select("other", "codes")).distinct()
-    own = close.select("a", "other").join(sets.select(F.col("id").alias("a"), "codes"), "a").withColumn("n", F.octet_length("codes") / 8)
-    found = shingles_of(own.select("a", "other", "n", "codes")).join(known, ["other", "code"]).groupBy("a", "other", "n").agg(F.count(F.lit(1)).alias("s"))
-    fits = found.join(least, "other").where(F.col("s") * 100 >= (F.col("n") + F.greatest("least", "s") - F.col("s")) * percent)
-    return close.select("a", "other", "d").join(fits.select("a", "other").distinct(), ["a", "other"])
+    rows = measured.join(labels, "id").withColumn("row", F.xxhash64("centre", "id", "rest"))
+    group = rows.groupBy("centre").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    rows = rows.join(group.select("centre", "least"), "centre")
+    rows = rows.withColumn("m", F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))
+    rows = cut(rows.withColumn("need", F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent)) - F.col("s")).where(F.col("need") * 8 <= F.octet_length("rest")))
+
+    posted = shingles_of(rows.select("centre", "id", "comp", "row", "need", "rest"))
+    shared = posted.groupBy("centre", "code").agg(F.count(F.lit(1)).alias("freq"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("centre", "code", "freq")
+    own = Window.partitionBy("centre", "id", "row")
+    ranked = posted.join(shared, ["centre", "code"]).withColumn("have", F.count(F.lit(1)).over(own)).withColumn("r", F.row_number().over(own.orderBy("freq", "code")))
+    by_shingle = ranked.where(F.col("r") <= F.col("have") - F.greatest(F.col("need"), F.lit(1)) + 1).select(F.xxhash64("centre", "code").alias("token"), "id")
+
+    small = rows.where("need <= 0 and n < n_centre")
+    sizes = small.select("centre", F.col("n").alias("size")).distinct()
+    apart = rows.where("need <= 0").where(F.col("comp") != F.col("centre"))
+    fits = F.col("size").between(F.col("m"), F.floor(F.col("s") * (100 + percent) / percent) - F.col("n"))
+    by_size = apart.join(sizes, "centre").where(fits).select("centre", "size", "id")
+    met = by_size.select("centre", "size").distinct()
+    by_size = by_size.unionByName(small.withColumnRenamed("n", "size").join(met, ["centre", "size"]).select("centre", "size", "id"))
+    return by_shingle.unionByName(by_size.select(F.xxhash64(F.lit("size"), "centre", "size").alias("token"), "id")).distinct()
 
 
-def the_rest(prefix: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
-    """labels after all candidates that are still in different components have been compared, or ruled out.
+def components_of(rows: DataFrame, classes: DataFrame, shingle: int, coordinates: int, matches: int, percent: int) -> DataFrame:
+    """id, comp of the classes that may have links."""
+    prefix = cut(prefixes(post(classes, coordinates), matches))
+    ids = prefix.select("id").distinct()
+    sets = cut(full_sets(rows, ids, shingle, coordinates))
+    labels = star(prefix, cut(ids.select("id", F.col("id").alias("comp"))), lambda pairs: links_of(similarity(pairs, sets), percent))
+    return the_rest(prefix, labels, sets, matches, percent)
 
-    A class outside of a list's main component is measured against the centre (least id) of each other component there.
-    One less the similarity is a metric, so a member can be linked with the class only if their distances from the centre
-    differ by no more than the bound; just these are compared, and only if attainable() lets the class through.
-    """
-    bound = 1 - percent / 100 + 1e-9
-    member = cut(open_lists(prefix, labels))
-    comps = member.select("token", F.col("comp").alias("other")).distinct()
-    near = member.where("comp <> main").select("token", "id", "comp").join(comps, "token").where("comp <> other")
-    near = near.select("id", "other").distinct()
-    several = labels.where("id <> comp").select(F.col("comp").alias("other")).distinct().withColumn("several", F.lit(True))
-    near = cut(near.join(several, "other", "left").select(F.col("id").alias("a"), F.col("other").alias("b"), "several"))
-    alone = agreement(near.where("several is null").select("a", "b"), sets).where(F.col("agree") >= matches).select("a", "b")
-    near = near.where("several").select("a", "b")
-    measured = cut(similarity(near.unionByName(alone), sets))
-    links = links_of(measured, percent)
-    inside = labels.join(near.select(F.col("b").alias("comp")).distinct(), "comp").where("id <> comp").select("comp", "id")
-    radius = cut(similarity(inside.select(F.col("id").alias("a"), F.col("comp").alias("b")), sets))
-    members = radius.select(F.col("b").alias("other"), F.col("a").alias("member"), F.col("d").alias("d_member"))
-    reach = members.groupBy("other").agg(F.max("d_member").alias("far"))
-    close = measured.select("a", F.col("b").alias("other"), "d").join(reach, "other").where(F.col("d") <= F.col("far") + bound)
-    close = cut(attainable(close, members, sets, percent))
-    pairs = close.join(members, "other").where(F.abs(F.col("d") - F.col("d_member")) <= bound)
-    pairs = pairs.select(F.least("a", "member").alias("a"), F.greatest("a", "member").alias("b")).distinct()
+
+def the_rest(prefix: DataFrame, labels: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
+    """labels after all candidates that are still in different components have been compared, or ruled out."""
+    link = lambda pairs: links_of(similarity(pairs, sets), percent)
+    measured = cut(against_centres(open_lists(prefix, labels), sets))
+    if measured.isEmpty():
+        return labels
+    of_centre = measured.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"), F.col("s").alias("both"), (F.col("n") + F.col("n_centre") - F.col("s")).alias("either"))
+    labels = merge_labels(labels, links_of(of_centre, percent))
+
+    lists = cut(finer_lists(measured, labels, percent))
+    if lists.isEmpty():
+        return labels
+    labels = star(lists, labels, link)
+    member = open_lists(lists, labels)
+    pairs = member.where("comp <> main").join(member.select("token", F.col("id").alias("other"), F.col("comp").alias("comp_other")), "token").where("comp <> comp_other")
+    pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     likely = agreement(pairs, sets).where(F.col("agree") >= matches).select("a", "b")
-    return merge_labels(labels, cut(links.unionByName(links_of(similarity(likely, sets), percent))))
+    return merge_labels(labels, link(likely))
 
 
 def groups(
@@ -341,6 +358,11 @@ def _join_split_ids(of_class: DataFrame, ids: DataFrame, again: DataFrame) -> Da
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **parameters) -> DataFrame:
-    """The rows of docs that groups() keeps, in the columns of docs."""
-    kept = groups(docs, id_column, text_column, **parameters).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return docs.join(kept, F.col(id_column) == F.col("kept_doc_id"), "left_semi").unionByName(docs.where(F.col(id_column).isNull()))
+    """The rows of docs that groups() keeps, in the columns of docs, whatever these are called.
+
+    Rows without shingles (null, empty and wordless texts) and rows with a null id all stay.  Of repeated rows with one
+    id, all stay or none: they are one vertex.  An empty table gives an empty one.
+    """
+    kept, name = groups(docs, id_column, text_column, **parameters).where("kept and doc_id is not null"), free_name(docs, "kept_id")
+    of_kept = docs.join(kept.select(F.col("doc_id").alias(name)).distinct(), F.col(id_column).cast("long") == F.col(name), "left_semi")
+    return of_kept.unionByName(docs.where(F.col(id_column).isNull()))

@@ -1,34 +1,41 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A text is its sequence of words (runs of letters and digits, lower case).  Each word brings a word input and character
-inputs: signed roots of the likelihood ratio of toxic and other training documents, for the hashed word and for the
-strongest of its hashed character n-grams of each order.  The network reads windows of `WINDOW` words that overlap by
-`WINDOW - STRIDE`; attention pools the states of both directions and the inputs; a document's score is that of its most
-toxic window.  Every word of every text is in some window.
-
-Training sees a bounded sample of labelled rows (`max_positive`, `max_negative`), taken in the order of a hash of the
-document id.  Documents are labelled, windows are not: training uses the window of each document that scores highest so
-far, chosen anew every `RESELECT` steps.  A training document's inputs leave out its own count.
+A text is its sequence of words (runs of letters and digits, lower case).  A word's inputs are embeddings that the
+network learns: a vector of the hashed word, and, coordinate by coordinate, the greatest of the vectors of its hashed
+character n-grams.  The network reads windows of `WINDOW` words that overlap by `WINDOW - STRIDE`; attention pools the
+states of both directions and the inputs; a document's score is that of its most toxic window.  Every word of every text
+is in some window.
+
+Training runs in one task and sees a bounded sample of labelled rows (`max_positive`, `max_negative`, `MAX_BYTES`), taken
+in the order of a hash of the document id.  Embeddings start at random but for one coordinate, of a word, or of a
+character n-gram's order, which starts at the signed root of the likelihood ratio of toxic and other training documents;
+for a training document without its own count.  All of them, and all weights, are then trained by gradients.
+Documents are labelled, windows are not: training uses the window of each document that scores highest so far, chosen
+anew every `RESELECT` steps, first by the starting embeddings.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, spans, string_buffers
+from .common import free_name, mix64, spans, string_buffers
 
 WINDOW, STRIDE = 64, 48
 ORDERS = (3, 4, 5, 6)
-INPUTS = 1 + len(ORDERS)
-BITS = 20
+WORD_DIM = CHAR_DIM = len(ORDERS)
+INPUTS = WORD_DIM + CHAR_DIM
+BITS = 18
 HIDDEN, ATTENTION = 8, 8
-#: Labelled rows that a model is fitted on, at most.
-MAX_POSITIVE, MAX_NEGATIVE = 1200, 2400
-STEPS, BATCH, RATE, RESELECT = 320, 96, 0.02, 64
+#: Labelled rows that a model is fitted on, at most, and the bytes of their texts.
+MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
+MAX_BYTES = 1 << 26
+STEPS, BATCH, RATE, EMBED_RATE, RESELECT = 400, 96, 0.02, 0.003, 100
 #: Bytes of text in one scoring step.
 STEP_BYTES = 1 << 21
 
@@ -72,15 +79,22 @@ def word_slots(words: pa.Array):
     return (mix64(whole) >> shift).astype(np.int64), out
 
 
-def inputs_of(slots, word_z: np.ndarray, gram_z: np.ndarray) -> np.ndarray:
-    """float32 [words, INPUTS]; a word too short for an order has 0 there."""
-    whole, orders = slots
+def flat_grams(slots, size: int):
+    """(slots, first, of) of the n-grams of all orders by word: word of[k] has those from first[k] on."""
+    word = np.concatenate([w for _, _, w in slots[1]])
+    order = np.argsort(word, kind="stable")
+    word, slot = word[order], np.concatenate([s for _, s, _ in slots[1]])[order]
+    of = np.flatnonzero(np.bincount(word, minlength=size)) if len(word) else np.empty(0, np.int64)
+    return slot, np.searchsorted(word, of), of
+
+
+def inputs_of(whole: np.ndarray, grams, word_table: np.ndarray, gram_table: np.ndarray) -> np.ndarray:
+    """float32 [words, INPUTS]; a word too short for n-grams has 0 in their places."""
+    slot, first, of = grams
     x = np.zeros((len(whole), INPUTS), np.float32)
-    x[:, 0] = word_z[whole]
-    for k, (_, slot, word) in enumerate(orders, 1):
-        if len(slot):
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            x[word[first], k] = np.maximum.reduceat(gram_z[slot], first)
+    x[:, :WORD_DIM] = word_table[whole]
+    if len(slot):
+        x[of, WORD_DIM:] = np.maximum.reduceat(gram_table[slot], first, axis=0)
     return x
 
 
@@ -115,10 +129,7 @@ def start_weights(seed: int = 7) -> dict[str, np.ndarray]:
     for d in "fb":
         out |= {f"W{d}": w(INPUTS, 3 * HIDDEN), f"U{d}": w(HIDDEN, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32)}
     wide = 2 * HIDDEN + INPUTS
-    out |= {"A": w(wide, ATTENTION), "a": np.zeros(ATTENTION, np.float32), "v": w(ATTENTION), "o": w(wide) * np.float32(0.1), "c": np.full(1, -2, np.float32)}
-    # Attention starts on words with strong inputs, and these start as evidence.
-    out["A"][2 * HIDDEN :, 0], out["v"][0], out["o"][2 * HIDDEN :] = 0.4, 4, 0.6
-    return out
+    return out | {"A": w(wide, ATTENTION), "a": np.zeros(ATTENTION, np.float32), "v": w(ATTENTION), "o": w(wide), "c": np.zeros(1, np.float32)}
 
 
 def run_direction(gates, mask, U, reverse, keep):
@@ -154,6 +165,7 @@ def forward(p, x, mask, keep=False, gates=None):
 
 
 def gradient(p, x, mask, y, decay=1e-4):
+    """Gradients of the mean loss by the weights, and by the inputs (x)."""
     logit, (wide, u, alpha, pooled, tf, tb, hf, hb) = forward(p, x, mask, True)
     B = len(y)
     d = (sigmoid(logit) - y) / np.float32(B)
@@ -166,6 +178,7 @@ def gradient(p, x, mask, y, decay=1e-4):
     du = de[:, :, None] * p["v"] * (1 - u * u)
     g["A"], g["a"] = np.einsum("tbd,tbk->dk", wide, du, optimize=True), du.sum((0, 1))
     dwide = dwide + du @ p["A"].T
+    dx = dwide[:, :, 2 * HIDDEN :].copy()
     for name, tape, lo in (("f", tf, 0), ("b", tb, HIDDEN)):
         U, dh = p[f"U{name}"], np.zeros((B, HIDDEN), np.float32)
         dgates, gU = np.zeros((*x.shape[:2], 3 * HIDDEN), np.float32), np.zeros_like(U)
@@ -182,57 +195,125 @@ def gradient(p, x, mask, y, decay=1e-4):
             dh = dh * (1 - m) + dnew * z + ds @ U.T
         g[f"U{name}"], g[f"b{name}"] = gU, dgates.sum((0, 1))
         g[f"W{name}"] = np.einsum("tbd,tbk->dk", x, dgates, optimize=True)
-    return {k: v + np.float32(decay) * p[k] for k, v in g.items()}
+        dx += dgates @ p[f"W{name}"].T
+    return {k: v + np.float32(decay) * p[k] for k, v in g.items()} | {"x": dx}
 
 
-def gather(table: np.ndarray, index: np.ndarray, first: np.ndarray, length: np.ndarray):
-    """Time-major rows of the windows, and their mask."""
+def places(index: np.ndarray, first: np.ndarray, length: np.ndarray):
+    """Time-major entries of index for the windows, and their mask."""
     t = np.arange(int(length.max()))[:, None]
-    inside = t < length
-    return table[index[np.minimum(first + t, len(index) - 1)]] * inside[:, :, None].astype(np.float32), inside.astype(np.float32)
+    return index[np.minimum(first + t, len(index) - 1)], (t < length).astype(np.float32)
+
+
+class Embeddings:
+    """The tables of a training sample.  A word number counts twice: + size for the words of toxic documents, whose
+    starting values leave one toxic document out, where those of the others leave out one of these."""
+
+    CHUNK = 1 << 15
+
+    def __init__(self, words: pa.Array, df1: np.ndarray, df0: np.ndarray, seed: int):
+        rng, self.words, self.size = np.random.default_rng(seed + 1), words, len(words)
+        share = float(np.clip(df1.sum() / max(1.0, df1.sum() + df0.sum()), 0.01, 0.99))
+        n = 1 << BITS
+        self.word, self.gram = (rng.standard_normal((n, d)).astype(np.float32) * np.float32(0.05) for d in (WORD_DIM, CHAR_DIM))
+        self.column, word_c, gram_c = np.zeros(n, np.int8), np.zeros((2, n)), np.zeros((2, n))
+        for i in range(0, self.size, self.CHUNK):
+            whole, orders = word_slots(words.slice(i, self.CHUNK))
+            for c, df in enumerate((df0, df1)):
+                d = df[i : i + self.CHUNK]
+                word_c[c] += np.bincount(whole, weights=d, minlength=n)
+                for _, slot, w in orders:
+                    gram_c[c] += np.bincount(slot, weights=d[w], minlength=n)
+            for k, (_, slot, _) in enumerate(orders):
+                self.column[slot] = k  # the order that starts as evidence in this slot
+        start = lambda less: [signed_root(c[1] - (less == 1), c[0] - (less == 0), share) for c in (word_c, gram_c)]
+        self.start = {less: start(less) for less in (None, 0, 1)}
+        self.seen = np.zeros((n, WORD_DIM), np.float32), np.zeros((n, CHAR_DIM), np.float32)
+
+    def final(self) -> tuple[np.ndarray, np.ndarray]:
+        word, gram = self.word.copy(), self.gram.copy()
+        word[:, 0] += self.start[None][0]
+        gram[np.arange(len(gram)), self.column] += self.start[None][1]
+        return word, gram
+
+    def look(self, numbers: np.ndarray):
+        """x of these word numbers, and what learn() needs."""
+        toxic = numbers >= self.size
+        slots = word_slots(self.words.take(pa.array(numbers % self.size)))
+        whole, (taken, heads, has) = slots[0], flat_grams(slots, len(numbers))
+        x = np.zeros((len(numbers), INPUTS), np.float32)
+        x[:, :WORD_DIM] = self.word[whole]
+        x[:, 0] += np.where(toxic, self.start[1][0][whole], self.start[0][0][whole])
+        if not len(taken):
+            return x, (whole, None)
+        lengths = np.diff(np.r_[heads, len(taken)])
+        v = self.gram[taken]
+        v[np.arange(len(taken)), self.column[taken]] += np.where(np.repeat(toxic[has], lengths), self.start[1][1][taken], self.start[0][1][taken])
+        best = np.maximum.reduceat(v, heads, axis=0)
+        x[has, WORD_DIM:] = best
+        return x, (whole, (has, taken, lengths, v >= np.repeat(best, lengths, axis=0)))
+
+    def learn(self, kept, dx: np.ndarray, rate: float) -> None:
+        """A step of AdaGrad for the rows that were looked up."""
+        whole, grams = kept
+        for table, seen, slot, d in ((self.word, self.seen[0], whole, dx[:, :WORD_DIM]), (self.gram, self.seen[1], *self._to_grams(grams, dx))):
+            if slot is None:
+                continue
+            rows, of = np.unique(slot, return_inverse=True)
+            g = np.zeros((len(rows), d.shape[1]), np.float32)
+            np.add.at(g, of, d)
+            seen[rows] += g * g
+            table[rows] -= np.float32(rate) * g / (np.sqrt(seen[rows]) + np.float32(1e-6))
+
+    @staticmethod
+    def _to_grams(grams, dx):
+        if grams is None:
+            return None, None
+        has, taken, lengths, top = grams
+        d = np.repeat(dx[has, WORD_DIM:], lengths, axis=0) * top
+        some = d.any(1)
+        return taken[some], d[some]
 
 
 def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> dict:
-    """The model of these documents: tables of inputs, and weights.  Without both classes the score is constant."""
+    """The model of these documents: embeddings and weights.  Without both classes the score is constant."""
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.0}
     words, sizes = tokens(pa.array(texts, pa.string()))
     coded = words.dictionary_encode()
     index, size = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
+    w_row, first, length = windows(sizes)
+    if not len(w_row):
+        return {"constant": float(y.mean())}
     row = np.repeat(np.arange(len(y)), sizes)
     pair = np.unique(row * size + index)
     df1 = np.bincount((pair % size)[y[pair // size] == 1], minlength=size).astype(float)
     df0 = np.bincount(pair % size, minlength=size) - df1
-    share = float(np.clip(df1.sum() / max(1.0, df1.sum() + df0.sum()), 0.01, 0.99))
-    slots = word_slots(coded.dictionary)
-    word_c = [np.bincount(slots[0], weights=c, minlength=1 << BITS) for c in (df1, df0)]
-    gram_c = [sum(np.bincount(s, weights=c[w], minlength=1 << BITS) for _, s, w in slots[1]) for c in (df1, df0)]
-    tables = {}
-    for label, (less1, less0) in {"": (0, 0), 1: (1, 0), 0: (0, 1)}.items():
-        tables[label] = [signed_root(c[0] - less1, c[1] - less0, share) for c in (word_c, gram_c)]
-    x1, x0 = inputs_of(slots, *tables[1]), inputs_of(slots, *tables[0])
-    both = np.vstack([x0, x1])
+    tables = Embeddings(coded.dictionary, df1, df0, seed)
     index = index + size * (y[row] == 1)
-    w_row, first, length = windows(sizes)
-    if not len(w_row):
-        return {"constant": float(y.mean())}
     p, rng = start_weights(seed), np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     starts = np.flatnonzero(np.r_[True, w_row[1:] != w_row[:-1]])
-    strong = np.maximum(both, 0).sum(1)
-    score = np.concatenate([gather(strong[:, None], index, first[i : i + 4096], length[i : i + 4096])[0][:, :, 0].max(0) for i in range(0, len(first), 4096)])
     pending = np.empty(0, np.int64)
     for step in range(1, steps + 1):
         if step % RESELECT == 1:  # the first time, the window with the strongest word
-            if step > 1:
-                score = np.concatenate([forward(p, *gather(both, index, first[i : i + 2048], length[i : i + 2048]))[0] for i in range(0, len(first), 2048)])
-            chosen = np.lexsort((-score, w_row))[starts]
+            used = np.unique(index)
+            x = np.concatenate([tables.look(used[k : k + tables.CHUNK])[0] for k in range(0, len(used), tables.CHUNK)])
+            at, score = np.searchsorted(used, index), []
+            for k in range(0, len(first), 1024):
+                place, mask = places(at, first[k : k + 1024], length[k : k + 1024])
+                score.append((np.maximum(x, 0).sum(1)[place] * mask).max(0) if step == 1 else forward(p, x[place] * mask[:, :, None], mask)[0])
+            chosen = np.lexsort((-np.concatenate(score), w_row))[starts]
         while len(pending) < BATCH:
             pending = np.concatenate([pending, rng.permutation(len(chosen))])
         k, pending = chosen[pending[:BATCH]], pending[BATCH:]
-        x, mask = gather(both, index, first[k], length[k])
-        g = gradient(p, x, mask, y[w_row[k]])
+        numbers, mask = places(index, first[k], length[k])
+        used, at = np.unique(numbers, return_inverse=True)
+        x, kept = tables.look(used)
+        at = at.reshape(numbers.shape)
+        g = gradient(p, x[at] * mask[:, :, None], mask, y[w_row[k]])
+        dx = g.pop("x")
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
         for name, v in g.items():
             v = v * np.float32(min(1.0, 1.0 / max(norm, 1e-12)))
@@ -241,7 +322,11 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
             b += np.float32(0.001) * (v * v - b)
             rate = np.float32(RATE * (1 - step / steps) + 1e-4)
             p[name] -= rate * (a / np.float32(1 - 0.9**step)) / (np.sqrt(b / np.float32(1 - 0.999**step)) + np.float32(1e-8))
-    return {"weights": p, "word_z": tables[""][0], "gram_z": tables[""][1]}
+        d = np.zeros_like(x)
+        np.add.at(d, at.ravel(), (dx * mask[:, :, None]).reshape(-1, INPUTS))
+        tables.learn(kept, d, EMBED_RATE * (1 - step / steps))
+    word, gram = tables.final()
+    return {"weights": p, "word": word, "gram": gram}
 
 
 def score_texts(model: dict, column: pa.Array) -> np.ndarray:
@@ -255,7 +340,8 @@ def score_texts(model: dict, column: pa.Array) -> np.ndarray:
         if not len(words):
             continue
         coded = words.dictionary_encode()
-        x = inputs_of(word_slots(coded.dictionary), model["word_z"], model["gram_z"])
+        slots = word_slots(coded.dictionary)
+        x = inputs_of(slots[0], flat_grams(slots, len(coded.dictionary)), model["word"], model["gram"])
         index = np.asarray(coded.indices).astype(np.int64)
         gates = x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]
         row, first, length = windows(sizes)
@@ -276,30 +362,46 @@ def held_out(id_column: str = "doc_id", folds: int = 5, fold: int = 0):
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> dict:
-    """A model of the labelled rows that are not held out.
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_bytes: int = MAX_BYTES) -> dict:
+    """A model of the labelled rows that are not held out, trained in one task.
 
-    A document counts as toxic if any of its label rows says so; null labels and ids say nothing.
+    A document counts as toxic if any of its label rows says so; null labels and ids say nothing.  Of rows with one id,
+    the greatest text teaches.  Texts of the sample that exceed max_bytes together, in the order of the hash, are left out.
     """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.md5(F.concat_ws(":", F.lit("toxicity"), F.col("doc_id").cast("string")).cast("binary"))
-    picked = [known.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(n) for k, n in ((1, max_positive), (0, max_negative))]
+    picked = [known.where(F.col("toxic") == k).withColumn("at", order).orderBy("at", "doc_id").limit(n) for k, n in ((1, max_positive), (0, max_negative))]
     sample = F.broadcast(picked[0].unionByName(picked[1]))  # at most max_positive + max_negative ids
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "text", "toxic").toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable", na_position="first")
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy(np.float32))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= max_bytes)
+    rows = texts.join(sample, "doc_id").groupBy("doc_id", "toxic", "at").agg(F.max("text").alias("text"))
+
+    def run(batches):
+        found, size = [], 0
+        for batch in batches:
+            for doc, text, label in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))):
+                size += len(text.encode("utf-8", "replace"))
+                if size <= max_bytes:
+                    found.append((doc, text, label))
+        found.sort()
+        model = train([t for _, t, _ in found], np.array([k for _, _, k in found], np.float32))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # One task, of a bounded sample.  Its model, of a fixed size, is all that reaches the driver.
+    (row,) = rows.repartition(1).sortWithinPartitions("at", "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "model binary").collect() or [None]
+    return pickle.loads(row["model"]) if row else train([], np.empty(0))
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with the columns score and predicted in place of text's reading; all other columns pass through."""
+    """docs with score and predicted added; columns of these names get an underscore before them instead."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["score double", "predicted int"])
+    names = [*docs.columns, free_name(docs, "score"), free_name(docs, "predicted")]
+    kinds = [*(f.dataType.simpleString() for f in docs.schema), "double", "int"]
+    schema = ", ".join(f"`{c}` {t}" for c, t in zip(names, kinds))
 
     def run(batches):
         for batch in batches:
             s = score_texts(shared.value, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -308,8 +410,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIV
     """Per row of docs: doc_id, held_out, score, predicted.
 
     Null, empty and wordless texts score 0, however the model is (all texts score the labels' mean where one class is
-    missing).  A null id counts as not held out and is never in the sample; repeated rows are scored, and taught, one by
-    one; empty tables give no rows; extra columns are ignored.
+    missing).  A null id counts as not held out and is never in the sample; repeated rows are scored one by one; empty
+    tables give no rows; extra columns are ignored.
     """
     model = fit(docs, labels, max_positive, max_negative)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))

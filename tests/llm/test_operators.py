@@ -125,6 +125,44 @@ def test_gradient():
         assert g[name][k] == pytest.approx((loss(up) - loss(down)) / 2e-3, abs=2e-3), name
 
 
+def test_gradient_of_the_inputs():
+    rng = np.random.default_rng(1)
+    p = {k: v.astype(np.float64) for k, v in toxicity.start_weights().items()}
+    x, mask, y = rng.standard_normal((6, 2, toxicity.INPUTS)), np.ones((6, 2)), np.array([1.0, 0.0])
+    mask[4:, 0] = 0
+    loss = lambda v: float(np.mean(np.logaddexp(0, -(2 * y - 1) * toxicity.forward(p, v * mask[:, :, None], mask)[0])))
+    g = toxicity.gradient(p, x * mask[:, :, None], mask, y, 0)["x"] * mask[:, :, None]
+    for k in [(0, 0, 0), (3, 1, 5), (5, 1, 7), (5, 0, 2)]:
+        up, down = x.copy(), x.copy()
+        up[k] += 1e-3
+        down[k] -= 1e-3
+        assert g[k] == pytest.approx((loss(up) - loss(down)) / 2e-3, abs=2e-4)
+
+
+def test_words_look_up_their_embeddings():
+    """Inputs of words, in any batch, are those of a word alone; a word's vector and the greatest of its n-grams'."""
+    rng = np.random.default_rng(2)
+    word, gram = (rng.standard_normal((1 << toxicity.BITS, toxicity.WORD_DIM)).astype(np.float32) for _ in range(2))
+    some = ["idiot", "a", "ab", "scum", "été", "idiots"]
+
+    def inputs(ws):
+        slots = toxicity.word_slots(pa.array(ws))
+        return slots, toxicity.inputs_of(slots[0], toxicity.flat_grams(slots, len(ws)), word, gram)
+
+    _, whole = inputs(some)
+    for k, w in enumerate(some):
+        slots, x = inputs([w])
+        assert (x[0] == whole[k]).all() and (x[0, : toxicity.WORD_DIM] == word[slots[0][0]]).all()
+        grams = np.concatenate([s for _, s, _ in slots[1]])
+        assert (x[0, toxicity.WORD_DIM :] == (gram[grams].max(0) if len(grams) else 0)).all()
+
+
+def test_toxicity_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "a", 0.5, 1)], "doc_id long, text string, score double, Predicted int")
+    got = toxicity.score(rows, toxicity.train([], np.array([])))
+    assert got.columns == ["doc_id", "text", "score", "Predicted", "_score", "_predicted"] and got.first()["score"] == 0.5
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

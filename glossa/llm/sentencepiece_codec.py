@@ -1,13 +1,17 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text is a sequence of words: spaces with the characters after them (pieces never reach across).  Each block of
-documents keeps its distinct words, so the corpus moves as one row per block and word, and as compact word numbers.
-Distinct words then become a lattice in SQL: their substrings of bounded length are exploded, equi-joined to the piece
-table (broadcast; its size is checked) and gathered by word, and a higher-order aggregate folds the edges of a word:
+A text is a sequence of words: spaces with the characters after them (pieces never reach across).  A word is cut further
+between two neighbouring characters that no piece holds side by side.  Each block of documents keeps its distinct words,
+so the corpus moves as one row per block and word, and as compact word numbers.  Distinct words then become a lattice in
+SQL: their substrings of bounded length are exploded, equi-joined to the piece table (broadcast; its size is checked) and
+gathered by word, and a higher-order aggregate folds the edges of a word:
 
 - for a unigram model the fold is Viterbi, position by position;
-- for a BPE model, Viterbi over its scores gives other pieces than the model's merges, so the fold takes, step by step,
-  the best-scored edge that joins two neighbouring symbols, on a bit mask of symbol borders.  This is exact.
+- for a BPE model, Viterbi over its scores gives other pieces than the model's merges, so the fold merges symbols on a bit
+  mask of their borders.  Up to the moment at which an edge can join two symbols, the merges inside of it are those of its
+  piece alone.  So if the last two symbols of every piece have better scores than the piece (`late_pieces` looks at each),
+  no merge makes a better one possible, and one pass over the edges from the best to the worst does what the model does,
+  merge by merge.  Words with an edge of another piece take the best edge that fits step by step.
 
 Words too long for a bit mask (over `MASK_CHARS` characters) and of BPE models are merged by a heap in Python.  The
 finished piece ids return to their blocks and are laid out by word number; the ids are decoded and compared as well.
@@ -21,20 +25,27 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, list_array, text_or_empty
+from .common import cut, list_array, partitions_for, text_or_empty
 
 SPACE = "▁"
 MASK_CHARS = 60
 #: Distinct words after which a block of documents ends.
 BLOCK_WORDS = 1 << 21
+#: Words whose cuts a task remembers.
+CUT_WORDS = 1 << 17
 #: Bytes of word numbers in one row.
 ROW_BYTES = 1 << 16
+#: Bytes of a text's digest that a block keeps for the comparison with the decoded text.
+DIGEST = 8
 #: Places (blocks) of a word in one row.
 PLACES = 4096
 #: Pieces that may be broadcast.
@@ -54,6 +65,11 @@ class Model:
     def normal(self) -> list[tuple[str, int, float]]:
         return [(p, k, s) for k, (p, s) in enumerate(self.pieces) if isinstance(p, str) and p]
 
+    @property
+    def neighbours(self) -> set[str]:
+        """Characters that some piece holds side by side; the model's mark for a space as a space."""
+        return {a + b for p, _, _ in self.normal for a, b in zip(p.replace(SPACE, " "), p.replace(SPACE, " ")[1:])}
+
     @property
     def bytes_ids(self) -> list[int]:
         at = {p[0]: k for k, (p, _) in enumerate(self.pieces) if isinstance(p, bytes) and p}
@@ -135,6 +151,23 @@ def merge_long(word: str, score: dict[str, float]) -> list[str]:
     return [word[i : i + size[i]] for i in range(n) if size[i]]
 
 
+def late_pieces(model: Model) -> set[str]:
+    """Pieces of a BPE model with a part of no better score: of the two symbols that the piece alone is last joined from."""
+    score, late = {p: s for p, _, s in model.normal}, set()
+    for piece in score:
+        symbols, worst = list(piece), []
+        while len(symbols) > 1:
+            best = max(((score[a + b], -k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in score), default=None)
+            if best is None:
+                break
+            k = -best[1]
+            worst = [score[x] for x in symbols if len(x) > 1]
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        if len(symbols) == 1 and worst and min(worst) <= score[piece]:
+            late.add(piece)
+    return late
+
+
 # ---------------------------------------------------------------------------------------------- the lattice
 
 def piece_table(spark, model: Model) -> DataFrame:
@@ -145,9 +178,10 @@ def piece_table(spark, model: Model) -> DataFrame:
 
 
 def grouped_words(words: DataFrame) -> DataFrame:
-    """word, at: each distinct word with its places (block << 32 | number), at most PLACES in a row.
+    """word, at: each distinct word with its places (block << 28 | number), at most PLACES in a row.
 
-    Words are dealt by hash and sorted, so equal ones are neighbours; a word of more blocks has several rows.
+    words are in partitions by hash and get sorted there, so equal ones are neighbours; a word of more blocks has several
+    rows.
     """
 
     def run(batches):
@@ -178,32 +212,55 @@ def grouped_words(words: DataFrame) -> DataFrame:
         if left is not None and left.num_rows:
             yield rows(left)
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, at array<long>")
+    return words.sortWithinPartitions("word").mapInArrow(run, "word string, at array<long>")
 
 
-def gather_edges(edges: DataFrame) -> DataFrame:
-    """word, at, m, edges: the rows of a word, which follow each other, as one; edges by cost, then start.
+def gather_edges(edges: DataFrame, model: Model) -> DataFrame:
+    """word, at, m, edges, joins, chars, late: the rows of a word, which follow each other, as one.
 
-    The first row of a word, its first character, brings word and at.
+    The first row of a word, its first character, brings word and at.  All rows bring the word's number, so rows that do
+    not follow each other fail.  For a BPE model joins has the edges of several characters, by cost and start, chars the
+    ids of the characters (-1 without a piece), and late says if an edge is of a late piece; else edges has all of them.
     """
+    bpe = model.kind == "bpe"
+    single = {ord(p): k for p, k, _ in model.normal if len(p) == 1}
+    points = np.array(sorted(single), np.uint32)
+    ids_of = np.array([single[c] for c in points.tolist()] + [-1], np.int32)
+    slow = late_pieces(model) if bpe else set()
+    late = np.array([k for p, k, _ in model.normal if p in slow], np.int32)
 
     def run(batches):
-        names = ["word", "at", "s", "e", "id", "cost"]
+        names = ["number", "word", "at", "s", "e", "id", "cost"]
         left = None
 
         def rows(t):
-            word, end = t.column("word"), np.asarray(t.column("e"))
+            word, end, number = t.column("word"), np.asarray(t.column("e")), np.asarray(t.column("number"))
             new = np.flatnonzero(np.asarray(word.is_valid()))
             size = np.diff(np.r_[new, t.num_rows])
-            owner = np.repeat(np.arange(len(new)), size)
-            cost = np.asarray(t.column("cost").fill_null(np.inf))
-            order = pa.array(np.lexsort((np.asarray(t.column("s")), cost, owner)))
-            s, e = np.asarray(t.column("s")).astype(np.int64), end.astype(np.int64)
+            if not np.array_equal(np.repeat(number[new], size), number):
+                raise ValueError("the edges of a word do not follow each other")
+            heads, owner = word.take(pa.array(new)), np.repeat(np.arange(len(new)), size)
+            text = pa.compute.replace_substring(heads, " ", SPACE)
+            m = np.asarray(pa.compute.utf8_length(text)).astype(np.int32)
+            s, e, ident, cost = np.asarray(t.column("s")).astype(np.int64), end.astype(np.int64), t.column("id"), np.asarray(t.column("cost").fill_null(np.inf))
+            if not bpe:
+                order = pa.array(np.lexsort((s, cost, owner)))
+                items = pa.StructArray.from_arrays([t.column(c).take(order) for c in ("cost", "s", "e", "id")], ["cost", "s", "e", "id"])
+                empty = list_array(pa.array([], JOIN), np.zeros(len(new), np.int64))
+                return pa.RecordBatch.from_arrays([heads, t.column("at").take(pa.array(new)), pa.array(m), list_array(items, size), empty, list_array(pa.array([], pa.int32()), np.zeros(len(new), np.int64)), pa.array(np.zeros(len(new), bool))], NAMES)
+            pick = np.flatnonzero(e - s > 1)
+            pick = pick[np.lexsort((s[pick], cost[pick], owner[pick]))]
+            s, e, owner = s[pick], e[pick], owner[pick]
+            ident = np.asarray(ident.take(pa.array(pick)).fill_null(-1))
             bit = lambda k: np.int64(1) << np.minimum(k, 62)
-            masks = [bit(s) | bit(e), (bit(e) - 1) & ~(bit(s + 1) - 1)]
-            items = pa.StructArray.from_arrays([t.column(c).take(order) for c in ("cost", "s", "e", "id")] + [pa.array(v).take(order) for v in masks], ["cost", "s", "e", "id", "ends", "inside"])
-            first = pa.array(new)
-            return pa.RecordBatch.from_arrays([word.take(first), t.column("at").take(first), pa.array(np.maximum.reduceat(end, new).astype(np.int32)), list_array(items, size)], ["word", "at", "m", "edges"])
+            parts = [pa.array(s.astype(np.int32)), pa.array(ident), pa.array(bit(s) | bit(e)), pa.array((bit(e) - 1) & ~(bit(s + 1) - 1))]
+            joins = list_array(pa.StructArray.from_arrays(parts, fields=list(JOIN)), np.bincount(owner, minlength=len(new)))
+            code = np.frombuffer("".join(text.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            place = np.searchsorted(points, code)
+            known = points[np.minimum(place, len(points) - 1)] == code if len(points) else np.zeros(len(code), bool)
+            chars = list_array(pa.array(ids_of[np.where(known, place, -1)]), m)
+            odd = np.bincount(owner, weights=np.isin(ident, late), minlength=len(new)) > 0
+            return pa.RecordBatch.from_arrays([heads, t.column("at").take(pa.array(new)), pa.array(m), list_array(pa.array([], EDGE), np.zeros(len(new), np.int64)), joins, chars, pa.array(odd)], NAMES)
 
         for batch in batches:
             if not batch.num_rows:
@@ -217,29 +274,39 @@ def gather_edges(edges: DataFrame) -> DataFrame:
         if left is not None and left.num_rows:
             yield rows(left)
 
-    return edges.mapInArrow(run, "word string, at array<long>, m int, edges array<struct<cost:double,s:int,e:int,id:int,ends:long,inside:long>>")
+    NAMES = ["word", "at", "m", "edges", "joins", "chars", "late"]
+    JOIN = pa.struct([("s", pa.int32()), ("id", pa.int32()), ("ends", pa.int64()), ("inside", pa.int64())])
+    EDGE = pa.struct([("cost", pa.float64()), ("s", pa.int32()), ("e", pa.int32()), ("id", pa.int32())])
+    return edges.mapInArrow(run, "word string, at array<long>, m int, edges array<struct<cost:double,s:int,e:int,id:int>>, joins array<struct<s:int,id:int,ends:long,inside:long>>, chars array<int>, late boolean")
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """Distinct words (word, at; their spaces as plain spaces) -> word, at, ids."""
     spark = words.sparkSession
-    longest = max((len(p) for p, _, _ in model.normal), default=1)
-    short = words.where(F.length("word") <= MASK_CHARS) if model.kind == "bpe" else words
-    text, part = F.translate("word", " ", SPACE), F.col("part")
-    parts = short.select("word", "at", text.alias("w"), F.length("word").alias("m")).select("word", "at", F.explode(F.expr(
-        f"flatten(transform(sequence(0, m - 1), s -> transform(sequence(1, least({longest}, m - s)), n -> named_struct('s', s, 'n', n, 'piece', substring(w, s + 1, n)))))"
-    )).alias("part")).select("word", "at", part["s"].alias("s"), part["n"].alias("n"), part["piece"].alias("piece"))
+    longest, bpe = max((len(p) for p, _, _ in model.normal), default=1), model.kind == "bpe"
+    short = words.where(F.length("word") <= MASK_CHARS) if bpe else words
+    # Of a BPE model's characters only the first gets a row: it brings the word.  The others' ids need no join.
+    starts, sizes = ("sequence(0, greatest(m - 2, 0))", "sequence(if(s = 0, 1, 2), least(%d, m - s))" % max(longest, 2)) if bpe else ("sequence(0, m - 1)", "sequence(1, least(%d, m - s))" % longest)
+    numbered = short.select(F.monotonically_increasing_id().alias("number"), "word", "at", F.translate("word", " ", SPACE).alias("w"), F.length("word").alias("m"))
+    at_starts = numbered.withColumn("s", F.explode(F.expr(starts)))
+    parts = at_starts.withColumn("n", F.explode(F.expr(sizes))).withColumn("piece", F.expr("substring(w, s + 1, n)"))
     # A broadcast join streams past the pieces, so the edges of a word stay together and are not shuffled or sorted.
     edges = parts.join(F.broadcast(piece_table(spark, model)), "piece", "left").where("id is not null or n = 1")
     head = (F.col("s") == 0) & (F.col("n") == 1)
-    grouped = gather_edges(edges.select(F.when(head, F.col("word")).alias("word"), F.when(head, F.col("at")).alias("at"), "s", (F.col("s") + F.col("n")).alias("e"), "id", (-F.col("score")).alias("cost")))
-    if model.kind == "bpe":
+    grouped = gather_edges(edges.select("number", F.when(head, F.col("word")).alias("word"), F.when(head, F.col("at")).alias("at"), "s", (F.col("s") + F.col("n")).alias("e"), "id", (-F.col("score")).alias("cost")), model)
+    codes = ", ".join(map(str, model.bytes_ids))
+    fallback = "transform(sequence(1, octet_length(substring(word, {0} + 1, 1))), k -> element_at(array(%s), cast(conv(substring(hex(substring(word, {0} + 1, 1)), 2 * k - 1, 2), 16, 10) as int) + 1))" % codes
+    if bpe:
         # Borders are bits 0..m.  An edge joins two symbols if both its ends are borders with one between them; `ends`
-        # and `inside` hold these bits.  joins is sorted by cost, so the first edge that fits is the best.
+        # and `inside` hold these bits.
+        once = "aggregate(joins, shiftleft(1L, m + 1) - 1L, (mask, x) -> if((mask & x.ends) = x.ends and bit_count(mask & x.inside) = 1, mask & ~x.inside, mask))"
         fits = "filter(joins, x -> (mask & x.ends) = x.ends and bit_count(mask & x.inside) = 1)"
-        fold = f"aggregate(sequence(1, least(greatest(m - 1, 1), greatest(size(joins), 1))), shiftleft(1L, m + 1) - 1L, (mask, k) -> mask & ~coalesce(get({fits}, 0).inside, 0L))"
-        masked = grouped.select("word", "at", "edges", "m", F.expr("filter(edges, x -> x.inside <> 0L)").alias("joins")).select("word", "at", "edges", F.expr(fold).alias("mask"))
-        best = masked.select("word", "at", F.expr("array_sort(transform(filter(edges, x -> (mask & x.ends) = x.ends and (mask & x.inside) = 0L), x -> named_struct('s', x.s, 'e', x.e, 'id', x.id)))").alias("best"))
+        steps = f"aggregate(sequence(1, least(greatest(m - 1, 1), greatest(size(joins), 1))), shiftleft(1L, m + 1) - 1L, (mask, k) -> mask & ~coalesce(get({fits}, 0).inside, 0L))"
+        masked = grouped.select("word", "at", "joins", "chars", "m", F.expr(f"if(late, {steps}, {once})").alias("mask"))
+        joined = "transform(filter(joins, x -> (mask & x.ends) = x.ends and (mask & x.inside) = 0L), x -> named_struct('s', x.s, 'id', x.id))"
+        alone = "transform(filter(sequence(0, m - 1), i -> (shiftright(mask, i) & 3L) = 3L), i -> named_struct('s', i, 'id', get(chars, i)))"
+        best = masked.select("word", "at", F.expr(f"array_sort(concat({joined}, {alone}))").alias("best"))
+        missing = "x.id < 0"
     else:
         least = min((s for _, _, s in model.normal), default=0.0) - 10.0
         step = (
@@ -248,10 +315,9 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
         fold = f"aggregate(sequence(1, m), array(named_struct('cost', 0D, 's', -1, 'e', 0, 'id', cast(null as int))), (state, k) -> concat(state, array(array_min({step}))))"
         back = "aggregate(sequence(1, m), named_struct('k', m, 'path', cast(array() as array<struct<s:int,e:int,id:int>>)), (b, i) -> if(b.k = 0, b, named_struct('k', element_at(state, b.k + 1).s, 'path', concat(array(named_struct('s', element_at(state, b.k + 1).s, 'e', element_at(state, b.k + 1).e, 'id', element_at(state, b.k + 1).id)), b.path))), b -> b.path)"
         best = grouped.select("word", "at", "m", F.expr(fold).alias("state")).select("word", "at", F.expr(back).alias("best"))
-    codes = ", ".join(map(str, model.bytes_ids))
-    fallback = "transform(sequence(1, octet_length(substring(word, x.s + 1, 1))), k -> element_at(array(%s), cast(conv(substring(hex(substring(word, x.s + 1, 1)), 2 * k - 1, 2), 16, 10) as int) + 1))" % codes
-    done = best.select("word", "at", F.expr(f"flatten(transform(best, x -> if(x.id is null, {fallback}, array(x.id))))").alias("ids"))
-    if model.kind != "bpe":
+        missing = "x.id is null"
+    done = best.select("word", "at", F.expr(f"flatten(transform(best, x -> if({missing}, {fallback.format('x.s')}, array(x.id))))").alias("ids"))
+    if not bpe:
         return done
     scores = spark.sparkContext.broadcast({p: (s, k) for p, k, s in model.normal})
     byte_ids = model.bytes_ids
@@ -303,48 +369,88 @@ class Numbers(dict):
         return k
 
 
+class Cuts(dict):
+    """The numbers of a word's parts: it is cut between characters that are not in neighbours."""
+
+    def __init__(self, numbers: Numbers, neighbours: set[str]):
+        self.numbers, self.neighbours = numbers, neighbours
+
+    def __missing__(self, word):
+        if self.neighbours.issuperset(map(add, word, word[1:])):
+            out = (self.numbers[word],)
+        else:
+            parts, k = [], 0
+            for i in range(1, len(word)):
+                if word[i - 1 : i + 1] not in self.neighbours:
+                    parts.append(word[k:i])
+                    k = i
+            out = tuple(map(self.numbers.__getitem__, (*parts, word[k:])))
+        if len(self) >= CUT_WORDS:
+            self.clear()
+        self[word] = out
+        return out
+
+
 TABLE = "block long, kind int, payload binary, ids array<long>"
 
 
-def to_blocks(rows: DataFrame, block_words: int) -> DataFrame:
-    """kind 1: words of a block, zipped; kind 2: rows of a block with their word numbers (sizes, digests, numbers)."""
+def to_blocks(rows: DataFrame, block_words: int, neighbours: set[str], buckets: int) -> DataFrame:
+    """kind 1: words of a block and a bucket by hash (ids), with their numbers, zipped; kind 2: rows of a block.
+
+    A row of kind 2 has the count of words before it, the texts' sizes and digests, and their word numbers, where 0 stands
+    for the next new word and any other number is one more than the word's.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(neighbours)
 
     def run(batches):
         from pyspark import TaskContext
 
-        block, table, sent = TaskContext.get().partitionId() << 12, Numbers({"\n": 0}), 0
-        find, ids, parts, digests, sizes, held = WORD.findall, [], [], [], [], 0
+        first = block = TaskContext.get().partitionId() << 15
+        table = Numbers({"\n": 0})
+        cuts = Cuts(table, shared.value)
+        find, seen, ids, parts, digests, sizes, held = WORD.findall, 1, [], [], [], [], 0
+
+        def row(kind, blob, ids):
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([zlib.compress(blob, 1)], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], NAMES)
 
         def rows_out():
-            head = struct.pack("<I", len(ids)) + np.array(sizes, np.uint32).tobytes() + b"".join(digests)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([2], pa.int32()), pa.array([zlib.compress(head + b"".join(parts), 1)], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], NAMES)
+            return row(2, struct.pack("<II", len(ids), before) + np.array(sizes, np.uint32).tobytes() + b"".join(digests) + b"".join(parts), ids)
 
         def words_out():
-            words = list(table)[sent:]
-            for k in range(0, len(words), 1 << 14):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([1], pa.int32()), pa.array([zlib.compress("\n".join(words[k : k + (1 << 14)]).encode("utf-8", "surrogatepass"), 1)], pa.binary()), pa.array([[sent + k]], pa.list_(pa.int64()))], NAMES
-                )
-
-        sent = 1  # the line feed needs no lattice, and is the separator here
+            words = list(table)
+            bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
+            bucket[0] = -1  # the line feed needs no lattice, and is the separator here
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
+            for a, b in zip(edges[1:].tolist(), np.r_[edges[2:], len(order)].tolist()):
+                numbers = pack(np.diff(order[a:b], prepend=0))
+                body = "\n".join([words[k] for k in order[a:b].tolist()]).encode("utf-8", "surrogatepass")
+                yield row(1, struct.pack("<I", len(numbers)) + numbers + body, [int(bucket[order[a]])])
+
+        before = seen
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 text = text.replace(SPACE, " ")
-                packed = pack(np.fromiter(map(table.__getitem__, find(" " + text)), np.int64)) if text else b""
+                packed = b""
+                if text:
+                    numbers = np.fromiter(chain.from_iterable(map(cuts.__getitem__, find(" " + text))), np.int64)
+                    top = np.maximum.accumulate(np.r_[seen - 1, numbers])
+                    packed, seen = pack(np.where(numbers > top[:-1], 0, numbers + 1)), int(top[-1]) + 1
                 ids.append(doc)
                 sizes.append(len(packed))
                 parts.append(packed)
-                digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest())
-                held += len(packed) + 36
-                if held >= ROW_BYTES:
+                digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:DIGEST])
+                held += len(packed) + 4 + DIGEST
+                full = len(table) > block_words
+                if held >= ROW_BYTES or full:
                     yield rows_out()
-                    ids, parts, digests, sizes, held = [], [], [], [], 0
-                if len(table) > block_words:
-                    if ids:
-                        yield rows_out()
-                    ids, parts, digests, sizes, held = [], [], [], [], 0
+                    before, ids, parts, digests, sizes, held = seen, [], [], [], [], 0
+                if full:
                     yield from words_out()
-                    table, block = Numbers({"\n": 0}), block + 1
+                    table, block, seen, before = Numbers({"\n": 0}), block + 1, 1, 1
+                    cuts = Cuts(table, shared.value)
+                    if block - first >= 1 << 15:
+                        raise ValueError("a partition has too many blocks; read the table in smaller partitions")
         if ids:
             yield rows_out()
         yield from words_out()
@@ -353,15 +459,19 @@ def to_blocks(rows: DataFrame, block_words: int) -> DataFrame:
     return rows.mapInArrow(run, TABLE)
 
 
-def words_of_blocks(table: DataFrame) -> DataFrame:
+def words_of_blocks(table: DataFrame, partitions: int) -> DataFrame:
+    """word, at of the words of all blocks; equal words are in one partition."""
+
     def run(batches):
         for batch in batches:
-            for block, payload, first in zip(*(batch.column(c).to_pylist() for c in ("block", "payload", "ids"))):
-                words = zlib.decompress(payload).decode("utf-8", "surrogatepass").split("\n")
-                n = len(words)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array((block << 32) + np.arange(first[0], first[0] + n))], ["word", "at"])
+            for block, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "payload"))):
+                blob = zlib.decompress(payload)
+                (n,) = struct.unpack_from("<I", blob)
+                numbers, words = np.cumsum(unpack(blob[4 : 4 + n])), blob[4 + n :].decode("utf-8", "surrogatepass").split("\n")
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array((block << 28) + numbers)], ["word", "at"])
 
-    return table.where("kind = 1").select("block", "payload", "ids").mapInArrow(run, "word string, at long")
+    moved = table.where("kind = 1").select("block", "payload", F.col("ids")[0].alias("bucket")).repartition(partitions, "bucket")
+    return moved.select("block", "payload").mapInArrow(run, "word string, at long")
 
 
 def packed_ids(found: DataFrame) -> DataFrame:
@@ -372,7 +482,7 @@ def packed_ids(found: DataFrame) -> DataFrame:
             ids, places = batch.column("ids"), batch.column("at")
             sizes, flat = np.asarray(ids.value_lengths()).astype(np.int64), np.asarray(ids.flatten()).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), np.asarray(places.value_lengths()))
-            block, number = np.asarray(places.flatten()) >> 32, np.asarray(places.flatten()) & 0xFFFFFFFF
+            block, number = np.asarray(places.flatten()) >> 28, np.asarray(places.flatten()) & 0xFFFFFFF
             start, sizes = (np.cumsum(sizes) - sizes)[row], sizes[row]
             order = np.lexsort((number, block))
             edges = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
@@ -423,11 +533,12 @@ def assemble(stream: DataFrame, model: Model) -> DataFrame:
                     start_of[0], size_of[0] = len(flat), 1
                     finished, parts = (np.concatenate([flat, newline]).astype(np.int32), start_of, size_of), []
                 flat, start_of, size_of = finished
-                (n,) = struct.unpack_from("<I", blob)
-                sizes = np.frombuffer(blob, np.uint32, n, 4).astype(np.int64)
-                digests = [blob[4 + 4 * n + 32 * k : 36 + 4 * n + 32 * k] for k in range(n)]
-                base = 4 + 36 * n
+                n, before = struct.unpack_from("<II", blob)
+                sizes = np.frombuffer(blob, np.uint32, n, 8).astype(np.int64)
+                base = 8 + (4 + DIGEST) * n
+                digests = [blob[k : k + DIGEST] for k in range(8 + 4 * n, base, DIGEST)]
                 words = unpack(blob[base:])
+                words = np.where(words == 0, before - 1 + np.cumsum(words == 0), words - 1)
                 ends = np.concatenate([[0], np.cumsum(np.frombuffer(blob, np.uint8, offset=base) < 128)])[np.concatenate([[0], np.cumsum(sizes)])]
                 tokens = gather(flat, start_of[words], size_of[words])
                 per_word = np.concatenate([[0], np.cumsum(size_of[words])])
@@ -437,7 +548,7 @@ def assemble(stream: DataFrame, model: Model) -> DataFrame:
                 cut_at = np.concatenate([[0], np.cumsum(length)])[bounds].tolist()
                 sha = [hashlib.sha256(raw[a + 1 : b].tobytes() if b > a else b"").digest() for a, b in zip(cut_at[:-1], cut_at[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(np.diff(bounds)), list_array(pa.array(tokens, pa.int32()), np.diff(bounds)), pa.array([x.hex() for x in sha]), pa.array([x == y for x, y in zip(sha, digests)])],
+                    [pa.array(docs, pa.int64()), pa.array(np.diff(bounds)), list_array(pa.array(tokens, pa.int32()), np.diff(bounds)), pa.array([x.hex() for x in sha]), pa.array([x[:DIGEST] == y for x, y in zip(sha, digests)])],
                     ["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"],
                 )
 
@@ -447,14 +558,15 @@ def assemble(stream: DataFrame, model: Model) -> DataFrame:
 def encode(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids, decoded_sha256 (of the decoded text), round_trip.
 
-    Null and empty texts have no tokens.  round_trip compares with the text in which U+2581, the model's own mark for a
-    space, is a space.  Rows are encoded one by one, so ids may be null or repeated; empty tables give no rows; extra
+    Null and empty texts have no tokens.  round_trip compares 8 bytes of SHA-256 with the text in which U+2581, the model's
+    own mark for a space, is a space.  Rows are encoded one by one, so ids may be null or repeated; empty tables give no rows; extra
     columns are ignored.  Characters without a piece become byte pieces.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     parts = rows.rdd.getNumPartitions() if not rows.isStreaming else 1
-    table = cut(to_blocks(rows.coalesce(max(1, min(parts, 8), -(-parts // 4))), block_words))
-    codes = encode_words(grouped_words(words_of_blocks(table)), model)
+    n = partitions_for(docs)
+    table = cut(to_blocks(rows.coalesce(max(1, parts // 2)), block_words, model.neighbours, 4 * n))  # fewer blocks share more words
+    codes = encode_words(grouped_words(words_of_blocks(table, n)), model)
     stream = packed_ids(codes.select("at", "ids")).unionByName(table.where("kind = 2"))
     return assemble(stream.repartition("block").sortWithinPartitions("block", "kind"), model)
 

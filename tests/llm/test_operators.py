@@ -320,3 +320,35 @@ def test_varints():
     numbers = np.array([0, 1, 127, 128, 16383, 16384, 2097151, 2097152, (1 << 28) - 1])
     assert (codec.unpack(codec.pack(numbers)) == numbers).all() and len(codec.unpack(codec.pack(np.empty(0, np.int64)))) == 0
     assert pa.__version__
+
+
+def test_bpe_models_with_late_pieces(spark):
+    """Random models whose pieces' parts may be worse than they are: the fold equals merging one by one."""
+    rng = random.Random(3)
+    for _ in range(2):
+        pieces = {c: -100.0 for c in "▁abc"}
+        while len(pieces) < 40:
+            p = "".join(rng.choice("▁abc") for _ in range(rng.randint(2, 5)))
+            if "▁" not in p[1:]:
+                pieces.setdefault(p, -float(rng.randint(1, 30)))
+        model = codec.Model("bpe", (("", 0.0), *pieces.items(), *[(bytes([k]), 0.0) for k in range(256)]), 0)
+        assert codec.late_pieces(model)
+        texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 14))) for _ in range(20)) for _ in range(20)]
+        ids = {p: k for k, (p, _) in enumerate(model.pieces) if isinstance(p, str) and p}
+        got = {r["doc_id"]: list(r["ids"]) for r in codec.encode(docs(spark, list(enumerate(texts))), model).collect()}
+        for k, t in enumerate(texts):
+            want = []
+            for w in codec.WORD.findall(" " + t):
+                for symbol in codec.merge_long(w.replace(" ", "▁"), pieces):
+                    want += [ids[symbol]] if symbol in ids else [model.bytes_ids[b] for b in symbol.encode()]
+            assert got[k] == want
+
+
+def test_ids_equal_the_library(spark):
+    import sentencepiece
+
+    model, lib = codec.load_model(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r["doc_id"]: lib.encode(r["text"] or "") for r in table.collect()}
+    got = {r["doc_id"]: list(r["ids"]) for r in codec.encode(table, model).collect()}
+    assert got == want

@@ -25,8 +25,6 @@ import re
 import struct
 import zlib
 from dataclasses import dataclass
-from itertools import chain
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +32,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, list_array, partitions_for, text_or_empty
+from .common import Rolling, cut, list_array, mix64, partitions_for, spans, string_buffers, text_or_empty
 
 SPACE = "▁"
 MASK_CHARS = 60
 #: Distinct words after which a block of documents ends.
 BLOCK_WORDS = 1 << 21
-#: Words whose cuts a task remembers.
-CUT_WORDS = 1 << 17
-#: Bytes of word numbers in one row.
-ROW_BYTES = 1 << 16
+#: Bytes of text of one row of word numbers (a longer text is a row of its own).
+ROW_BYTES = 1 << 20
 #: Bytes of a text's digest that a block keeps for the comparison with the decoded text.
 DIGEST = 8
 #: Places (blocks) of a word in one row.
@@ -369,26 +365,50 @@ class Numbers(dict):
         return k
 
 
-class Cuts(dict):
-    """The numbers of a word's parts: it is cut between characters that are not in neighbours."""
+class Cutter:
+    """Starts of the words of joined texts, by code points.
 
-    def __init__(self, numbers: Numbers, neighbours: set[str]):
-        self.numbers, self.neighbours = numbers, neighbours
+    A word is a run of spaces with what follows them up to the next space or line feed, or a line feed, and is cut between
+    characters that are not in neighbours.
+    """
 
-    def __missing__(self, word):
-        if self.neighbours.issuperset(map(add, word, word[1:])):
-            out = (self.numbers[word],)
-        else:
-            parts, k = [], 0
-            for i in range(1, len(word)):
-                if word[i - 1 : i + 1] not in self.neighbours:
-                    parts.append(word[k:i])
-                    k = i
-            out = tuple(map(self.numbers.__getitem__, (*parts, word[k:])))
-        if len(self) >= CUT_WORDS:
-            self.clear()
-        self[word] = out
-        return out
+    def __init__(self, neighbours: set[str]):
+        letters = sorted({c for pair in neighbours for c in pair})
+        self.size = len(letters) + 1
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in letters]] = np.arange(1, self.size)
+        self.pairs = np.sort(np.array([self.kind[ord(a)] * self.size + self.kind[ord(b)] for a, b in neighbours], np.int64))
+        self.matrix, self.rolling = None, Rolling()
+        if self.size**2 <= 1 << 26:
+            self.matrix = np.zeros(self.size**2, bool)
+            self.matrix[self.pairs] = True
+
+    def starts(self, points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+        """points: of texts that follow each other, each with a space before it; firsts: where they start."""
+        kind = self.kind[points]
+        pair = kind[:-1].astype(np.int64) * self.size + kind[1:]
+        border = np.ones(len(points), bool)
+        border[1:] = ~(self.matrix[pair] if self.matrix is not None else np.isin(pair, self.pairs))
+        line, space = points == 10, points == 32
+        border |= line
+        border[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        border[firsts] = True
+        return np.flatnonzero(border)
+
+    def number(self, joined: str, points: np.ndarray, starts: np.ndarray, table: Numbers) -> np.ndarray:
+        """The number in table of each word; new words get theirs in the order of appearance."""
+        ends = np.r_[starts[1:], len(points)]
+        value = mix64(points.astype(np.uint64) + np.uint64(0x5BD1E995))
+        code = self.rolling.of(self.rolling.prefix(value), starts, ends)
+        _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        size, model = ends - starts, starts[first][inverse]
+        at = np.arange(len(points)) - np.repeat(starts, size)  # each word is the one that stands for its hash
+        if not (np.array_equal(size, size[first][inverse]) and np.array_equal(points, points[np.repeat(model, size) + at])):
+            return np.fromiter((table[joined[a:b]] for a, b in zip(starts.tolist(), ends.tolist())), np.int64, len(starts))
+        numbers = np.empty(len(first), np.int64)
+        order = np.argsort(first)
+        numbers[order] = np.fromiter((table[joined[a:b]] for a, b in zip(starts[first[order]].tolist(), ends[first[order]].tolist())), np.int64, len(order))
+        return numbers[inverse]
 
 
 TABLE = "block long, kind int, payload binary, ids array<long>"
@@ -406,15 +426,26 @@ def to_blocks(rows: DataFrame, block_words: int, neighbours: set[str], buckets:
         from pyspark import TaskContext
 
         first = block = TaskContext.get().partitionId() << 15
-        table = Numbers({"\n": 0})
-        cuts = Cuts(table, shared.value)
-        find, seen, ids, parts, digests, sizes, held = WORD.findall, 1, [], [], [], [], 0
+        table, cutter = Numbers({"\n": 0}), Cutter(shared.value)
 
         def row(kind, blob, ids):
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.array([zlib.compress(blob, 1)], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], NAMES)
 
-        def rows_out():
-            return row(2, struct.pack("<II", len(ids), before) + np.array(sizes, np.uint32).tobytes() + b"".join(digests) + b"".join(parts), ids)
+        def row_of(docs, texts):
+            before, digests = len(table), [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:DIGEST] for t in texts]
+            sizes, packed = np.zeros(len(texts), np.uint32), b""
+            filled = np.flatnonzero([len(t) > 0 for t in texts])
+            if len(filled):
+                joined = "".join([" " + texts[k] for k in filled.tolist()])
+                points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+                firsts = np.cumsum([0] + [len(texts[k]) + 1 for k in filled.tolist()])[:-1]
+                starts = cutter.starts(points, firsts)
+                numbers = cutter.number(joined, points, starts, table)
+                top = np.maximum.accumulate(np.r_[before - 1, numbers])
+                coded = np.where(numbers > top[:-1], 0, numbers + 1)
+                packed, width = pack(coded), 1 + sum((coded >= 1 << k).astype(np.int64) for k in (7, 14, 21))
+                sizes[filled] = np.add.reduceat(width, np.searchsorted(starts, firsts))
+            return row(2, struct.pack("<II", len(docs), before) + sizes.tobytes() + b"".join(digests) + packed, docs)
 
         def words_out():
             words = list(table)
@@ -427,32 +458,15 @@ def to_blocks(rows: DataFrame, block_words: int, neighbours: set[str], buckets:
                 body = "\n".join([words[k] for k in order[a:b].tolist()]).encode("utf-8", "surrogatepass")
                 yield row(1, struct.pack("<I", len(numbers)) + numbers + body, [int(bucket[order[a]])])
 
-        before = seen
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                text = text.replace(SPACE, " ")
-                packed = b""
-                if text:
-                    numbers = np.fromiter(chain.from_iterable(map(cuts.__getitem__, find(" " + text))), np.int64)
-                    top = np.maximum.accumulate(np.r_[seen - 1, numbers])
-                    packed, seen = pack(np.where(numbers > top[:-1], 0, numbers + 1)), int(top[-1]) + 1
-                ids.append(doc)
-                sizes.append(len(packed))
-                parts.append(packed)
-                digests.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:DIGEST])
-                held += len(packed) + 4 + DIGEST
-                full = len(table) > block_words
-                if held >= ROW_BYTES or full:
-                    yield rows_out()
-                    before, ids, parts, digests, sizes, held = seen, [], [], [], [], 0
-                if full:
+            _, offsets, _ = string_buffers(batch.column("text"))
+            for i, j in spans(offsets, ROW_BYTES):
+                yield row_of(batch.column("doc_id").slice(i, j - i).to_pylist(), [t.replace(SPACE, " ") for t in batch.column("text").slice(i, j - i).to_pylist()])
+                if len(table) > block_words:
                     yield from words_out()
-                    table, block, seen, before = Numbers({"\n": 0}), block + 1, 1, 1
-                    cuts = Cuts(table, shared.value)
+                    table, block = Numbers({"\n": 0}), block + 1
                     if block - first >= 1 << 15:
                         raise ValueError("a partition has too many blocks; read the table in smaller partitions")
-        if ids:
-            yield rows_out()
         yield from words_out()
 
     NAMES = ["block", "kind", "payload", "ids"]

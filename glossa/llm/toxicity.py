@@ -209,7 +209,7 @@ class Embeddings:
     """The tables of a training sample.  A word number counts twice: + size for the words of toxic documents, whose
     starting values leave one toxic document out, where those of the others leave out one of these."""
 
-    CHUNK = 1 << 15
+    CHUNK = 1 << 13
 
     def __init__(self, words: pa.Array, df1: np.ndarray, df0: np.ndarray, seed: int):
         rng, self.words, self.size = np.random.default_rng(seed + 1), words, len(words)
@@ -275,23 +275,39 @@ class Embeddings:
         return taken[some], d[some]
 
 
+def numbered(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of each word in the texts' order, and the words of each text."""
+    chunks, sizes = [], []
+    for i in range(0, len(texts), 256):
+        words, n = tokens(pa.array(texts[i : i + 256], pa.string()))
+        chunks.append(words.dictionary_encode())
+        sizes.append(n)
+    coded = pa.chunked_array(chunks).unify_dictionaries()
+    index = np.concatenate([np.asarray(c.indices) for c in coded.chunks])
+    return coded.chunk(0).dictionary, index, np.concatenate(sizes)
+
+
 def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int = 7) -> dict:
     """The model of these documents: embeddings and weights.  Without both classes the score is constant."""
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.0}
-    words, sizes = tokens(pa.array(texts, pa.string()))
-    coded = words.dictionary_encode()
-    index, size = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary)
+    vocabulary, index, sizes = numbered(texts)
+    size = len(vocabulary)
     w_row, first, length = windows(sizes)
     if not len(w_row):
         return {"constant": float(y.mean())}
-    row = np.repeat(np.arange(len(y)), sizes)
-    pair = np.unique(row * size + index)
-    df1 = np.bincount((pair % size)[y[pair // size] == 1], minlength=size).astype(float)
-    df0 = np.bincount(pair % size, minlength=size) - df1
-    tables = Embeddings(coded.dictionary, df1, df0, seed)
-    index = index + size * (y[row] == 1)
+    row, at = np.repeat(np.arange(len(y), dtype=np.int32), sizes), np.r_[0, np.cumsum(sizes)]
+    df1, df0 = np.zeros(size), np.zeros(size)
+    for i in range(0, len(y), 256):
+        k = slice(at[i], at[min(i + 256, len(y))])
+        pair = np.unique(row[k].astype(np.int64) * size + index[k])
+        toxic = y[pair // size] == 1
+        df1 += np.bincount((pair % size)[toxic], minlength=size)
+        df0 += np.bincount((pair % size)[~toxic], minlength=size)
+    tables = Embeddings(vocabulary, df1, df0, seed)
+    index = index + np.int32(size) * (y[row] == 1)
+    del row
     p, rng = start_weights(seed), np.random.default_rng(seed)
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     starts = np.flatnonzero(np.r_[True, w_row[1:] != w_row[:-1]])
@@ -299,12 +315,15 @@ def train(texts: list[str], labels: np.ndarray, steps: int = STEPS, seed: int =
     for step in range(1, steps + 1):
         if step % RESELECT == 1:  # the first time, the window with the strongest word
             used = np.unique(index)
-            x = np.concatenate([tables.look(used[k : k + tables.CHUNK])[0] for k in range(0, len(used), tables.CHUNK)])
+            x = np.empty((len(used), INPUTS), np.float32)
+            for k in range(0, len(used), tables.CHUNK):
+                x[k : k + tables.CHUNK] = tables.look(used[k : k + tables.CHUNK])[0]
             at, score = np.searchsorted(used, index), []
-            for k in range(0, len(first), 1024):
-                place, mask = places(at, first[k : k + 1024], length[k : k + 1024])
+            for k in range(0, len(first), 512):
+                place, mask = places(at, first[k : k + 512], length[k : k + 512])
                 score.append((np.maximum(x, 0).sum(1)[place] * mask).max(0) if step == 1 else forward(p, x[place] * mask[:, :, None], mask)[0])
             chosen = np.lexsort((-np.concatenate(score), w_row))[starts]
+            del x, at, score
         while len(pending) < BATCH:
             pending = np.concatenate([pending, rng.permutation(len(chosen))])
         k, pending = chosen[pending[:BATCH]], pending[BATCH:]
@@ -383,7 +402,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
                 if size <= max_bytes:
                     found.append((doc, text, label))
         found.sort()
-        model = train([t for _, t, _ in found], np.array([k for _, _, k in found], np.float32))
+        kinds, texts = np.array([k for _, _, k in found], np.float32), [t for _, t, _ in found]
+        del found
+        model = train(texts, kinds)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # One task, of a bounded sample.  Its model, of a fixed size, is all that reaches the driver.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 
 import numpy as np
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that one vectorised step works on (a longer text is one step of its own).
 CHUNK_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 1 << 22
+
 MASK64 = (1 << 64) - 1
 
 
@@ -46,6 +51,29 @@ def partitions_for(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def bounded(run):
+    """run for mapInArrow, within bounds of memory.
+
+    Batches are of at most BATCH_BYTES (of one row, if that is longer), unless the session has a lower bound.  After its
+    task the Python worker, which Spark keeps, gives unused memory back to the system.
+    """
+    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(-?\d+)b?", conf.get(key))
+    if size and not 0 < int(size[1]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df does not have (names compare without case, as Spark does)."""
     have = {c.lower() for c in df.columns}

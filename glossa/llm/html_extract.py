@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 # HTML's element classes, as the standard names them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math select button object canvas audio video map datalist".split())
@@ -455,4 +457,4 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
             sizes = pa.array([len(t) for t in out], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return rows.mapInArrow(bounded(run), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, mix64, spans, string_buffers
+from .common import CHUNK_BYTES, bounded, mix64, spans, string_buffers
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -102,7 +102,7 @@ def fit(labelled: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING, max
             yield pa.RecordBatch.from_pandas(frame.astype({"k": "int32", "slot": "int32", "n": "int64"}), preserve_index=False)
 
     # At most languages * 2**bits sums reach the driver.
-    sums = labelled.where("lang is not null").select("text", "lang").mapInArrow(arrow, "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toPandas()
+    sums = labelled.where("lang is not null").select("text", "lang").mapInArrow(bounded(arrow), "k int, slot int, n long").groupBy("k", "slot").agg(F.sum("n").alias("n")).toPandas()
     counts, rows = np.zeros((1 << bits, len(languages))), np.zeros(len(languages))
     grams = sums[sums.slot >= 0]
     counts[grams.slot, grams.k] = grams.n
@@ -144,7 +144,7 @@ def predict(docs: DataFrame, model, bits: int = BITS) -> DataFrame:
                 [batch.column(c) for c in others] + [pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], [*others, "lang_pred", "score"]
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(bounded(run), schema)
 
 
 def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, mix64, string_buffers, text_or_empty
+from .common import Rolling, bounded, cut, mix64, string_buffers, text_or_empty
 
 MIN_CHARS = 20
 ROUNDS = (2, 16)
@@ -88,7 +88,7 @@ def variant_keys(lines: DataFrame, blocks: int, single: bool = False) -> DataFra
                     yield pa.RecordBatch.from_arrays([batch.column("h1").take(take), batch.column("h2").take(take), pa.array(key.view(np.int64)), pa.array((-k - 1 if sign else k).astype(np.int32))], ["h1", "h2", "key", "part"])
                 i = j
 
-    return lines.select("h1", "h2", "line", *(["parts"] if single else [])).mapInArrow(run, "h1 long, h2 long, key long, part int")
+    return lines.select("h1", "h2", "line", *(["parts"] if single else [])).mapInArrow(bounded(run), "h1 long, h2 long, key long, part int")
 
 
 def neighbours(lines: DataFrame, blocks: int) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Rolling, byte_values, cut, fold_case_table, free_name, grams, mix64, spans, string_buffers, text_or_empty, words_of
+from .common import Rolling, bounded, byte_values, cut, fold_case_table, free_name, grams, mix64, spans, string_buffers, text_or_empty, words_of
 from .components import merge_labels
 
 SHINGLE, COORDINATES, MATCHES = 5, 64, 34
@@ -108,7 +108,7 @@ def sketch(rows: DataFrame, shingle: int, coordinates: int) -> DataFrame:
                     ["doc_id", "n", "h1", "h2", "sig"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig binary")
+    return rows.mapInArrow(bounded(run), "doc_id long, n long, h1 long, h2 long, sig binary")
 
 
 def post(classes: DataFrame, coordinates: int) -> DataFrame:
@@ -123,7 +123,7 @@ def post(classes: DataFrame, coordinates: int) -> DataFrame:
             for k in range(0, len(token), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(token[k : k + (1 << 18)].view(np.int64)), pa.array(ids[k : k + (1 << 18)])], ["token", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "token long, id long")
+    return classes.select("id", "sig").mapInArrow(bounded(run), "token long, id long")
 
 
 def prefixes(postings: DataFrame, matches: int) -> DataFrame:
@@ -162,7 +162,7 @@ def full_sets(rows: DataFrame, ids: DataFrame, shingle: int, coordinates: int) -
                 )
 
     wanted = rows.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.select("doc_id", "text").mapInArrow(run, "id long, sig binary, codes binary").distinct()
+    return wanted.select("doc_id", "text").mapInArrow(bounded(run), "id long, sig binary, codes binary").distinct()
 
 
 def _sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -180,7 +180,7 @@ def agreement(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).sum(1).astype(np.int32))], ["a", "b", "agree"])
 
-    return _sides(pairs, sets, "sig").mapInArrow(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return _sides(pairs, sets, "sig").mapInArrow(bounded(run), "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 either.append(len(x) + len(y) - both[-1])
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "both", "either"])
 
-    rows = _sides(pairs, sets, "codes").mapInArrow(run, "a long, b long, both long, either long")
+    rows = _sides(pairs, sets, "codes").mapInArrow(bounded(run), "a long, b long, both long, either long")
     best = F.max(F.struct((F.col("both") / F.col("either")).alias("j"), "both", "either"))
     return rows.groupBy("a", "b").agg(best.alias("m")).select("a", "b", "m.both", "m.either")
 
@@ -243,7 +243,7 @@ def against_centres(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
     pairs = open_.select(F.col("main").alias("centre"), "id").unionByName(open_.select(F.col("main").alias("centre"), F.col("main").alias("id"))).distinct()
     centres = sets.groupBy(F.col("id").alias("centre")).agg(F.min("codes").alias("codes_centre"))
-    return pairs.join(sets.select("id", "codes"), "id").join(centres, "centre").mapInArrow(run, "centre long, id long, n long, n_centre long, s long, rest binary")
+    return pairs.join(sets.select("id", "codes"), "id").join(centres, "centre").mapInArrow(bounded(run), "centre long, id long, n long, n_centre long, s long, rest binary")
 
 
 def shingles_of(rows: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def shingles_of(rows: DataFrame) -> DataFrame:
             flat = np.concatenate(codes) if codes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in names), pa.array(flat)], [*names, "code"])
 
-    return rows.mapInArrow(run, ", ".join([f"{c} {t}" for c, t in rows.dtypes if c != "rest"] + ["code long"]))
+    return rows.mapInArrow(bounded(run), ", ".join([f"{c} {t}" for c, t in rows.dtypes if c != "rest"] + ["code long"]))
 
 
 def finer_lists(measured: DataFrame, labels: DataFrame, percent: int) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, list_array, mix64, partitions_for, spans, string_buffers, text_or_empty
+from .common import Rolling, bounded, cut, list_array, mix64, partitions_for, spans, string_buffers, text_or_empty
 
 SPACE = "▁"
 MASK_CHARS = 60
@@ -173,44 +173,6 @@ def piece_table(spark, model: Model) -> DataFrame:
     return spark.createDataFrame(pa.table({"piece": [r[0] for r in rows], "id": pa.array([r[1] for r in rows], pa.int32()), "score": pa.array([r[2] for r in rows], pa.float64())}))
 
 
-def grouped_words(words: DataFrame) -> DataFrame:
-    """word, at: each distinct word with its places (block << 28 | number), at most PLACES in a row.
-
-    words are in partitions by hash and get sorted there, so equal ones are neighbours; a word of more blocks has several
-    rows.
-    """
-
-    def run(batches):
-        left = None
-
-        def rows(table):
-            word, at = table.column("word"), table.column("at")
-            coded = word.combine_chunks().dictionary_encode() if isinstance(word, pa.ChunkedArray) else word.dictionary_encode()
-            index = np.asarray(coded.indices)
-            new = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-            size = np.diff(np.r_[new, len(index)])
-            first = np.concatenate([np.arange(a, a + n, PLACES) for a, n in zip(new.tolist(), size.tolist())]) if (size > PLACES).any() else new
-            return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(index[first])), list_array(at, np.diff(np.r_[first, len(index)]))], ["word", "at"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if left is not None:
-                batch = pa.RecordBatch.from_arrays([pa.concat_arrays([left.column(c), batch.column(c)]) for c in ("word", "at")], ["word", "at"])
-            last = batch.num_rows - 1
-            begin = last
-            value = batch.column("word")[last]
-            while begin > 0 and last - begin < PLACES and batch.column("word")[begin - 1] == value:
-                begin -= 1
-            left = batch.slice(begin)
-            if begin:
-                yield rows(batch.slice(0, begin))
-        if left is not None and left.num_rows:
-            yield rows(left)
-
-    return words.sortWithinPartitions("word").mapInArrow(run, "word string, at array<long>")
-
-
 def gather_edges(edges: DataFrame, model: Model) -> DataFrame:
     """word, at, m, edges, joins, chars, late: the rows of a word, which follow each other, as one.
 
@@ -273,7 +235,7 @@ def gather_edges(edges: DataFrame, model: Model) -> DataFrame:
     NAMES = ["word", "at", "m", "edges", "joins", "chars", "late"]
     JOIN = pa.struct([("s", pa.int32()), ("id", pa.int32()), ("ends", pa.int64()), ("inside", pa.int64())])
     EDGE = pa.struct([("cost", pa.float64()), ("s", pa.int32()), ("e", pa.int32()), ("id", pa.int32())])
-    return edges.mapInArrow(run, "word string, at array<long>, m int, edges array<struct<cost:double,s:int,e:int,id:int>>, joins array<struct<s:int,id:int,ends:long,inside:long>>, chars array<int>, late boolean")
+    return edges.mapInArrow(bounded(run), "word string, at array<long>, m int, edges array<struct<cost:double,s:int,e:int,id:int>>, joins array<struct<s:int,id:int,ends:long,inside:long>>, chars array<int>, late boolean")
 
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
@@ -329,7 +291,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
                 ids.append(out)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("at"), pa.array(ids, pa.list_(pa.int32()))], ["word", "at", "ids"])
 
-    return done.unionByName(words.where(F.length("word") > MASK_CHARS).mapInArrow(merge, "word string, at array<long>, ids array<int>"))
+    return done.unionByName(words.where(F.length("word") > MASK_CHARS).mapInArrow(bounded(merge), "word string, at array<long>, ids array<int>"))
 
 
 # ---------------------------------------------------------------------------------------------- blocks
@@ -470,22 +432,44 @@ def to_blocks(rows: DataFrame, block_words: int, neighbours: set[str], buckets:
         yield from words_out()
 
     NAMES = ["block", "kind", "payload", "ids"]
-    return rows.mapInArrow(run, TABLE)
+    return rows.mapInArrow(bounded(run), TABLE)
 
 
 def words_of_blocks(table: DataFrame, partitions: int) -> DataFrame:
-    """word, at of the words of all blocks; equal words are in one partition."""
+    """word, at: each distinct word with its places (block << 28 | number), at most PLACES in a row.
+
+    A task holds one bucket at a time.  A word of more blocks has several rows, which follow each other.
+    """
+
+    def rows(found):
+        words, at = pa.concat_arrays([w for w, _ in found]), np.concatenate([a for _, a in found])
+        coded = words.dictionary_encode()
+        index = np.asarray(coded.indices)
+        order = np.argsort(index, kind="stable")
+        new = np.flatnonzero(np.r_[True, np.diff(index[order]) > 0])
+        size = np.diff(np.r_[new, len(index)])
+        first = np.concatenate([np.arange(a, a + n, PLACES) for a, n in zip(new.tolist(), size.tolist())]) if (size > PLACES).any() else new
+        heads, count, at = coded.dictionary.take(pa.array(index[order][first])), np.diff(np.r_[first, len(index)]), pa.array(at[order])
+        out = pa.RecordBatch.from_arrays([heads, list_array(at, count)], ["word", "at"])
+        for k in range(0, out.num_rows, 10_000):
+            yield out.slice(k, 10_000)
 
     def run(batches):
+        held, found = None, []
         for batch in batches:
-            for block, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "payload"))):
-                blob = zlib.decompress(payload)
+            for bucket, block, payload in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "payload"))):
+                if bucket != held and found:
+                    yield from rows(found)
+                    found = []
+                held, blob = bucket, zlib.decompress(payload)
                 (n,) = struct.unpack_from("<I", blob)
-                numbers, words = np.cumsum(unpack(blob[4 : 4 + n])), blob[4 + n :].decode("utf-8", "surrogatepass").split("\n")
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array((block << 28) + numbers)], ["word", "at"])
+                words = pa.array(blob[4 + n :].decode("utf-8", "surrogatepass").split("\n"), pa.string())
+                found.append((words, (block << 28) + np.cumsum(unpack(blob[4 : 4 + n]))))
+        if found:
+            yield from rows(found)
 
-    moved = table.where("kind = 1").select("block", "payload", F.col("ids")[0].alias("bucket")).repartition(partitions, "bucket")
-    return moved.select("block", "payload").mapInArrow(run, "word string, at long")
+    moved = table.where("kind = 1").select(F.col("ids")[0].alias("bucket"), "block", "payload").repartition(partitions, "bucket")
+    return moved.sortWithinPartitions("bucket").mapInArrow(bounded(run), "word string, at array<long>")
 
 
 def packed_ids(found: DataFrame) -> DataFrame:
@@ -507,7 +491,7 @@ def packed_ids(found: DataFrame) -> DataFrame:
                 blob = struct.pack("<II", len(bodies[0]), len(bodies[1])) + b"".join(bodies)
                 yield pa.RecordBatch.from_arrays([pa.array([int(block[k[0]])], pa.int64()), pa.array([0], pa.int32()), pa.array([zlib.compress(blob, 1)], pa.binary()), pa.array([[]], pa.list_(pa.int64()))], ["block", "kind", "payload", "ids"])
 
-    return found.mapInArrow(run, TABLE)
+    return found.mapInArrow(bounded(run), TABLE)
 
 
 def piece_bytes(model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -566,7 +550,7 @@ def assemble(stream: DataFrame, model: Model) -> DataFrame:
                     ["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"],
                 )
 
-    return stream.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
+    return stream.mapInArrow(bounded(run), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
 
 def encode(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -580,7 +564,7 @@ def encode(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column
     parts = rows.rdd.getNumPartitions() if not rows.isStreaming else 1
     n = partitions_for(docs)
     table = cut(to_blocks(rows.coalesce(max(1, parts // 2)), block_words, model.neighbours, 4 * n))  # fewer blocks share more words
-    codes = encode_words(grouped_words(words_of_blocks(table, n)), model)
+    codes = encode_words(words_of_blocks(table, n), model)
     stream = packed_ids(codes.select("at", "ids")).unionByName(table.where("kind = 2"))
     return assemble(stream.repartition("block").sortWithinPartitions("block", "kind"), model)
 
@@ -604,4 +588,4 @@ def decode(encoded: DataFrame, model: Model, ids_column: str = "ids", text_colum
                 out.append(gather(text, offsets[k], offsets[k + 1] - offsets[k]).tobytes()[1:].decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.string())], [*names, text_column])
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(bounded(run), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_values, cut, mix64, partitions_for, spans, string_buffers, text_or_empty
+from .common import Rolling, bounded, byte_values, cut, mix64, partitions_for, spans, string_buffers, text_or_empty
 
 LENGTH, KMER = 200, 40
 #: Different runs of one anchor that one bucket sorts, at most.
@@ -100,7 +100,7 @@ def run_table(rows: DataFrame, length: int, kmer: int, place: bool) -> DataFrame
 
     source = rows.select("key", "xx", "text") if place else rows.select("text")
     NAMES = ["anchor", "body", "key", "xx", "packed"]
-    return source.mapInArrow(run, "anchor long, body long" + (", key long, xx long, packed long" if place else ""))
+    return source.mapInArrow(bounded(run), "anchor long, body long" + (", key long, xx long, packed long" if place else ""))
 
 
 def multikey_groups(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ def sort_buckets(segments: DataFrame, length: int) -> DataFrame:
         if waiting:
             yield from flagged_spans(*settle(waiting))
 
-    return segments.mapInArrow(run, "anchor long, body long, spans array<struct<a:int,b:int>>")
+    return segments.mapInArrow(bounded(run), "anchor long, body long, spans array<struct<a:int,b:int>>")
 
 
 def flagged_spans(owner, offset, flag, anchors, bodies):
@@ -197,7 +197,7 @@ def window_rows(segments: DataFrame, length: int) -> DataFrame:
                     ["hash", "anchor", "body", "offset", "copies"],
                 )
 
-    return segments.mapInArrow(run, "hash long, anchor long, body long, offset int, copies long")
+    return segments.mapInArrow(bounded(run), "hash long, anchor long, body long, offset int, copies long")
 
 
 def repeated_spans(rows: DataFrame, dealt: DataFrame, length: int = LENGTH, kmer: int = KMER, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -229,7 +229,7 @@ def repeated_spans(rows: DataFrame, dealt: DataFrame, length: int = LENGTH, kmer
             yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("body"), flat.field("copies"), flat.field("bodies"), pa.array(leads, pa.binary()), pa.array(blobs, pa.binary())], ["anchor", "body", "copies", "bodies", "lead", "blob"])
 
     # Repeated rows give a segment once each; the copies are already counted.
-    segments = dealt.join(wanted, ["key", "xx"]).mapInArrow(slices, "anchor long, body long, copies long, bodies long, lead binary, blob binary")
+    segments = dealt.join(wanted, ["key", "xx"]).mapInArrow(bounded(slices), "anchor long, body long, copies long, bodies long, lead binary, blob binary")
     buckets = segments.where(F.col("bodies") <= max_bucket).repartitionByRange(parts, "lead", "anchor").sortWithinPartitions("anchor")
     found = sort_buckets(buckets.select("anchor", "body", "copies", "blob"), length)
     windows = window_rows(segments.where(F.col("bodies") > max_bucket).select("anchor", "body", "copies", "blob").dropDuplicates(["anchor", "body"]), length)
@@ -299,7 +299,7 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             )
 
     rows = _with_spans(docs, id_column, text_column, length, kmer, max_bucket)
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(bounded(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, kmer: int = KMER, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -317,4 +317,4 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     rows = _with_spans(docs, id_column, text_column, length, kmer, max_bucket)
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return rows.mapInArrow(bounded(run), "doc_id long, text string")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mix64, spans, string_buffers
+from .common import bounded, free_name, mix64, spans, string_buffers
 
 WINDOW, STRIDE = 64, 48
 ORDERS = (3, 4, 5, 6)
@@ -36,8 +36,8 @@ HIDDEN, ATTENTION = 8, 8
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 4000
 MAX_BYTES = 1 << 26
 STEPS, BATCH, RATE, EMBED_RATE, RESELECT = 400, 96, 0.02, 0.003, 100
-#: Bytes of text in one scoring step.
-STEP_BYTES = 1 << 21
+#: Bytes of text, distinct words and windows in one scoring step.
+STEP_BYTES, STEP_WORDS, STEP_WINDOWS = 1 << 20, 1 << 13, 1 << 9
 
 
 # ---------------------------------------------------------------------------------------------- inputs
@@ -359,17 +359,17 @@ def score_texts(model: dict, column: pa.Array) -> np.ndarray:
         if not len(words):
             continue
         coded = words.dictionary_encode()
-        slots = word_slots(coded.dictionary)
-        x = inputs_of(slots[0], flat_grams(slots, len(coded.dictionary)), model["word"], model["gram"])
+        x = np.empty((len(coded.dictionary), INPUTS), np.float32)
+        for k in range(0, len(x), STEP_WORDS):
+            slots = word_slots(coded.dictionary.slice(k, STEP_WORDS))
+            x[k : k + STEP_WORDS] = inputs_of(slots[0], flat_grams(slots, len(slots[0])), model["word"], model["gram"])
         index = np.asarray(coded.indices).astype(np.int64)
         gates = x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]
         row, first, length = windows(sizes)
         logit = np.empty(len(row), np.float32)
-        for k in range(0, len(row), 2048):
-            f, n = first[k : k + 2048], length[k : k + 2048]
-            t = np.arange(int(n.max()))[:, None]
-            at, mask = index[np.minimum(f + t, len(index) - 1)], (t < n).astype(np.float32)
-            logit[k : k + 2048] = forward(p, x[at], mask, gates=(gates[0][at], gates[1][at]))[0]
+        for k in range(0, len(row), STEP_WINDOWS):
+            at, mask = places(index, first[k : k + STEP_WINDOWS], length[k : k + STEP_WINDOWS])
+            logit[k : k + STEP_WINDOWS] = forward(p, x[at], mask, gates=(gates[0][at], gates[1][at]))[0]
         starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
         out[i + row[starts]] = sigmoid(np.maximum.reduceat(logit, starts).astype(np.float64))
     return out
@@ -408,7 +408,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     # One task, of a bounded sample.  Its model, of a fixed size, is all that reaches the driver.
-    (row,) = rows.repartition(1).sortWithinPartitions("at", "doc_id").select("doc_id", "text", "toxic").mapInArrow(run, "model binary").collect() or [None]
+    (row,) = rows.repartition(1).sortWithinPartitions("at", "doc_id").select("doc_id", "text", "toxic").mapInArrow(bounded(run), "model binary").collect() or [None]
     return pickle.loads(row["model"]) if row else train([], np.empty(0))
 
 
@@ -424,7 +424,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             s = score_texts(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(bounded(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> DataFrame:
@@ -447,4 +447,4 @@ def drop_toxic(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(score_texts(shared.value, batch.column("text")) < 0.5))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(bounded(run), schema)

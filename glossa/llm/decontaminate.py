@@ -2,19 +2,21 @@
 
 The benchmark's windows are hashed into a set that is broadcast if it has at most `max_windows` entries.  A larger
 benchmark is cut into blocks of that size; every block is broadcast in turn and scans all documents, and the hits of a
-document are merged afterwards.  A hash hit counts only after its words have been compared with the test window's.
+document are merged afterwards.  Blocks count real windows, longer items are split, and a block's broadcast is freed when
+it has scanned.  A hash hit counts only after its words have been compared with the test window's.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, cut, fold_case_table, grams, mix64, byte_values, spans, string_buffers, words_of
+from .common import Rolling, bounded, byte_values, cut, fold_case_table, free_name, grams, mix64, spans, string_buffers, words_of
 
 WINDOW = 10
 #: Windows in one broadcast block: 2**18 of them take some 60 MB on an executor.
@@ -110,18 +112,29 @@ def sha(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, max_windows: int):
-    """The benchmark's windows in broadcastable blocks.  Items are streamed to the driver, and one block is held at a time."""
-    spark, block, size = docs.sparkSession, [], 0
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    for item, text in items.toLocalIterator():
-        n = max(1, len((text or "").split()) * 2)
-        if block and size + n > max_windows:
-            yield spark.sparkContext.broadcast(windows_of(block, window))
-            block, size = [], 0
-        block.append((item, text))
-        size += n
-    yield spark.sparkContext.broadcast(windows_of(block, window))
+def _blocks(benchmark: DataFrame, window: int, max_windows: int):
+    """(item, text) of the benchmark in lists of at most max_windows windows, of which one is held at a time.  Items are
+    streamed to the driver, and an item of more windows is cut into texts that overlap by window - 1 words."""
+    scan, block, room = Scanner(), [], max_windows
+    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        data, start, end, _, _ = scan.words(raw, np.array([0, len(raw)]))
+        words, n = [data[a:b].tobytes() for a, b in zip(start, end)], min(window, len(start))
+        k, count = 0, len(words) - n + 1 if words else 0
+        while k < count:
+            if not room:
+                yield block
+                block, room = [], max_windows
+            some = min(room, count - k)
+            block.append((item, b" ".join(words[k : k + some + n - 1]).decode("utf-8", "surrogatepass")))
+            k, room = k + some, room - some
+    yield block
+
+
+def _first(blocks):
+    """The first of blocks, and an iterator of all of them if there are several."""
+    one, two = next(blocks), next(blocks, None)
+    return one, None if two is None else chain([one, two], blocks)
 
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -136,9 +149,9 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_wind
     are ignored.  Several items with one window all count.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = list(_blocks(docs, benchmark, window, max_windows))
-    if len(blocks) == 1:
-        block = blocks[0]
+    one, blocks = _first(_blocks(benchmark, window, max_windows))
+    if blocks is None:
+        block = docs.sparkSession.sparkContext.broadcast(windows_of(one, window))
 
         def whole(batches):
             def emit(batch, counts, hits, raw, offsets):
@@ -156,14 +169,11 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_wind
             EMPTY = sha(())
             return scan_batches(batches, block, emit)
 
-        return source.mapInArrow(whole, REPORT)
+        return source.mapInArrow(bounded(whole), REPORT)
 
     # Many blocks: rows get numbers in a table of their own, each block reports only rows that it hits.
     rows = cut(source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"))
-    parts = [rows.mapInArrow(_partial(b, first=not k), "row long, doc_id long, n_words long, at array<struct<a:int,b:int>>, items array<string>") for k, b in enumerate(blocks)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    union = _hits(rows, blocks, window, 0)
     grouped = union.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_list("at"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
@@ -179,11 +189,25 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_wind
     )
 
 
-def _partial(block, first: bool):
+PARTIAL = "row long, doc_id long, n_words long, at array<struct<a:int,b:int>>, items array<string>"
+
+
+def _hits(rows: DataFrame, blocks, window: int, of: int) -> DataFrame:
+    """The hits of every block in rows (row, doc_id, text): intervals of words (of 0) or of bytes (of 2)."""
+    out = None
+    for k, items in enumerate(blocks):
+        block = rows.sparkSession.sparkContext.broadcast(windows_of(items, window))
+        part = cut(rows.mapInArrow(bounded(_partial(block, not k and not of, of)), PARTIAL))
+        block.unpersist(blocking=True)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _partial(block, first: bool, of: int):
     def run(batches):
         def emit(batch, counts, hits, raw, offsets):
             take = list(range(len(counts))) if first else sorted(hits)
-            at = [[{"a": a, "b": b} for a, b in merged([x[:2] for x in hits[r][0]])] if r in hits else [] for r in take]
+            at = [[{"a": a, "b": b} for a, b in merged([x[of : of + 2] for x in hits[r][0]])] if r in hits else [] for r in take]
             items = [[x for x in hits[r][1] if x is not None] if r in hits else [] for r in take]
             rows = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -196,17 +220,27 @@ def _partial(block, first: bool):
     return run
 
 
+def without(text: bytes, spans_of: list[tuple[int, int]]) -> str:
+    kept, upto = [], 0
+    for a, b in merged(spans_of):
+        kept.append(text[upto:a])
+        upto = b
+    return b"".join([*kept, text[upto:]]).decode("utf-8", "replace")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs without benchmark passages, in the columns of docs: action "drop" removes contaminated documents, "spans"
-    cuts the hit words (with what stands between them) out of the text.  Cases are those of report(); rows are treated
-    one by one, so ids may be null or repeated, and texts without a hit stay as they are, null included."""
+    cuts the hit words (with what stands between them) out of the text; hits are those in the text as it came.  Cases are
+    those of report(); rows are treated one by one, so ids may be null or repeated, and texts without a hit stay as they
+    are, null included.  Other columns may have any names."""
     if action not in ("drop", "spans"):
         raise ValueError(f"unknown action {action}")
-    out = docs
     names, schema = docs.columns, docs.schema
-    for block in _blocks(docs, benchmark, window, max_windows):
+    one, blocks = _first(_blocks(benchmark, window, max_windows))
+    if blocks is None:
+        block = docs.sparkSession.sparkContext.broadcast(windows_of(one, window))
 
-        def clean(batches, block=block):
+        def clean(batches):
             def emit(batch, counts, hits, raw, offsets):
                 if action == "drop":
                     keep = np.ones(batch.num_rows, bool)
@@ -215,15 +249,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", w
                     return
                 texts = batch.column("text").to_pylist()
                 for r, (at, _) in hits.items():
-                    body, kept, upto = raw[offsets[r] : offsets[r + 1]].tobytes(), [], 0
-                    for a, b in merged([x[2:] for x in at]):
-                        kept.append(body[upto:a])
-                        upto = b
-                    texts[r] = b"".join([*kept, body[upto:]]).decode("utf-8", "replace")
+                    texts[r] = without(raw[offsets[r] : offsets[r + 1]].tobytes(), [x[2:] for x in at])
                 columns = [pa.array(texts, batch.column(k).type) if c == "text" else batch.column(k) for k, c in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
             return scan_batches(batches, block, emit)
 
-        out = out.mapInArrow(clean, schema)
-    return out
+        return docs.mapInArrow(bounded(clean), schema)
+
+    row, at = free_name(docs, "row"), free_name(docs, "at")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(row).alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = _hits(texts, blocks, window, 2).groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("at")).alias(at))
+    if action == "drop":
+        return rows.join(found.select(row), row, "left_anti").select(*names)
+
+    def cut_out(batches):
+        for batch in batches:
+            body = [t if not x else without(t.encode("utf-8", "surrogatepass"), [(y["a"], y["b"]) for y in x]) for t, x in zip(batch.column("text").to_pylist(), batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(body, batch.column(c).type) if c == "text" else batch.column(c) for c in names], names)
+
+    return rows.join(found, row, "left").select(*names, at).mapInArrow(bounded(cut_out), schema)

@@ -352,3 +352,31 @@ def test_ids_equal_the_library(spark):
     want = {r["doc_id"]: lib.encode(r["text"] or "") for r in table.collect()}
     got = {r["doc_id"]: list(r["ids"]) for r in codec.encode(table, model).collect()}
     assert got == want
+
+
+def test_benchmark_blocks_hold_real_windows():
+    """A long item of joined words is split, and no block has more windows than it may."""
+    class Table:
+        def select(self, *_):
+            return self
+
+        def toLocalIterator(self):
+            yield from [("a", ".".join(f"w{k}" for k in range(500))), ("b", None), ("c", "one two"), ("d", "x " * 30)]
+
+    blocks = list(decontaminate._blocks(Table(), 10, 100))
+    sizes = [sum(len(by_hash) for by_hash, _ in decontaminate.windows_of(b, 10).values()) for b in blocks]
+    assert max(sizes) <= 100 and len(blocks) == 6
+    all_at_once = decontaminate.windows_of([x for b in blocks for x in b], 10)
+    assert len(all_at_once[10][1]) == 491 + 1 and set(all_at_once[2][1]) == {b"one two"}
+
+
+@pytest.mark.parametrize("max_windows", [1 << 18, 7])
+def test_spans_are_those_of_the_text_as_it_came(spark, max_windows):
+    """Overlapping passages of items in different blocks all go, as does nothing that only meets after a cut."""
+    w = [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([(1, " ".join(w[:15])), (2, " ".join(w[10:25])), (3, "k1 k2")], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "a " + " ".join(w) + " z", 1, 2), (2, "k1 " + " ".join(w[:15]) + " k2", 1, 2), (3, None, 1, 2)], "doc_id long, text string, at int, row int")
+    got = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(rows, bench, "spans", max_windows=max_windows).collect()}
+    assert got == {1: "a  " + " ".join(w[25:]) + " z", 2: "k1  k2", 3: None}
+    kept = decontaminate.decontaminate(rows, bench, max_windows=max_windows)
+    assert kept.columns == rows.columns and [r["doc_id"] for r in kept.collect()] == [3]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import tempfile
 
@@ -46,6 +47,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets the driver's JVM collect garbage, as Spark itself does from time to time: its cleaner then deletes the
+    checkpoints (with spark.cleaner.referenceTracking.cleanCheckpoints) and shuffles that no table needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions_for(df: DataFrame) -> int:
     """Reduce-side parallelism: the session's setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

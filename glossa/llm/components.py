@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sweep
+
+
+#: Rounds whose moves are applied to the labels at once.
+TOGETHER = 3
 
 
 def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -14,19 +18,25 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     Every id of links must be in labels.  Each round hooks a component to its least neighbour and jumps twice, so the
     rounds grow with the logarithm of a component's length.
     """
+    move = lambda df, c, hook: df.join(hook.select(F.col("v").alias(c), F.col("p").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
     left, right = labels.select(F.col("id").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-    edges = links.join(left, "a").join(right, "b").select(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v"))
+    edges, hooks = links.join(left, "a").join(right, "b").select(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")), []
     while True:
         edges = cut(edges.where("u < v").distinct())
-        if edges.isEmpty():
+        done = edges.isEmpty()
+        if hooks and (done or len(hooks) == TOGETHER):
+            for hook in hooks:
+                labels = move(labels, "comp", hook)
+            labels, hooks = cut(labels), []
+        if done:
+            sweep(labels.sparkSession)
             return labels
         hook = edges.groupBy("v").agg(F.min("u").alias("p"))
         for _ in range(2):
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
             hook = hook.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p"))
         hook = cut(hook)
-        move = lambda df, c: df.join(hook.select(F.col("v").alias(c), F.col("p").alias("to")), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
-        labels = cut(move(labels, "comp"))
-        moved = move(move(edges, "u"), "v")
+        hooks.append(hook)
+        moved = move(move(edges, "u", hook), "v", hook)
         above = hook.select(F.col("p").alias("v")).distinct().join(hook, "v").select(F.col("p").alias("u"), "v")
         edges = moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).unionByName(above)

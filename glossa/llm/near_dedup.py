@@ -34,7 +34,7 @@ SHINGLE, COORDINATES, MATCHES = 5, 64, 34
 #: Similarity of linked texts, in hundredths.
 PERCENT = 75
 #: Passes that drop classes without enough shared pairs.
-PRUNES = 2
+PRUNES = 1
 
 
 def space_bytes() -> np.ndarray:

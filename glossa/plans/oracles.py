@@ -68,7 +68,7 @@ def number(seed: str, *keys: str) -> str:
 
 
 OCC = PTS + """, occ AS (SELECT label AS group_id, vec_id AS item, vec, CASE WHEN label < 4 THEN 'm' || label || '_' || (vec_id % 3) WHEN label = 4 AND vec_id % 4 = 0 THEN 'solo4' ELSE 'p' || (vec_id % 6) END AS word
-    FROM pts WHERE label <> 9 OR vec_id % 5 = 0)"""
+    FROM pts)"""
 BUILT = f"""{OCC}, {keep('occ', 'group_id', 'item')}, thr AS (SELECT quantile_cont(cohesion, 0.7) AS t FROM stats WHERE cohesion IS NOT NULL),
     safe AS (SELECT group_id FROM stats, thr WHERE cohesion >= t AND n_keep >= 20), safe_keep AS (SELECT group_id, item, vec FROM keep WHERE group_id IN (SELECT group_id FROM safe)),
     {trimmed('sp', 'safe_keep', 'group_id', 'item')},
@@ -157,15 +157,15 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, count(*) AS n, count(*) FILTER (i > 1) AS n_split, CAST(sum(length(s)) AS BIGINT) AS chars FROM q GROUP BY 1""",
     "sanitize_names": r"""WITH a AS (SELECT page_id, trim(regexp_replace(regexp_replace(url, '[\\/:*?"<>|]+', '_', 'g'), '\s+', ' ', 'g')) AS s FROM pages)
         SELECT page_id, CASE WHEN s = '' THEN 'untitled' ELSE rtrim(s[: 40]) END AS name FROM a""",
-    "document_names": r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS i, text[: 50] AS title FROM documents),
-        a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(nullif(i, ''), nullif(title, ''), 'untitled'), '[\\/:*?"<>|]+', '_', 'g'), '\s+', ' ', 'g')) AS s FROM t) SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS name FROM a""",
+    "document_names": r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END AS i, text AS title FROM documents),
+        a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(nullif(i, ''), nullif(title, ''), 'untitled'), '[\\/:*?"<>|]+', '_', 'g'), '\s+', ' ', 'g')) AS s FROM t) SELECT doc_id, CASE WHEN s = '' THEN 'untitled' WHEN length(s) > 120 THEN regexp_replace(s[: 120], '\s+$', '') ELSE s END AS name FROM a""",
     "length_filter": f"WITH {STOK} SELECT CAST(len(tokens) AS BIGINT) AS n_tokens, count(*) AS n FROM stok GROUP BY 1",
     "protected_span": f"WITH {TOK}, a AS (SELECT doc_id, list_position(tokens, 'the') - 1 AS i, len(tokens) AS n FROM tok) SELECT doc_id, CAST(CASE WHEN i >= 0 THEN greatest(0, i - 12) END AS BIGINT) AS l, CAST(CASE WHEN i >= 0 THEN least(n - 1, i + 12) END AS BIGINT) AS r FROM a",
     "split_index": f"""WITH {STOK}, a AS (SELECT *, list_position(tokens, 'the') - 1 AS p, len(tokens) AS n, range(1, len(tokens)) AS every FROM stok),
         b AS (SELECT *, list_filter(every, lambda i: tokens[i + 1] IN ('and', 'und', 'et', 'y') OR tokens[i] IN ('of', 'de')) AS safe FROM a),
         c AS (SELECT *, list_filter(CASE WHEN len(safe) > 0 THEN safe ELSE every END, lambda i: p IS NULL OR p < 0 OR i < p - 2 OR i > p + 2) AS cuts FROM b)
         SELECT doc_id, sno, CAST(coalesce(list_max(list_filter(cuts, lambda i: i <= 10)), list_min(list_filter(cuts, lambda i: i > 10))) AS BIGINT) AS cut FROM c""",
-    "bmes_decode": f"WITH {TOK} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n, md5(array_to_string(tokens, ' ')) AS words_md5 FROM tok WHERE length(array_to_string(tokens, '')) BETWEEN 1 AND 600",
+    "bmes_decode": f"WITH {TOK} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n, md5(array_to_string(tokens, ' ')) AS words_md5 FROM tok",
     "template_fill": f"WITH {LEX}, {TEMPLATES} SELECT word, template_no, replace(template, '{{w}}', word) AS sentence, CAST(instr(replace(template, '{{w}}', word), word) - 1 AS BIGINT) AS start FROM (SELECT DISTINCT word FROM lex), tpl",
     "sub_token_overlap": f"""WITH {STOK}, o AS (SELECT doc_id, sno, idx, sum(length(word) + 1) OVER (PARTITION BY doc_id, sno ORDER BY idx) - 1 AS e, length(word) AS n FROM spos)
         SELECT doc_id, sno, CAST(coalesce(min(idx) FILTER (e > 10 AND e - n < 14), 0) AS BIGINT) AS idx FROM o GROUP BY ALL""",

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, bounded, mix64, spans, string_buffers
+from .common import CHUNK_BYTES, bounded, free_name, mix64, spans, string_buffers
 
 BITS = 16
 ORDERS = (1, 2, 3, 4)
@@ -27,11 +27,11 @@ UNKNOWN = "und"
 
 
 def words_in(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Runs of letters of all rows, and each row's number of them."""
+    """Runs of letters and their marks of all rows, and each row's number of them; marks alone are no run."""
     spaced = pc.replace_substring_regex(pc.fill_null(pc.utf8_lower(column), ""), pattern=r"[^\pL\pM]+", replacement=" ")
     lists = pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
     words, sizes = lists.flatten(), np.asarray(lists.value_lengths()).astype(np.int64)
-    filled = np.asarray(pc.greater(pc.binary_length(words), 0))
+    filled = np.asarray(pc.match_substring_regex(words, r"\pL"))
     if not filled.all():
         rows = np.repeat(np.arange(len(sizes)), sizes)[filled]
         words, sizes = words.filter(pa.array(filled)), np.bincount(rows, minlength=len(sizes))
@@ -113,11 +113,13 @@ def fit(labelled: DataFrame, bits: int = BITS, smoothing: float = SMOOTHING, max
 
 
 def predict(docs: DataFrame, model, bits: int = BITS) -> DataFrame:
-    """docs.doc_id and extra columns of docs but text, with lang_pred and score (the posterior of the n-grams' mean evidence)."""
+    """docs without text, with lang_pred and score, the posterior of lang_pred; columns of these names in docs get an
+    underscore before the new ones instead."""
     languages, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast(matrix)
     others = [c for c in docs.columns if c != "text"]
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c != "text"] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes if c != "text"] + [f"`{free_name(docs, 'lang_pred')}` string", f"`{free_name(docs, 'score')}` double"])
+    out = [*others, free_name(docs, "lang_pred"), free_name(docs, "score")]
     names = np.array([*languages, UNKNOWN], object)
 
     def run(batches):
@@ -134,14 +136,13 @@ def predict(docs: DataFrame, model, bits: int = BITS) -> DataFrame:
                 slot, word = slots_of(coded.dictionary, bits)
                 size = len(coded.dictionary)
                 index, row = np.asarray(coded.indices), np.repeat(np.arange(j - i), sizes)
-                grams = np.bincount(row, weights=np.bincount(word, minlength=size)[index], minlength=j - i)
                 total = np.stack([np.bincount(row, weights=np.bincount(word, weights=log[slot, k], minlength=size)[index], minlength=j - i) for k in range(len(languages))], 1)
                 total += log[-1]
                 best[i:j] = np.where(sizes > 0, total.argmax(1), len(languages))
                 odds = np.exp(total - total.max(1, keepdims=True))
                 score[i:j] = np.where(sizes > 0, 1 / odds.sum(1), 0.0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in others] + [pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], [*others, "lang_pred", "score"]
+                [batch.column(c) for c in others] + [pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], out
             )
 
     return docs.mapInArrow(bounded(run), schema)

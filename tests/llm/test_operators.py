@@ -380,3 +380,43 @@ def test_spans_are_those_of_the_text_as_it_came(spark, max_windows):
     assert got == {1: "a  " + " ".join(w[25:]) + " z", 2: "k1  k2", 3: None}
     kept = decontaminate.decontaminate(rows, bench, max_windows=max_windows)
     assert kept.columns == rows.columns and [r["doc_id"] for r in kept.collect()] == [3]
+
+
+def test_language_equals_brute_force(spark):
+    """Naive Bayes by plain counts of n-gram strings; marks alone have no letter."""
+    import math
+    import zlib
+
+    texts = {"en": "the cat and the dog on the hill", "de": "der Hund und die Katze \u00fcber", "fr": "le chat et le chien sur l'\u00e9tang"}
+    rows = [(k, f"{v} {k % 5}" if k % 3 else v.split()[k % 6], lang) for k, (lang, v) in enumerate(list(texts.items()) * 12)]
+    rows += [(100, "\u0301\u0302", "en"), (101, "12 !", "de"), (102, None, "fr"), (103, "hund", None), (104, "e\u0301t", None)]
+    counts, n_rows = {}, Counter()
+
+    def grams(text):
+        out = Counter()
+        for w in re.findall("(?:[^\\W\\d_]|[\u0300-\u036f])+", (text or "").lower()):
+            if any(c.isalpha() for c in w):
+                for n in language_id.ORDERS:
+                    for i in range(len(w) + 3 - n):
+                        g = f" {w} "[i : i + n]
+                        if g != " ":
+                            out[g] += 1
+        return out
+
+    for i, t, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2 and grams(t):
+            counts.setdefault(lang, Counter()).update(grams(t))
+            n_rows[lang] += 1
+    slots, s = 1 << language_id.BITS, language_id.SMOOTHING
+    table = spark.createDataFrame([(i, t, lang, 0) for i, t, lang in rows], "doc_id long, text string, lang string, score int")
+    got = {r["doc_id"]: r for r in language_id.identify(table).collect()}
+    for i, t, _ in rows:
+        if not grams(t):
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        logs = {k: math.log((n_rows[k] + 1) / sum(v + 1 for v in n_rows.values())) + sum(n * math.log((c[g] + s) / (sum(c.values()) + s * slots)) for g, n in grams(t).items()) for k, c in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert got[i]["lang_pred"] == best
+        assert got[i]["score"] == pytest.approx(1 / sum(math.exp(v - logs[best]) for v in logs.values()), abs=2e-3)
+    clash = language_id.predict(table.select("doc_id", "text", "score"), language_id.fit(table))
+    assert clash.columns == ["doc_id", "score", "lang_pred", "_score"]

@@ -39,7 +39,7 @@ MASK_CHARS = 60
 #: Distinct words after which a block of documents ends.
 BLOCK_WORDS = 1 << 21
 #: Bytes of text of one row of word numbers (a longer text is a row of its own).
-ROW_BYTES = 1 << 20
+ROW_BYTES = 1 << 18
 #: Bytes of a text's digest that a block keeps for the comparison with the decoded text.
 DIGEST = 8
 #: Places (blocks) of a word in one row.

@@ -47,4 +47,42 @@ ORACLES: dict[str, str] = {
                CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_cyclic, '{"calls":[' || coalesce(string_agg(body, ',' ORDER BY turn) FILTER (called), '') || ']}' AS json
         FROM m GROUP BY conv_id
     """,
+    "op11_fingerprint": r"""
+        WITH s AS (SELECT doc_id, coalesce(text, '') AS body, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS k FROM documents),
+             n AS (SELECT a.k, a.doc_id, a.body, b.body AS next, length(a.body) AS n_chars, length(a.body) // 3 AS third
+                   FROM s a JOIN s b ON b.k = a.k % (SELECT count(*) FROM s) + 1),
+             e AS (SELECT k, doc_id, n_chars, body, next, body[: n_chars - third] || next[: third] AS edited FROM n),
+             t AS (SELECT body FROM e UNION SELECT edited FROM e),
+             h AS (SELECT body, regexp_extract_all(hex(encode(body)), '..') AS b FROM t),
+             v AS (SELECT body, ((('0x' || b[i + 2] || b[i + 1] || b[i])::BIGINT * 2654435761) % 4294967296) >> 24 AS bucket
+                   FROM (SELECT body, b, unnest(range(1, len(b) - 1)) AS i FROM h)),
+             c AS (SELECT body, bucket, count(*) AS n FROM v GROUP BY body, bucket),
+             m AS (SELECT h.body, len(h.b) AS n_bytes, map_from_entries(list(struct_pack(k := c.bucket, v := c.n)) FILTER (c.n IS NOT NULL)) AS counts
+                   FROM h LEFT JOIN c ON h.body = c.body GROUP BY h.body, len(h.b)),
+             l AS (SELECT body, n_bytes, list_transform(range(256), lambda x: coalesce(counts[x], 0)) AS n FROM m),
+             q AS (SELECT body, n_bytes, n, list_sort(n) AS o FROM l),
+             f AS (SELECT body, CASE WHEN n_bytes < 8 THEN n_bytes ELSE least(255, 8 * (length(bin(n_bytes)) - 3) + (n_bytes >> (length(bin(n_bytes)) - 4)) - 8) END AS size,
+                          list_transform(n, lambda x: (x > o[64])::INT + (x > o[128])::INT + (x > o[192])::INT) AS codes FROM q),
+             p AS (SELECT body, size, codes, printf('%02x', CAST(size AS INT)) || array_to_string(list_transform(range(64), lambda x:
+                          printf('%02x', codes[4 * x + 1] + 4 * codes[4 * x + 2] + 16 * codes[4 * x + 3] + 64 * codes[4 * x + 4])), '') AS print FROM f),
+             x AS (SELECT e.doc_id, e.n_chars, sha256(e.edited) AS edited_sha256, p.print AS fingerprint, r.print AS edited_fingerprint, p.size, p.codes, r.size AS size1, r.codes AS codes1, w.size AS size2, w.codes AS codes2
+                   FROM e JOIN p ON p.body = e.body JOIN p r ON r.body = e.edited JOIN p w ON w.body = e.next)
+        SELECT doc_id, CAST(n_chars AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+               round(1.0::DOUBLE - (0.75::DOUBLE * (list_sum(list_transform(range(1, 257), lambda i: abs(codes[i] - codes1[i])))::DOUBLE / greatest(1, list_sum(list_transform(range(1, 257), lambda i: greatest(codes[i], codes1[i]))))::DOUBLE)
+                     + 0.25::DOUBLE * (least(abs(size - size1), 16)::DOUBLE / 16::DOUBLE)), 6) AS near_edited,
+               round(1.0::DOUBLE - (0.75::DOUBLE * (list_sum(list_transform(range(1, 257), lambda i: abs(codes[i] - codes2[i])))::DOUBLE / greatest(1, list_sum(list_transform(range(1, 257), lambda i: greatest(codes[i], codes2[i]))))::DOUBLE)
+                     + 0.25::DOUBLE * (least(abs(size - size2), 16)::DOUBLE / 16::DOUBLE)), 6) AS near_next
+        FROM x
+    """,
+    "op12_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+             g AS (SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+             c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                          CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+             p AS (SELECT doc_id, n, form, body, array_to_string(w[: a], '') AS prefix, array_to_string(w[a + 1 : b], '') AS middle, array_to_string(w[b + 1 :], '') AS suffix FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(body) AS restored_sha256
+        FROM p
+    """,
 }

@@ -81,6 +81,35 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), sentencepiece_model())
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fill_middle import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+#: A byte-level vocabulary file of a public tokenizer; None takes the one that is installed.
+BYTE_VOCABULARY: str | None = None
+
+
+def alignment_files():
+    from .token_alignment import Files
+
+    bytes_path = BYTE_VOCABULARY or os.environ.get("GLOSSA_BYTE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.json")
+    return Files.read(bytes_path, SENTENCEPIECE_MODEL or os.environ.get("GLOSSA_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_alignment import report
+
+    return report(table(spark, sf_dir, "documents"), alignment_files())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -92,4 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_html_extract": op9_html_extract,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_fingerprint": op11_fingerprint,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_token_alignment": op13_token_alignment,
 }

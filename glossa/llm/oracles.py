@@ -39,13 +39,20 @@ ORACLES: dict[str, str] = {
         FROM documents s LEFT JOIN gone USING (doc_id)
     """,
     "op7_chat_format": r"""
-        WITH u AS (SELECT * FROM conversations WHERE role = 'user'), a AS (SELECT * FROM conversations WHERE role = 'assistant'),
+        WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY CAST(to_json(text) AS VARCHAR), text) AS k FROM conversations),
+             u AS (SELECT * FROM c WHERE role = 'user' AND k = 1), a AS (SELECT * FROM c WHERE role = 'assistant' AND k = 1),
              m AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, u.turn AS turn, u.conv_id IS NOT NULL AS called, a.conv_id IS NOT NULL AS answered,
                           '{"arguments":{"prompt":' || to_json(u.text) || ',"turn":' || u.turn || '},"errors":[],"id":"t:' || u.turn || '","name":"chat.reply","result":' || coalesce(CAST(to_json(a.text) AS VARCHAR), 'null') || '}' AS body
-                   FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn - 1)
-        SELECT conv_id, count(*) FILTER (called) AS n_calls, count(*) FILTER (called AND answered) AS n_linked, count(*) FILTER (NOT called) AS n_orphans,
-               CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_cyclic, '{"calls":[' || coalesce(string_agg(body, ',' ORDER BY turn) FILTER (called), '') || ']}' AS json
-        FROM m GROUP BY conv_id
+                   FROM u FULL JOIN a ON u.conv_id = a.conv_id AND u.turn = a.turn - 1),
+             g AS (SELECT conv_id, count(*) FILTER (called) AS n_calls, count(*) FILTER (called AND answered) AS n_linked, count(*) FILTER (NOT called) AS n_orphans,
+                          coalesce(string_agg(body, ',' ORDER BY turn) FILTER (called), '') AS calls FROM m GROUP BY conv_id),
+             o AS (SELECT c.conv_id, c.turn, c.role, c.text FROM c LEFT JOIN u ON u.conv_id = c.conv_id AND u.turn = c.turn - 1
+                   WHERE c.k > 1 OR coalesce(c.role, '') NOT IN ('user', 'assistant') OR (c.role = 'assistant' AND u.conv_id IS NULL)),
+             t AS (SELECT conv_id, string_agg('{"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(turn AS VARCHAR), 'null') || '}', ','
+                          ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns FROM o GROUP BY conv_id)
+        SELECT conv_id, coalesce(n_calls, 0) AS n_calls, coalesce(n_linked, 0) AS n_linked, coalesce(n_orphans, 0) AS n_orphans, CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_cyclic,
+               '{"calls":[' || coalesce(calls, '') || ']' || coalesce(',"turns":[' || turns || ']', '') || '}' AS json
+        FROM g FULL JOIN t USING (conv_id)
     """,
     "op11_fingerprint": r"""
         WITH s AS (SELECT doc_id, coalesce(text, '') AS body, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, coalesce(text, '')) AS k FROM documents),

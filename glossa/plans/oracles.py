@@ -238,7 +238,7 @@ ORACLES: dict[str, str] = {
     "csc_entries": f"WITH {VARS}, c AS (SELECT * FROM wt WHERE kind = 'pos' ORDER BY {order('42', 'doc_id', 'sno', 'idx')}, doc_id, sno, idx LIMIT 200) SELECT round(avg(list_dot_product(a, b)), 6) AS csc, count(*) AS n FROM c",
     "csm_entries": f"""WITH {VARS}, j AS (SELECT p.doc_id, p.sno, p.idx, p.a, p.b AS p, h.b AS h FROM wt p JOIN wt h ON p.doc_id = h.doc_id AND p.sno = h.sno AND p.idx = h.idx WHERE p.kind = 'pos' AND h.kind = 'hard_neg'),
         c AS (SELECT * FROM j ORDER BY {order('42', 'doc_id', 'sno', 'idx')}, doc_id, sno, idx LIMIT 200), cs AS (SELECT 'same' AS kind, list_dot_product(a, p) AS cos FROM c UNION ALL SELECT 'related', list_dot_product(a, h) FROM c) {MARGIN}""",
-    "csc_template": f"WITH {TEMPLATE}, c AS (SELECT * FROM syn ORDER BY {order('42', 'word', 'cand')}, word, cand LIMIT 40) SELECT round(avg(list_dot_product(a.mu, b.mu)), 6) AS csc, count(*) AS n FROM c JOIN tm a ON a.word = c.word JOIN tm b ON b.word = c.cand",
+    "csc_template": f"WITH {TEMPLATE}, c AS (SELECT * FROM syn ORDER BY {order('42', 'word', 'cand')}, word, cand LIMIT 200) SELECT round(avg(list_dot_product(a.mu, b.mu)), 6) AS csc, count(*) AS n FROM c JOIN tm a ON a.word = c.word JOIN tm b ON b.word = c.cand",
     "csm_template": f"""WITH {TEMPLATE}, w AS (SELECT word FROM syn INTERSECT SELECT word FROM rel),
         cs AS (SELECT kind, list_dot_product(a.mu, b.mu) AS cos FROM (SELECT 'same' AS kind, word, cand FROM syn UNION ALL SELECT 'related', word, cand FROM rel) p JOIN w USING (word) JOIN tm a ON a.word = p.word JOIN tm b ON b.word = p.cand) {MARGIN}""",
     "model_selection": f"WITH {PTS}, e AS (SELECT label AS epoch, round(avg(vec[1]), 3) AS value FROM pts GROUP BY 1) SELECT epoch, value FROM e ORDER BY value DESC, epoch LIMIT 1",

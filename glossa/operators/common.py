@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -15,6 +17,20 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read from there, for tables that are used several times.
+
+    The cluster names the folder in spark.checkpoint.dir; only a local session gets one made here.
+    """
+    sc, spark = df.sparkSession.sparkContext, df.sparkSession
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glossa-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def hash_order(seed: int | str, *keys: str) -> Column:
     """A fixed random order: md5 of seed and keys, joined by colons."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.vectors import dot, mean_by, normalize
+from .common import saved, small
 from .sampling import cap_per_group
 from .similarity import nearest
 
@@ -55,7 +56,7 @@ def trimmed_center(items: DataFrame, keys: list[str], item: str, trim: float = 0
 
 def occurrences(positions: DataFrame, groups: DataFrame, cap: int = 30, seed: int = 42) -> DataFrame:
     """group_id, word, sid, pos: positions (sid, pos, word) of group words, at most cap a group and word."""
-    rows = positions.join(F.broadcast(groups.select("group_id", "word").distinct()), "word").select("group_id", "word", "sid", "pos")
+    rows = positions.join(small(groups.select("group_id", "word").distinct()), "word").select("group_id", "word", "sid", "pos")
     return cap_per_group(rows, ["group_id", "word"], ["group_id", "word", "sid", "pos"], cap, seed)
 
 
@@ -81,15 +82,15 @@ def build(occ: DataFrame, groups: DataFrame, mono: DataFrame, p: Parameters = Pa
 
     groups: all group_id; mono: (group_id, word) of words of one group only.  Vectors must be normalized.
     """
-    keep, stats = keep_table(occ, p)
-    keep, stats = keep.cache(), stats.cache()
-    safe = safe_groups(stats, p).cache()
+    keep, stats = keep_table(saved(occ), p)
+    keep, stats = saved(keep), saved(stats)
+    safe = saved(safe_groups(stats, p))
     n_safe = safe.count()
     threshold = stats.where("cohesion is not null").agg(F.percentile("cohesion", F.lit(p.safe_coh_q))).first()[0]
     anchors = mono.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_anchor_words"))
-    marked = keep.join(F.broadcast(mono.withColumn("mono", F.lit(True))), ["group_id", "word"], "left").withColumn("mono", F.coalesce("mono", F.lit(False)))
+    marked = keep.join(small(mono.withColumn("mono", F.lit(True))), ["group_id", "word"], "left").withColumn("mono", F.coalesce("mono", F.lit(False)))
     if n_safe:
-        safe_proto = trimmed_center(keep.join(F.broadcast(safe.select("group_id")), "group_id"), ["group_id"], "item", p.trim).select(F.col("group_id").alias("safe_id"), F.col("mu").alias("vec"))
+        safe_proto = trimmed_center(keep.join(small(safe.select("group_id")), "group_id"), ["group_id"], "item", p.trim).select(F.col("group_id").alias("safe_id"), F.col("mu").alias("vec"))
         marked = nearest(marked, safe_proto, "item", "safe_id", name="best_sim")
     else:
         marked = marked.withColumn("best_sim", F.lit(-1.0))
@@ -131,18 +132,26 @@ def status_counts(meta: DataFrame) -> DataFrame:
     return meta.groupBy("status").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "status")
 
 
+def readable(sentences: DataFrame, least: int = 2) -> DataFrame:
+    """Sentences without their blank tokens, of at least `least` others; the words' places are counted without the blanks."""
+    kept = F.filter("tokens", lambda t: F.coalesce(~t.rlike(r"(?U)^\s*$"), F.lit(False)))
+    return sentences.withColumn("tokens", kept).where(F.size("tokens") >= least)
+
+
 def assign(words: DataFrame, prototypes: DataFrame, members: DataFrame, min_sim: float = 0.5, vocabulary: DataFrame | None = None) -> dict[str, DataFrame]:
     """Tables "pairs" (words with best_group_id, sim, hit), "groups" (group_id, predicted_words, member_words), "meta".
 
     words: sid, item, word, vec.  With a vocabulary, other words are left out before any vector is compared.  A word is a
-    hit at a similarity of min_sim or more.
+    hit at a similarity of min_sim or more.  If prototypes have `ord`, the groups carry it: the order of the output.
     """
     if vocabulary is not None:
-        words = words.join(F.broadcast(vocabulary), "word", "left_semi")
-    pairs = nearest(words, prototypes, "item", "group_id").withColumn("hit", F.col("sim") >= F.lit(min_sim))
+        words = words.join(small(vocabulary), "word", "left_semi")
+    pairs = nearest(words, prototypes.select("group_id", "vec"), "item", "group_id").withColumn("hit", F.col("sim") >= F.lit(min_sim))
     found = pairs.where("hit").groupBy(F.col("best_group_id").alias("group_id")).agg(F.array_sort(F.collect_set("word")).alias("predicted_words"))
     listed = members.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "word"))), lambda x: x["word"]).alias("member_words"))
     groups = found.join(listed, "group_id", "left").withColumn("member_words", F.coalesce("member_words", F.array().cast("array<string>")))
+    if "ord" in prototypes.columns:
+        groups = groups.join(prototypes.select("group_id", "ord"), "group_id")
     meta = pairs.agg(
         F.countDistinct("sid").alias("n_sentences"), F.count(F.lit(1)).alias("n_occurrences"), F.count_if(~F.col("hit")).alias("n_unmatched"),
         F.countDistinct(F.when(F.col("hit"), F.col("word"))).alias("n_words"), F.countDistinct(F.when(F.col("hit"), F.col("best_group_id"))).alias("n_groups"),

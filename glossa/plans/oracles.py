@@ -69,10 +69,15 @@ def number(seed: str, *keys: str) -> str:
 
 OCC = PTS + """, occ AS (SELECT label AS group_id, vec_id AS item, vec, CASE WHEN label < 4 THEN 'm' || label || '_' || (vec_id % 3) WHEN label = 4 AND vec_id % 4 = 0 THEN 'solo4' ELSE 'p' || (vec_id % 6) END AS word
     FROM pts)"""
-BUILT = f"""{OCC}, {keep('occ', 'group_id', 'item')}, thr AS (SELECT quantile_cont(cohesion, 0.7) AS t FROM stats WHERE cohesion IS NOT NULL),
+MONO = "mono AS (SELECT group_id, word FROM (SELECT DISTINCT group_id, word FROM occ) WHERE word IN (SELECT word FROM (SELECT DISTINCT group_id, word FROM occ) GROUP BY word HAVING count(*) = 1))"
+
+
+def built(occ: str, mono: str) -> str:
+    """CTEs of prototypes at a margin of 0, from those of occ(group_id, word, item, vec) and mono(group_id, word)."""
+    return f"""{occ}, {keep('occ', 'group_id', 'item')}, thr AS (SELECT quantile_cont(cohesion, 0.7) AS t FROM stats WHERE cohesion IS NOT NULL),
     safe AS (SELECT group_id FROM stats, thr WHERE cohesion >= t AND n_keep >= 20), safe_keep AS (SELECT group_id, item, vec FROM keep WHERE group_id IN (SELECT group_id FROM safe)),
     {trimmed('sp', 'safe_keep', 'group_id', 'item')},
-    mono AS (SELECT group_id, word FROM (SELECT DISTINCT group_id, word FROM occ) WHERE word IN (SELECT word FROM (SELECT DISTINCT group_id, word FROM occ) GROUP BY word HAVING count(*) = 1)),
+    {mono},
     best AS (SELECT k.item, max(list_dot_product(k.vec, sp.mu)) AS best_sim FROM keep k, sp GROUP BY k.item),
     marked AS (SELECT k.group_id, k.item, k.vec, k.word, k.sim, (k.group_id, k.word) IN (SELECT (group_id, word) FROM mono) AS mono, coalesce(best_sim, -1) - k.sim < 0.0 AS resid FROM keep k LEFT JOIN best USING (item)),
     cnt AS (SELECT group_id, count(*) FILTER (mono) AS n_anchor_occ, count(*) FILTER (resid) AS n_residual FROM marked GROUP BY 1),
@@ -83,6 +88,9 @@ BUILT = f"""{OCC}, {keep('occ', 'group_id', 'item')}, thr AS (SELECT quantile_co
                           WHEN n_anchor_words = 0 AND (SELECT count(*) FROM safe) > 0 THEN 'allpoly_fallback_keep_proto' ELSE 'keep_proto' END AS status FROM tbl),
     chosen AS (SELECT m.* FROM marked m JOIN st USING (group_id) WHERE CASE status WHEN 'anchor_proto' THEN mono WHEN 'allpoly_residual_proto' THEN resid ELSE true END),
     {trimmed('proto', 'chosen', 'group_id', 'item')}"""
+
+
+BUILT = built(OCC, MONO)
 VOCAB_VEC = LEX + ", " + PTS + """, lw AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS k FROM (SELECT DISTINCT word FROM lex)), wv AS (SELECT lw.word, pts.vec FROM lw JOIN pts ON pts.vec_id = lw.k)"""
 CTX = f"""{VOCAB_VEC}, {STOK}, pv AS (SELECT p.*, wv.vec FROM spos p JOIN wv USING (word)),
     other AS (SELECT a.doc_id, a.sno, a.idx, i, avg(b.vec[i]) AS x FROM pv a JOIN pv b ON a.doc_id = b.doc_id AND a.sno = b.sno AND a.idx <> b.idx, range(1, 65) t(i) GROUP BY ALL),

@@ -1,3 +1,3 @@
 """The registered queries and their SQL: importing the package registers those of every module."""
 
-from . import encoded, oracles, queries  # noqa: F401
+from . import encoded, oracles, queries, segmented  # noqa: F401

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, saved
 
 #: Characters of the longest word of a dictionary; longer ones are left out of it.
 MAX_WORD = 32
@@ -123,11 +123,13 @@ def segment(texts: DataFrame, counts: DataFrame, keys: list[str], text: str = "t
             out.append(best_path(block, lambda i, at=at: at.get(i, ()), lone) if is_block else [block])
         return pa.array(out, pa.list_(pa.string()))
 
-    rows = texts.select(*keys, F.monotonically_increasing_id().alias("_row"), F.posexplode_outer(parts(F.col(text))).alias("_no", "block"))
+    numbered = saved(texts.select(*keys, F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id()))
+    named = [c for c in numbered.columns if c not in ("_text", "_row")]
+    rows = numbered.select(*named, "_row", F.posexplode_outer(parts(F.col("_text"))).alias("_no", "block"))
     blocks = rows.select("block").where("block is not null").distinct()
     starts = blocks.select("block", F.explode(F.sequence(F.lit(0), F.length("block") - 1)).alias("i"))
     subs = starts.select("block", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("block") - F.col("i")))).alias("size"))
     edges = subs.withColumn("word", F.substr("block", F.col("i") + 1, F.col("size"))).join(words, "word").groupBy("block").agg(F.collect_list(F.struct("i", "size", "n")).alias("edges"))
     cut = blocks.join(edges, "block", "left").select("block", paths(F.col("block"), F.col("edges")).alias("words"))
-    again = rows.join(cut, "block", "left").groupBy(*keys, "_row").agg(F.array_sort(F.collect_list(F.when(F.col("words").isNotNull(), F.struct("_no", "words")))).alias("w"))
-    return again.select(*keys, F.flatten(F.transform("w", lambda x: x["words"])).alias("tokens"))
+    again = rows.join(cut, "block", "left").groupBy(*named, "_row").agg(F.array_sort(F.collect_list(F.when(F.col("words").isNotNull(), F.struct("_no", "words")))).alias("w"))
+    return again.select(*named, F.flatten(F.transform("w", lambda x: x["words"])).alias("tokens"))

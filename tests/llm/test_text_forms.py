@@ -177,13 +177,16 @@ def test_alignment_keeps_columns_and_counts_far_pairs(spark, monkeypatch):
 
 
 def test_merge_of_ends():
-    groups, links = token_alignment.merge([1, 2, 3], [7, 8], [1, 3, 4], [3, 4])
+    groups, links = token_alignment.merge([1, 2, 3], [7, 8], [0, 1, 2, 1], [0] * 7 + [3, 1])
     assert groups == [([1, 2], [7]), ([3], [8])] and links == [(1, 7), (2, 7), (3, 8)]
 
 
 def test_aligner_forgets_within_its_bound(monkeypatch):
-    monkeypatch.setattr(token_alignment, "MEMORY", 5)
+    aligner, texts = token_alignment.Aligner(alignment_files()), [words(k, 50) for k in range(20)]
+    plain = lambda columns: [list(map(list, c)) if k > 4 else list(c) for k, c in enumerate(columns)]
+    want = plain(aligner.texts(texts))
+    monkeypatch.setattr(token_alignment, "MEMORY", 60)
     aligner = token_alignment.Aligner(alignment_files())
-    text = words(3, 50)
-    first = aligner.text(text)
-    assert len(aligner.memory) <= 5 and aligner.text(text) == first
+    got = [plain(aligner.texts([t])) for t in texts]
+    assert len(aligner.number) <= 60 and [[g[k][0] for g in got] for k in range(7)] == want
+    assert plain(aligner.texts([""])) == [[0], [0], [0], [0], [""], [[]], [[]]]

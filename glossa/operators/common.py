@@ -42,6 +42,12 @@ def hash_number(seed: int | str, *keys: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
+def hash_wide(seed: int | str, *keys: Column) -> Column:
+    """A fixed random number of 60 bits: the first fifteen digits of md5 of seed and keys."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def hash_rank(df: DataFrame, seed: int | str, keys: list[str], by: list[str] = (), name: str = "rank") -> DataFrame:
     """df with its 1-based rank in hash order, overall or within `by`.
 

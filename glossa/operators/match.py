@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import strip, tokenize
+from . import automaton
 from . import lexicon as lx
 from .common import small
 
 
 def tokens_of(texts: DataFrame, keys: list[str], text: str = "text", mode: str = "regex") -> DataFrame:
-    """keys, tokens; blank texts are left out."""
-    return texts.select(*keys, tokenize(F.col(text), mode).alias("tokens")).where(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0)
+    """keys, tokens; texts without a character that is not white space, in Unicode's sense, are left out."""
+    return texts.select(*keys, tokenize(F.col(text), mode).alias("tokens")).where(F.length(strip(F.coalesce(F.col(text), F.lit("")))) > 0)
 
 
 def token_counts(tokens: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -67,16 +66,5 @@ def rare_senses(counts: DataFrame, lexicon: DataFrame, ratio: float = 0.5) -> Da
 
 
 def substring_matches(texts: DataFrame, lexicon: DataFrame, keys: list[str], text: str = "text", lower: bool = True) -> DataFrame:
-    """keys, words: lexicon words in reading order as substrings, the longest at each place, none overlapping.
-
-    The alternation is compiled into one pattern; the words of a lexicon are bounded by `small`'s limit.
-    """
-    words = [r[0] for r in small(lx.word_senses(lexicon).select("word").distinct()).collect()]
-    words.sort(key=lambda w: (-len(w), w))
-    pattern = "|".join(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in words) or "(?!)"
-    source = F.lower(text) if lower else F.col(text)
-    return texts.select(*keys, F.regexp_extract_all(source, F.lit(pattern), F.lit(0)).alias("words")).where(F.size("words") > 0)
-
-
-def python_pattern(words: list[str]) -> str:
-    return "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    """keys, words: lexicon words in reading order as substrings, the longest at each place, none overlapping."""
+    return automaton.matches(texts, lx.word_senses(lexicon), keys, F.lower(text) if lower else F.col(text))

@@ -38,11 +38,27 @@ def share(n, q: float):
     return F.greatest(F.lit(1), F.ceil(n * F.lit(float(q)))).cast("int")
 
 
+#: Equal steps of the scores from -1 to 1 in which the rows of a group are counted; scores beyond fall into the end steps.
+STEPS = 4096
+
+
 def top_share(items: DataFrame, keys: list[str], item: str, score: str, q: float) -> DataFrame:
-    """The ceil(n * q) best rows of each key by score, ties by item."""
+    """The ceil(n * q) best rows of each key by score, ties by item; null scores are the least.
+
+    A group's rows are counted by steps of the score.  All rows above the step in which the share ends are taken, and only
+    the rows of that step are ranked, so no window goes over a whole group.
+    """
+    within = F.greatest(F.lit(0), F.least(F.lit(STEPS - 1), F.floor((F.col(score) + 1) * (STEPS / 2))))
+    step = F.when(F.col(score).isNull(), -1).otherwise(within).cast("int")
+    marked = items.withColumn("_step", step)
+    counts = marked.groupBy(*keys, "_step").agg(F.count(F.lit(1)).alias("_n"))
     by = Window.partitionBy(*keys)
-    ranked = items.withColumn("_n", F.count(F.lit(1)).over(by)).withColumn("_r", F.row_number().over(by.orderBy(F.desc(score), item)))
-    return ranked.where(F.col("_r") <= share(F.col("_n"), q)).drop("_n", "_r")
+    above = F.coalesce(F.sum("_n").over(by.orderBy(F.desc("_step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = counts.select(*keys, "_step", "_n", above.alias("_above"), share(F.sum("_n").over(by), q).alias("_k"))
+    ends = ends.where("_above < _k and _above + _n >= _k").select(*keys, F.col("_step").alias("_end"), (F.col("_k") - F.col("_above")).alias("_left"))
+    joined = marked.join(ends, keys)
+    ranked = joined.where("_step = _end").withColumn("_r", F.row_number().over(by.orderBy(F.desc(score), item))).where("_r <= _left")
+    return joined.where("_step > _end").select(*items.columns).unionByName(ranked.select(*items.columns))
 
 
 def trimmed_center(items: DataFrame, keys: list[str], item: str, trim: float = 0.1, vector: str = "vec") -> DataFrame:
@@ -50,7 +66,7 @@ def trimmed_center(items: DataFrame, keys: list[str], item: str, trim: float = 0
     mu = center(items, keys, vector)
     if trim <= 0:
         return mu
-    scored = items.join(mu, keys).withColumn("_s", dot(F.col(vector), F.col("mu"))).drop("mu")
+    scored = saved(items.join(mu, keys).withColumn("_s", dot(F.col(vector), F.col("mu"))).drop("mu"))
     return center(top_share(scored, keys, item, "_s", 1 - trim), keys, vector)
 
 
@@ -65,7 +81,7 @@ def keep_table(occ: DataFrame, p: Parameters) -> tuple[DataFrame, DataFrame]:
     sizes = occ.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_occ"))
     big = occ.join(sizes.where(F.col("n_occ") >= p.min_keep).select("group_id"), "group_id")
     mu0 = trimmed_center(big, ["group_id"], "item", p.trim)
-    scored = big.join(mu0, "group_id").withColumn("sim", dot(F.col("vec"), F.col("mu"))).drop("mu")
+    scored = saved(big.join(mu0, "group_id").withColumn("sim", dot(F.col("vec"), F.col("mu"))).drop("mu"))
     keep = top_share(scored, ["group_id"], "item", "sim", p.keep_q)
     stats = keep.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_keep"), F.avg("sim").alias("cohesion"))
     return keep, sizes.join(stats, "group_id", "left")

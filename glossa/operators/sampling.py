@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import hash_limit, hash_number, hash_order, hash_rank
+from .common import hash_limit, hash_order, hash_rank, hash_wide, small
 
 
 def train_valid_split(rows: DataFrame, keys: list[str], valid_ratio: float = 0.2, seed: int = 42) -> DataFrame:
@@ -84,7 +84,7 @@ def mini_batches(rows: DataFrame, keys: list[str], size: int, seed: int = 42) ->
 
 def sense_index(tokens: DataFrame, senses: DataFrame, key: str, include_no_sense: bool = True) -> DataFrame:
     """sense_id, key: each entry under each sense of its tokens, or under NO_SENSE."""
-    found = tokens.select(key, F.explode(F.array_distinct("tokens")).alias("word")).join(F.broadcast(senses), "word").select("sense_id", key).distinct()
+    found = tokens.select(key, F.explode(F.array_distinct("tokens")).alias("word")).join(small(senses), "word").select("sense_id", key).distinct()
     if not include_no_sense:
         return found
     none = tokens.select(key).join(found.select(key).distinct(), key, "left_anti").select(F.lit("NO_SENSE").alias("sense_id"), key)
@@ -100,32 +100,43 @@ def check_batches(batch_size: int, k: int) -> None:
         raise ValueError("a batch can't have more groups than rows")
 
 
+def different_draws(n: Column, k: int, seed: str, *keys: Column) -> Column:
+    """array<long>: k different numbers below n, each set of k as likely as any other; n must be k at least.
+
+    The j-th draw is below n - k + j + 1, and stands for the greatest of these numbers where it was drawn before: k draws,
+    whatever n is.
+    """
+    def step(drawn, j):
+        number = F.pmod(hash_wide(seed, *keys, j), n - k + j + 1)
+        return F.concat(drawn, F.array(F.when(F.array_contains(drawn, number), (n - k + j).cast("long")).otherwise(number)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.array().cast("array<bigint>"), step)
+
+
+def loose_draws(n: Column, k: int, seed: str, *keys: Column) -> Column:
+    """array<long>: k numbers below n, drawn with replacement."""
+    return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda j: F.pmod(hash_wide(seed, *keys, j), n))
+
+
 def two_stage_batches(index: DataFrame, key: str, n_entries: int, batch_size: int, k: int, seed: int = 42) -> DataFrame:
     """batch, slot, sense_id, pick, key: n_entries // batch_size batches of k groups with batch_size / k rows each.
 
-    Groups are drawn without replacement if there are enough, else with.  Each group's rows stand in hash order, and a
-    batch takes a run of them from a random place on (all different if there are enough, else drawn with replacement), so
-    a pick is an equi-join on the group and the row's number.
+    Groups are drawn without replacement if there are enough, else with, and so are the rows of each.  Groups and the rows
+    of a group are numbered in hash order, and draws are numbers, so that the work grows with the rows of the batches alone
+    and a pick is an equi-join on the group and the row's number.
     """
     check_batches(batch_size, k)
     spark, m = index.sparkSession, batch_size // k
     pools = index.groupBy("sense_id").agg(F.count(F.lit(1)).alias("pool"))
-    ordered = pools.withColumn("gno", F.row_number().over(Window.orderBy("sense_id")) - 1)  # one row a group
-    groups = ordered.count()
+    ordered = hash_rank(pools, f"{seed}:order", ["sense_id"], name="gno").withColumn("gno", F.col("gno") - 1)
+    groups = pools.count()
     if not groups:
         raise ValueError("there is no group to draw from")
     batches = spark.range(n_entries // batch_size).select(F.col("id").alias("batch"))
-    if groups >= k:
-        drawn = batches.crossJoin(F.broadcast(ordered)).withColumn("_h", hash_order(f"{seed}:group", "batch", "sense_id"))
-        slot = F.row_number().over(Window.partitionBy("batch").orderBy("_h", "sense_id")) - 1
-        chosen = drawn.withColumn("slot", slot).where(F.col("slot") < k).select("batch", "slot", "sense_id", "pool")
-    else:
-        slots = batches.select("batch", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("slot"))
-        numbered = slots.withColumn("gno", (hash_number(f"{seed}:group", F.col("batch"), F.col("slot")) % groups).cast("int"))
-        chosen = numbered.join(F.broadcast(ordered), "gno").select("batch", "slot", "sense_id", "pool")
-    picks = chosen.select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("pick"))
-    run = (hash_number(f"{seed}:start", F.col("batch"), F.col("slot")) + F.col("pick")) % F.col("pool")
-    loose = hash_number(f"{seed}:pick", F.col("batch"), F.col("slot"), F.col("pick")) % F.col("pool")
-    picks = picks.withColumn("row", F.when(F.col("pool") >= m, run).otherwise(loose))
-    rows = hash_rank(index, f"{seed}:pool", [key], by=["sense_id"], name="row").withColumn("row", F.col("row") - 1)
-    return picks.join(rows, ["sense_id", "row"]).select("batch", "slot", "sense_id", "pick", key)
+    draws = (different_draws if groups >= k else loose_draws)(F.lit(groups).cast("long"), k, f"{seed}:group", F.col("batch"))
+    chosen = batches.select("batch", F.posexplode(draws).alias("slot", "gno")).join(small(ordered), "gno")
+    keys = F.col("batch"), F.col("slot")
+    rows = F.when(F.col("pool") >= m, different_draws(F.col("pool"), m, f"{seed}:pick", *keys)).otherwise(loose_draws(F.col("pool"), m, f"{seed}:pick", *keys))
+    picks = chosen.select("batch", "slot", "sense_id", F.posexplode(rows).alias("pick", "row"))
+    pool = hash_rank(index, f"{seed}:pool", [key], by=["sense_id"], name="row").withColumn("row", F.col("row") - 1)
+    return picks.join(pool, ["sense_id", "row"]).select("batch", "slot", "sense_id", "pick", key)

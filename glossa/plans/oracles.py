@@ -14,7 +14,7 @@ LEX = LINES + r""", lexp AS (SELECT CAST(line_no AS INTEGER) AS line_no, string_
     eq AS (SELECT line_no, code AS group_id, word, min(ord) AS ord FROM lex WHERE tag = '=' GROUP BY ALL),
     eg AS (SELECT * FROM eq WHERE line_no IN (SELECT line_no FROM eq GROUP BY line_no HAVING count(*) >= 2)),
     grp AS (SELECT group_id, ord, word FROM eg WHERE (group_id, line_no) IN (SELECT (group_id, max(line_no)) FROM eg GROUP BY group_id))"""
-TOK = r"tok AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS tokens FROM documents WHERE trim(coalesce(text, '')) <> '')"
+TOK = r"tok AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS tokens FROM documents WHERE regexp_matches(coalesce(text, ''), '[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]'))"
 POS = TOK + ", pos AS (SELECT doc_id, lang, i - 1 AS pos, tokens[i] AS word FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM tok))"
 SENT = r"""raw AS (SELECT doc_id, li, unnest(string_split(text, e'\n')) AS part FROM (SELECT doc_id, text, 0 AS li FROM documents)),
     numbered AS (SELECT doc_id, list_transform(string_split(text, e'\n'), lambda p: regexp_extract_all(p, '[^.!?;]*[.!?;]|[^.!?;]+')) AS ps FROM documents),
@@ -67,6 +67,15 @@ def number(seed: str, *keys: str) -> str:
     return f"CAST('0x' || substr({order(seed, *keys)}, 1, 8) AS BIGINT)"
 
 
+def wide(seed: str, *keys: str) -> str:
+    return f"CAST('0x' || substr({order(seed, *keys)}, 1, 15) AS BIGINT)"
+
+
+def draws(seed: str, n: str, k: int, *keys: str) -> str:
+    """k different numbers below n: the j-th draw, or the greatest number it may be where it was drawn before."""
+    return f"""list_reduce(list_transform(range({k}), lambda j: [{wide(seed, *keys, 'j')} % ({n} - {k} + j + 1), {n} - {k} + j]), lambda s, x: list_append(s, CASE WHEN list_contains(s, x[1]) THEN x[2] ELSE x[1] END), []::BIGINT[])"""
+
+
 OCC = PTS + """, occ AS (SELECT label AS group_id, vec_id AS item, vec, CASE WHEN label < 4 THEN 'm' || label || '_' || (vec_id % 3) WHEN label = 4 AND vec_id % 4 = 0 THEN 'solo4' ELSE 'p' || (vec_id % 6) END AS word
     FROM pts)"""
 MONO = "mono AS (SELECT group_id, word FROM (SELECT DISTINCT group_id, word FROM occ) WHERE word IN (SELECT word FROM (SELECT DISTINCT group_id, word FROM occ) GROUP BY word HAVING count(*) = 1))"
@@ -148,6 +157,13 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_match, md5(array_to_string(ws, ' ')) AS words_md5 FROM f WHERE len(ws) > 0""",
     "token_counts": f"WITH {POS} SELECT lang, word, count(*) AS n FROM pos GROUP BY ALL",
     "inverted_index": f"WITH {LEX}, {POS} SELECT word, count(*) AS n, count(DISTINCT doc_id) AS n_docs, CAST(sum(pos) AS BIGINT) AS pos_sum FROM pos WHERE word IN (SELECT word FROM ws) GROUP BY 1",
+    "posting_lists": f"""WITH {POS}, d AS (SELECT word, doc_id, doc_id // 1024 AS block, list(pos ORDER BY pos) AS places FROM pos GROUP BY ALL), g AS (SELECT word, block, list(doc_id ORDER BY doc_id) AS ds, list(places ORDER BY doc_id) AS ps FROM d GROUP BY ALL)
+        SELECT word, block, CAST(len(ds) AS BIGINT) AS n_docs, CAST(list_sum(list_transform(ps, lambda p: len(p))) AS BIGINT) AS n, ds[-1] AS last,
+               md5(array_to_string(list_transform(range(1, len(ds) + 1), lambda i: CASE WHEN i = 1 THEN ds[1] ELSE ds[i] - ds[i - 1] END), ',') || '|' || array_to_string(list_transform(ps, lambda p: len(p)), ',') || '|'
+                   || array_to_string(flatten(list_transform(ps, lambda p: list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = 1 THEN p[1] ELSE p[i] - p[i - 1] END))), ',')) AS gaps_md5 FROM g""",
+    "phrase_lookup": f"""WITH {POS}, b AS (SELECT item_id, w[1 : 3] AS w FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark) WHERE len(w) > 0)
+        SELECT item_id, a.doc_id, CAST(a.pos AS BIGINT) AS start FROM b JOIN pos a ON a.word = w[1] LEFT JOIN pos c ON c.doc_id = a.doc_id AND c.pos = a.pos + 1 AND c.word = w[2] LEFT JOIN pos e ON e.doc_id = a.doc_id AND e.pos = a.pos + 2 AND e.word = w[3]
+        WHERE (len(w) < 2 OR c.word IS NOT NULL) AND (len(w) < 3 OR e.word IS NOT NULL)""",
     "lexicon_table": f"WITH {LEX} SELECT line_no, code, tag, sense_id, n_parts, ord, word FROM lex",
     "lexicon_senses": f"WITH {LEX} SELECT word, string_agg(DISTINCT sense_id, ',' ORDER BY sense_id) AS senses FROM ws GROUP BY 1",
     "word_senses_all": f"WITH {LEX} SELECT word, sense_id, count(*) AS n FROM ws GROUP BY ALL",
@@ -222,9 +238,11 @@ ORACLES: dict[str, str] = {
     "valid_samples": f"""WITH {VARS}, {FIRSTPOS} SELECT s.doc_id, s.sno, array_to_string(coalesce(p.variant, s.tokens), ' ') AS s_pos_tokens, coalesce(p.idx, -1) AS word_idx, 0 AS has_neg, CAST(coalesce(p.orig <> p.cand, false) AS INTEGER) AS has_retrofit
         FROM stok s LEFT JOIN fpos p ON p.doc_id = s.doc_id AND p.sno = s.sno""",
     "sense_index": f"WITH {INDEX} SELECT sense_id, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS id_sum FROM sidx GROUP BY 1",
-    "two_stage_batches": f"""WITH {INDEX}, pools AS (SELECT sense_id, count(*) AS pool FROM sidx GROUP BY 1), b AS (SELECT unnest(range(0, (SELECT count(*) FROM tok) // 32)) AS batch),
-        ch AS (SELECT * FROM (SELECT batch, sense_id, pool, CAST(row_number() OVER (PARTITION BY batch ORDER BY {order('42:group', 'batch', 'sense_id')}, sense_id) - 1 AS INTEGER) AS slot FROM b, pools) WHERE slot < 4),
-        pk AS (SELECT ch.*, CAST(j AS INTEGER) AS pick, CASE WHEN pool >= 8 THEN ({number('42:start', 'batch', 'slot')} + j) % pool ELSE {number('42:pick', 'batch', 'slot', 'j')} % pool END AS row FROM ch, range(0, 8) t(j)),
+    "two_stage_batches": f"""WITH {INDEX}, pools AS (SELECT sense_id, count(*) AS pool FROM sidx GROUP BY 1), gs AS (SELECT *, row_number() OVER (ORDER BY {order('42:order', 'sense_id')}, sense_id) - 1 AS gno, count(*) OVER () AS n FROM pools),
+        b AS (SELECT batch, (SELECT any_value(n) FROM gs) AS n FROM (SELECT unnest(range(0, (SELECT count(*) FROM tok) // 32)) AS batch)),
+        dr AS (SELECT batch, {draws('42:group', 'n', 4, 'batch')} AS gnos FROM b), ch AS (SELECT batch, CAST(s AS INTEGER) AS slot, sense_id, pool FROM (SELECT batch, s, gnos[s + 1] AS gno FROM dr, range(0, 4) t(s)) JOIN gs USING (gno)),
+        rs AS (SELECT *, CASE WHEN pool >= 8 THEN {draws('42:pick', 'pool', 8, 'batch', 'slot')} ELSE list_transform(range(8), lambda j: {wide('42:pick', 'batch', 'slot', 'j')} % pool) END AS nos FROM ch),
+        pk AS (SELECT batch, slot, sense_id, CAST(j AS INTEGER) AS pick, nos[j + 1] AS row FROM rs, range(0, 8) t(j)),
         rw AS (SELECT sense_id, doc_id, row_number() OVER (PARTITION BY sense_id ORDER BY {order('42:pool', 'doc_id')}, doc_id) - 1 AS row FROM sidx)
         SELECT batch, slot, sense_id, pick, doc_id FROM pk JOIN rw USING (sense_id, row)""",
     "infonce_loss": f"WITH {INFO} SELECT batch_id, round(loss, 6) AS loss FROM info",

@@ -10,9 +10,9 @@ from pyspark.sql import Window
 
 from ..functions import text as tx
 from ..functions import vectors as vc
-from ..operators import augment, match, metrics, prototypes, sampling, splitting
+from ..operators import augment, match, metrics, postings, prototypes, sampling, splitting
 from ..operators import lexicon as lx
-from ..operators.common import hash_limit, hash_number, hash_order, hash_rank
+from ..operators.common import hash_limit, hash_number, hash_order, hash_rank, small
 
 #: A small lexicon over the words of `documents`: every tag, a word of several senses, a repeated word and sense id.
 LEXICON = """Xa01A01= the la der le
@@ -117,9 +117,25 @@ def token_counts(spark, sf_dir):
     return tokens(spark, sf_dir).select("lang", F.explode("tokens").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def posting_lists(spark, sf_dir):
+    """The positional index of every word of the documents, by block, and the digests of its gaps."""
+    index = postings.build(tokens(spark, sf_dir))
+    digest = lambda *cs: F.md5(F.concat_ws("|", *[F.array_join(c, ",") for c in cs]).cast("binary"))
+    return index.select("word", "block", "n_docs", "n", "last", digest("docs", "counts", "places").alias("gaps_md5"))
+
+
+@query
+def phrase_lookup(spark, sf_dir):
+    """The first three words of each benchmark item, sought in the documents' index."""
+    words = match.tokens_of(read(spark, sf_dir, "benchmark"), ["item_id"]).select("item_id", F.posexplode(F.slice("tokens", 1, 3)).alias("slot", "word"))
+    found = postings.phrases(postings.build(tokens(spark, sf_dir)), words, "item_id")
+    return found.select("item_id", F.col("doc").alias("doc_id"), "start")
+
+
 @query
 def inverted_index(spark, sf_dir):
-    rows = tokens(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "word")).join(F.broadcast(lx.vocabulary(lexicon(spark))), "word", "left_semi")
+    rows = tokens(spark, sf_dir).select("doc_id", F.posexplode("tokens").alias("pos", "word")).join(small(lx.vocabulary(lexicon(spark))), "word", "left_semi")
     return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.sum(F.col("pos").cast("long")).alias("pos_sum"))
 
 

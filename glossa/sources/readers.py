@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..operators.common import hash_limit
+from ..operators.common import hash_limit, small
 
 ROWS = "array<array<string>>"
 
@@ -19,14 +19,26 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in ("id", "url", "title", "text")])
 
 
+def numbered(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Parquet rows with row_no, from 0 by file name and the row's place in its file (within `by`).
+
+    Only the files' row counts are summed up in order, so no row is sorted, and the numbers do not depend on partitions.
+    """
+    by = list(by)
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    counts = placed.groupBy(*by, "_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return placed.join(small(starts), [*by, "_file"]).select(*rows.columns, (F.col("_start") + F.col("_at")).alias("row_no"))
+
+
 def sentence_pairs(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """config, row_no, sentence1, sentence2: the union of subsets, each a Parquet path by its name.
 
-    row_no numbers the rows of a subset by the order of their text, so it does not depend on partitions.
+    row_no is the row's number in its subset, from 0.
     """
-    parts = [spark.read.parquet(p).select(F.lit(k).alias("config"), F.col("sentence1").cast("string").alias("sentence1"), F.col("sentence2").cast("string").alias("sentence2")) for k, p in paths.items()]
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.withColumn("row_no", F.md5(F.concat_ws("\x1f", "config", "sentence1", "sentence2").cast("binary")))
+    parts = [numbered(spark.read.parquet(p)).select(F.lit(k).alias("config"), "row_no", *[F.col(c).cast("string").alias(c) for c in ("sentence1", "sentence2")]) for k, p in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def text_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:

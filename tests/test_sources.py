@@ -36,12 +36,85 @@ def test_text_and_lexicon(spark, tmp_path):
     assert lx.vocabulary(lex).count() == 29 and lx.pairs(lex, "=").count() == 50 and lx.pairs(lex, "#").count() == 38
 
 
-def test_sinks_overwrite(spark, tmp_path):
-    rows = spark.createDataFrame([("1", "t", "a\nb"), ("", "x/y", "c")], "id string, title string, chunk string")
+def contents(folder):
+    return {str(p.relative_to(folder)): p.read_text() for p in folder.rglob("*") if p.is_file()}
+
+
+def test_a_file_for_each_document(spark, tmp_path):
+    rows = [("1", "t", 10 * k, f"line {k}\nmore") for k in range(30)] + [("", "x/y", 0, "c"), ("2", None, 0, "d")]
+    out = tmp_path / "out"
+    for part in (rows, rows[:-1]):  # the second run takes the file of document 2 away
+        writers.chunks_as_text(spark.createDataFrame(part, "id string, title string, no int, chunk string").repartition(5), str(out), ["no"])
+    assert contents(out) == {"1.txt": "".join(f"line {k} more\n" for k in range(30)), "x_y.txt": "c\n"}
+
+
+def test_numbers_and_files_of_pairs(spark, tmp_path):
+    rows = [(f"s{k}", f"t{k}") for k in range(50)]
+    spark.createDataFrame(rows, "sentence1 string, sentence2 string").repartition(7).write.parquet(str(tmp_path / "A"))
+    spark.createDataFrame([("same", "same")] * 3, "sentence1 string, sentence2 string").write.parquet(str(tmp_path / "B"))
+    pairs = readers.sentence_pairs(spark, {"A": str(tmp_path / "A"), "B": str(tmp_path / "B")})
+    first, again = ([tuple(r) for r in df.orderBy("config", "row_no").collect()] for df in (pairs, pairs.repartition(11)))
+    assert first == again and [r[1] for r in first] == [*range(50), *range(3)] and sorted((r[2], r[3]) for r in first[:50]) == sorted(rows)
+    writers.pairs_as_text(pairs, str(tmp_path / "out"))
+    got = contents(tmp_path / "out")
+    assert len(got) == 53 and all(got[f"{c}_{n}.txt"] == f"{a}\n{b}\n" for c, n, a, b in first)
+
+
+def test_matches_by_source_file(spark, tmp_path):
+    root, out = "file:/data/in", tmp_path / "out"
+    lines = [(f"{root}/a.txt", 1, "one"), (f"{root}/a.txt", 0, "zero"), (f"{root}/sub/b.txt", 3, "b")]
+    every = spark.createDataFrame([(f"{root}/{f}",) for f in ("a.txt", "sub/b.txt", "c.txt")], "file string")
+    schema = "file string, line_no int, line string"
+    writers.matches_as_text(spark.createDataFrame([*lines, (f"{root}/c.txt", 0, "c")], schema), every, root, str(out))
+    (out / "other.txt").write_text("of another run")
+    assert contents(out) == {"a.txt": "zero\none\n", "sub/b.txt": "b\n", "c.txt": "c\n", "other.txt": "of another run"}
+    writers.matches_as_text(spark.createDataFrame(lines[:2], schema), every, root, str(out))  # stale targets go
+    assert contents(out) == {"a.txt": "zero\none\n", "other.txt": "of another run"}
+
+
+def test_tokens_come_back_by_file(spark, tmp_path):
+    rows = [("file:/x/a.txt", k, ["w", str(k), 'q"']) for k in range(5)] + [("file:/x/b.c.txt", 0, ["é"])]
+    writers.tokens_as_json(spark.createDataFrame(rows, "file string, no int, tokens array<string>").repartition(4), str(tmp_path / "out"), ["no"])
+    got = {k: json.loads(v) for k, v in contents(tmp_path / "out").items()}
+    assert got == {"a.json": [r[2] for r in rows[:5]], "b.c.json": [["é"]]}
+    assert sorted(r["tokens"][1] for r in readers.token_sentences(spark, str(tmp_path / "out")).collect()) == list("01234")
+
+
+def test_a_failed_job_leaves_the_target(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from glossa.sources import files
+
+    rows = spark.createDataFrame([("a.txt", "old", 0)], "file string, value string, no int")
+    files.write(rows, str(tmp_path / "out"), ["no"])
+    broken = spark.range(8).select(F.concat(F.lit("f"), "id").alias("file"), F.when(F.col("id") == 7, F.raise_error(F.lit("broken"))).otherwise("new").alias("value"), F.lit(0).alias("no"))
+    with pytest.raises(Exception, match="broken"):
+        files.write(broken, str(tmp_path / "out"), ["no"])
+    assert contents(tmp_path / "out") == {"a.txt": "old\n"}
+
+
+def test_documents_have_all_columns(spark, tmp_path):
+    spark.createDataFrame([(1, "t")], "id long, title string").write.parquet(str(tmp_path / "d"))
+    assert [tuple(r) for r in readers.documents(spark, str(tmp_path / "d")).collect()] == [("1", None, "t", None)]
+
+
+def test_prototypes_come_back_normalized(spark, tmp_path):
+    one = spark.createDataFrame([("g", [3.0, 4.0])], "group_id string, vec array<double>")
+    other = spark.createDataFrame([(1,)], "n int")
     for _ in range(2):
-        writers.chunks_as_text(rows, str(tmp_path / "out"))
-    back = spark.read.text(str(tmp_path / "out"))
-    assert sorted((r["file_base"], r["value"]) for r in back.collect()) == [("1", "a b"), ("x_y", "c")]
+        writers.prototypes({"prototypes": one, "meta": other, "params": other}, str(tmp_path / "p"))
+    assert readers.prototypes(spark, str(tmp_path / "p")).first()["vec"] == [0.6, 0.8]
+
+
+def test_json_sinks_and_metrics(spark, tmp_path):
+    entry = spark.createDataFrame([(["a", "b", "c"], {"0": [["x", "b", "c"]]}, {})], "tokens array<string>, pos map<string,array<array<string>>>, hard_neg map<string,array<array<string>>>")
+    writers.entries_as_json(entry, str(tmp_path / "e"))
+    assert json.loads(spark.read.text(str(tmp_path / "e")).first()[0])["pos"] == {"0": [["x", "b", "c"]]}
+    writers.assignments_as_json(spark.createDataFrame([("g", ["a"])], "group_id string, predicted_words array<string>"), spark.createDataFrame([(3,)], "n_words int"), str(tmp_path / "a"))
+    assert json.loads(spark.read.text(str(tmp_path / "a" / "meta")).first()[0]) == {"n_words": 3}
+    for epoch in (1, 2):
+        writers.metrics(spark.createDataFrame([(epoch, "mrr", 0.5)], "epoch int, name string, value double"), str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
 
 
 def test_stream_counts(spark, tmp_path):

@@ -105,3 +105,30 @@ def matches(texts: DataFrame, words: DataFrame, keys: list[str], text: str | Col
     merged = parts.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     kept = [c for c in rows.columns if c not in ("_row", "_text")]
     return rows.join(merged, "_row").select(*kept, choose(F.col("_text"), F.col("spans")).alias("words"))
+
+
+def convert(texts: DataFrame, table: DataFrame, keys: list[str], text: str = "text", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """keys, text, n_converted: each text with the phrases of table(phrase, replacement) replaced, the longest at each place
+    from the left, none overlapping; what is put in is not sought again.
+
+    Of a phrase with several replacements the least counts; null or empty phrases are ignored, and a null text stays null.
+    The table goes to the tasks; one of more than `limit` phrases fails here.
+    """
+    rows = table.where("phrase is not null and phrase <> ''").groupBy("phrase").agg(F.min(F.coalesce("replacement", F.lit(""))).alias("replacement")).limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"the table has more than {limit} phrases")
+    shared, made = texts.sparkSession.sparkContext.broadcast({r["phrase"]: r["replacement"] for r in rows}), {}
+
+    @F.arrow_udf("struct<text:string,n:bigint>")
+    def replaced(column: pa.Array) -> pa.Array:
+        if not made:
+            made["of"] = build(shared.value)
+        out = []
+        for t in column.to_pylist():
+            spans = chosen(longest(made["of"], t)) if t else []
+            ends = [0, *(b for _, b in spans)]
+            parts = [t[e:a] + shared.value[t[a:b]] for e, (a, b) in zip(ends, spans)] if spans else []
+            out.append({"text": "".join(parts) + t[ends[-1] :] if t else t, "n": len(spans)})
+        return pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int64())]))
+
+    return texts.select(*keys, replaced(F.col(text)).alias("_r")).select(*[k for k in keys], F.col("_r.text").alias("text"), F.col("_r.n").alias("n_converted"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.encoders import hash_encoder
-from ..operators import augment, match, pieces, segment
+from ..operators import augment, automaton, match, pieces, segment
 from ..operators import lexicon as lx
+from ..streaming import reservoir
 from .encoded import KEYS, MAX_LEN, bits, encoded
 from .oracles import LEX, ORACLES, POS, STOK
 from .queries import lexicon, query, r6, read, sentence_tokens, tokens
@@ -31,6 +32,21 @@ def dict_tokens(spark, sf_dir):
     return cut.select("doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"))
 
 
+@query
+def converted_documents(spark, sf_dir):
+    """All documents with the phrases that begin one of them (its first two words) in brackets."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    first = tokens(spark, sf_dir).where(F.size("tokens") >= 2).select(F.concat_ws(" ", F.get("tokens", F.lit(0)), F.get("tokens", F.lit(1))).alias("phrase")).distinct()
+    out = automaton.convert(docs, first.withColumn("replacement", F.concat(F.lit("["), "phrase", F.lit("]"))), ["doc_id"], limit=1 << 22)
+    return out.select("doc_id", F.col("n_converted").alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def event_window_counts(spark, sf_dir):
+    rows = reservoir.windowed_counts(read(spark, sf_dir, "events"), "ts", ["event_type"], width="6 hours")
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
 # ---------------------------------------------------------------------------------------------- pieces
 
 def hash_vector(piece):
@@ -147,6 +163,9 @@ MASKED = f"""{STOK}, mv AS (SELECT DISTINCT CASE WHEN k > 0 THEN '##' ELSE '' EN
     pr AS (SELECT * FROM (SELECT lg.*, exp(logit - most) / total AS p, row_number() OVER (PARTITION BY lg.doc_id, lg.sno, lg.idx ORDER BY logit DESC, piece) AS rank FROM lg JOIN sm USING (doc_id, sno, idx)) WHERE rank <= 50)"""
 
 ORACLES.update({
+    "converted_documents": f"""WITH {POS}, f AS (SELECT DISTINCT tokens[1] || ' ' || tokens[2] AS phrase FROM tok WHERE len(tokens) >= 2), r AS (SELECT '(' || string_agg(phrase, '|' ORDER BY length(phrase) DESC, phrase) || ')' AS p FROM f)
+        SELECT doc_id, CAST(coalesce(len(regexp_extract_all(lower(text), p)), 0) AS BIGINT) AS n, md5(regexp_replace(lower(text), p, '[\\1]', 'g')) AS text_md5 FROM documents, r""",
+    "event_window_counts": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "dict_boundaries": f"""WITH RECURSIVE {POS}, {STOK}, {DICT}
         SELECT s.doc_id, s.sno, n, words = array_to_string(s.tokens, ' ') AS same, md5(words) AS tokens_md5 FROM stok s JOIN done d ON d.block = array_to_string(s.tokens, '')""",
     "word_pieces": f"WITH RECURSIVE {POS}, {PIECES} SELECT w.word, string_agg(piece, ' ' ORDER BY place) AS pieces FROM w LEFT JOIN whole USING (word) GROUP BY w.word",

@@ -169,11 +169,16 @@ def csm_entries(chosen: DataFrame, n: int = 200, keys: tuple[str, ...] = (), see
     return _margin(cos("same", "p").unionByName(cos("related", "h")))
 
 
-def with_fallback(entries: dict, template: dict) -> dict:
-    """A zero of the entry metrics means that there were none: the template metrics stand in for it."""
-    csc = entries["csc"] if entries["csc"] != 0.0 else template["csc"]
-    margin = entries if (entries["mu_same"], entries["mu_related"]) != (0.0, 0.0) else template
-    return {"csc": csc, **{k: margin[k] for k in ("mu_same", "mu_related", "margin")}}
+def with_fallback(entries: DataFrame, template: DataFrame) -> DataFrame:
+    """One row: csc, mu_same, mu_related, margin of two tables of one row each.
+
+    A zero of the entry metrics means that there were none: the template metrics stand in for it, a margin's only if both
+    of its means are zero.
+    """
+    names = ["csc", "mu_same", "mu_related", "margin"]
+    both = entries.select(F.lit(0).alias("_k"), F.struct(*names).alias("e")).join(template.select(F.lit(0).alias("_k"), F.struct(*names).alias("t")), "_k")
+    none = {"csc": F.col("e.csc") == 0.0} | dict.fromkeys(names[1:], (F.col("e.mu_same") == 0.0) & (F.col("e.mu_related") == 0.0))
+    return both.select(*[F.when(none[c], F.col(f"t.{c}")).otherwise(F.col(f"e.{c}")).alias(c) for c in names])
 
 
 def best_epoch(metrics: DataFrame, name: str = "word_mrr") -> DataFrame:

@@ -31,7 +31,7 @@ def chunk(tokens: list[str], limit: int = 60, target: str | None = None, window:
     while n - start > limit:
         while first < len(marks) and marks[first] <= start:
             first += 1
-        pool = marks[first:] if first < len(marks) else range(start + 1, n)
+        pool = map(marks.__getitem__, range(first, len(marks))) if first < len(marks) else range(start + 1, n)
         cut = None
         for i in pool:
             if not free(i, start):
@@ -42,13 +42,13 @@ def chunk(tokens: list[str], limit: int = 60, target: str | None = None, window:
                 cut = cut or i
                 break
         cut = cut or start + limit
-        part = tokens[start:cut]
-        while part and part[0].isspace():
-            part = part[1:]
-        while part and part[-1].isspace():
-            part = part[:-1]
-        if part and len(part) >= least:
-            out.append("".join(part))
+        a, b = start, cut
+        while a < b and tokens[a].isspace():
+            a += 1
+        while a < b and tokens[b - 1].isspace():
+            b -= 1
+        if b > a and b - a >= least:
+            out.append("".join(tokens[a:b]))
         start = cut
     tail = "".join(tokens[start:]).strip()
     return [*out, tail] if tail else out

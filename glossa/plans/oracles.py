@@ -16,6 +16,9 @@ LEX = LINES + r""", lexp AS (SELECT CAST(line_no AS INTEGER) AS line_no, string_
     grp AS (SELECT group_id, ord, word FROM eg WHERE (group_id, line_no) IN (SELECT (group_id, max(line_no)) FROM eg GROUP BY group_id))"""
 TOK = r"tok AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS tokens FROM documents WHERE regexp_matches(coalesce(text, ''), '[^\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]'))"
 POS = TOK + ", pos AS (SELECT doc_id, lang, i - 1 AS pos, tokens[i] AS word FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM tok))"
+DLEX = POS + """, dw AS (SELECT lang, word, (row_number() OVER (PARTITION BY lang ORDER BY md5('11:' || lang || ':' || word), lang, word) - 1) AS r FROM (SELECT DISTINCT coalesce(lang, '') AS lang, word FROM pos)),
+    dl AS (SELECT lang, CAST(r // 8 AS INTEGER) AS line, string_agg(word, ' ' ORDER BY r) AS words FROM dw GROUP BY ALL), dn AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS no FROM (SELECT DISTINCT lang FROM dw)),
+    lines AS (SELECT CAST(line * 64 + no AS INTEGER) AS line_no, 'L' || lang || printf('%06d', line // 4) || '=#=@'[line % 4 + 1] || ' ' || words AS value FROM dl JOIN dn USING (lang))""" + LEX.removeprefix(LINES)
 SENT = r"""raw AS (SELECT doc_id, li, unnest(string_split(text, e'\n')) AS part FROM (SELECT doc_id, text, 0 AS li FROM documents)),
     numbered AS (SELECT doc_id, list_transform(string_split(text, e'\n'), lambda p: regexp_extract_all(p, '[^.!?;]*[.!?;]|[^.!?;]+')) AS ps FROM documents),
     sl AS (SELECT doc_id, list_filter(list_transform(flatten(ps), lambda s: trim(s, e' \t\r\n\f\x0B')), lambda s: s <> '') AS ss FROM numbered),
@@ -25,7 +28,7 @@ STOK = SENT + r""", stok AS (SELECT * FROM (SELECT doc_id, sno, regexp_extract_a
 PTS = """raw_pts AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
     pts AS (SELECT vec_id, label, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS vec FROM raw_pts)"""
 ZP = PTS + """, zp AS (SELECT a.vec_id // 2 AS row_no, a.vec AS z1, b.vec AS z2 FROM pts a JOIN pts b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0)"""
-TRI = PTS + """, tri AS (SELECT a.vec_id // 3 AS row_no, a.vec AS anchor, b.vec AS pos, CASE WHEN a.vec_id // 3 % 4 <> 0 THEN c.vec END AS neg
+TRI = PTS + """, tri AS (SELECT a.vec_id // 3 AS row_no, a.vec AS anchor, b.vec AS pos, c.vec AS neg
     FROM pts a JOIN pts b ON b.vec_id = a.vec_id + 1 JOIN pts c ON c.vec_id = a.vec_id + 2 WHERE a.vec_id % 3 = 0)"""
 D2 = "list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
 
@@ -164,16 +167,16 @@ ORACLES: dict[str, str] = {
     "phrase_lookup": f"""WITH {POS}, b AS (SELECT item_id, w[1 : 3] AS w FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark) WHERE len(w) > 0)
         SELECT item_id, a.doc_id, CAST(a.pos AS BIGINT) AS start FROM b JOIN pos a ON a.word = w[1] LEFT JOIN pos c ON c.doc_id = a.doc_id AND c.pos = a.pos + 1 AND c.word = w[2] LEFT JOIN pos e ON e.doc_id = a.doc_id AND e.pos = a.pos + 2 AND e.word = w[3]
         WHERE (len(w) < 2 OR c.word IS NOT NULL) AND (len(w) < 3 OR e.word IS NOT NULL)""",
-    "lexicon_table": f"WITH {LEX} SELECT line_no, code, tag, sense_id, n_parts, ord, word FROM lex",
-    "lexicon_senses": f"WITH {LEX} SELECT word, string_agg(DISTINCT sense_id, ',' ORDER BY sense_id) AS senses FROM ws GROUP BY 1",
-    "word_senses_all": f"WITH {LEX} SELECT word, sense_id, count(*) AS n FROM ws GROUP BY ALL",
-    "syn_pairs": f"WITH {LEX} SELECT word, cand FROM syn",
-    "related_pairs": f"WITH {LEX} SELECT word, cand FROM rel",
-    "equals_groups": f"WITH {LEX} SELECT group_id, ord, word FROM grp",
-    "raw_members": f"WITH {LEX} SELECT code AS group_id, ord, word FROM lex WHERE tag = '='",
-    "mono_words": f"WITH {LEX} SELECT group_id, word FROM grp WHERE word IN (SELECT word FROM eg GROUP BY word HAVING count(*) = 1)",
-    "vocab_union": f"WITH {LEX} SELECT DISTINCT word FROM ws",
-    "both_tag_words": f"WITH {LEX} SELECT word FROM syn INTERSECT SELECT word FROM rel",
+    "lexicon_table": f"WITH {DLEX} SELECT line_no, code, tag, sense_id, n_parts, ord, word FROM lex",
+    "lexicon_senses": f"WITH {DLEX} SELECT word, string_agg(DISTINCT sense_id, ',' ORDER BY sense_id) AS senses FROM ws GROUP BY 1",
+    "word_senses_all": f"WITH {DLEX} SELECT word, sense_id, count(*) AS n FROM ws GROUP BY ALL",
+    "syn_pairs": f"WITH {DLEX} SELECT word, cand FROM syn",
+    "related_pairs": f"WITH {DLEX} SELECT word, cand FROM rel",
+    "equals_groups": f"WITH {DLEX} SELECT group_id, ord, word FROM grp",
+    "raw_members": f"WITH {DLEX} SELECT code AS group_id, ord, word FROM lex WHERE tag = '=' AND (code, line_no) IN (SELECT (code, max(line_no)) FROM lex WHERE tag = '=' AND n_parts >= 2 GROUP BY code)",
+    "mono_words": f"WITH {DLEX} SELECT group_id, word FROM grp WHERE word IN (SELECT word FROM eg GROUP BY word HAVING count(*) = 1)",
+    "vocab_union": f"WITH {DLEX} SELECT DISTINCT word FROM ws",
+    "both_tag_words": f"WITH {DLEX} SELECT word FROM syn INTERSECT SELECT word FROM rel",
     "sentence_split": f"WITH {SENT} SELECT doc_id, count(*) AS n, CAST(sum(length(sentence)) AS BIGINT) AS chars, CAST(max(length(sentence)) AS INTEGER) AS longest FROM sent GROUP BY 1",
     "colon_split": f"""WITH {SENT}, c AS (SELECT doc_id, sentence, instr(sentence, ',') AS p, len(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}]+')) AS n FROM sent),
         p AS (SELECT doc_id, CASE WHEN p > 0 AND n > 20 THEN list_filter([CASE WHEN trim(sentence[: p - 1]) <> '' THEN trim(sentence[: p - 1]) || ',' END, CASE WHEN trim(sentence[p + 1 :]) <> '' THEN trim(sentence[p + 1 :]) END], lambda x: x IS NOT NULL) ELSE [sentence] END AS ps FROM c),
@@ -190,7 +193,7 @@ ORACLES: dict[str, str] = {
         c AS (SELECT *, list_filter(CASE WHEN len(safe) > 0 THEN safe ELSE every END, lambda i: p IS NULL OR p < 0 OR i < p - 2 OR i > p + 2) AS cuts FROM b)
         SELECT doc_id, sno, CAST(coalesce(list_max(list_filter(cuts, lambda i: i <= 10)), list_min(list_filter(cuts, lambda i: i > 10))) AS BIGINT) AS cut FROM c""",
     "bmes_decode": f"WITH {TOK} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n, md5(array_to_string(tokens, ' ')) AS words_md5 FROM tok",
-    "template_fill": f"WITH {LEX}, {TEMPLATES} SELECT word, template_no, replace(template, '{{w}}', word) AS sentence, CAST(instr(replace(template, '{{w}}', word), word) - 1 AS BIGINT) AS start FROM (SELECT DISTINCT word FROM lex), tpl",
+    "template_fill": f"WITH {DLEX}, {TEMPLATES} SELECT word, template_no, replace(template, '{{w}}', word) AS sentence, CAST(instr(replace(template, '{{w}}', word), word) - 1 AS BIGINT) AS start FROM (SELECT DISTINCT word FROM lex WHERE word IS NOT NULL), tpl",
     "sub_token_overlap": f"""WITH {STOK}, o AS (SELECT doc_id, sno, idx, sum(length(word) + 1) OVER (PARTITION BY doc_id, sno ORDER BY idx) - 1 AS e, length(word) AS n FROM spos)
         SELECT doc_id, sno, CAST(coalesce(min(idx) FILTER (e > 10 AND e - n < 14), 0) AS BIGINT) AS idx FROM o GROUP BY ALL""",
     "group_centers": f"WITH {PTS}, {mean('mu', 'pts', 'label')} {CENTER_OUT.format('mu')}",
@@ -211,7 +214,7 @@ ORACLES: dict[str, str] = {
     "prototype_params": f"WITH {BUILT} SELECT CAST(20 AS BIGINT) AS min_keep, 0.6::DOUBLE AS keep_q, 0.1::DOUBLE AS trim, 0.0::DOUBLE AS margin, round(t, 6) AS safe_coh_threshold, (SELECT count(DISTINCT group_id) FROM occ) AS n_groups, (SELECT count(*) FROM safe) AS n_safe_groups FROM thr",
     "status_counts": f"WITH {BUILT} SELECT status, count(*) AS n FROM st GROUP BY 1",
     "nearest_prototype": f"WITH {ASSIGNED} SELECT item, group_id, round(sim, 6) AS sim, hit FROM asg",
-    "assign_words": f"""WITH {ASSIGNED} SELECT group_id, string_agg(DISTINCT word, ',' ORDER BY word) AS predicted_words, CASE WHEN group_id < 8 THEN 'b,a' || group_id ELSE '' END AS member_words FROM asg WHERE hit GROUP BY 1""",
+    "assign_words": f"""WITH {ASSIGNED} SELECT group_id, string_agg(DISTINCT word, ',' ORDER BY word) AS predicted_words, 'b,a' || group_id AS member_words FROM asg WHERE hit GROUP BY 1""",
     "assign_meta": f"WITH {ASSIGNED} SELECT count(DISTINCT sid) AS n_sentences, count(*) AS n_occurrences, count(*) FILTER (NOT hit) AS n_unmatched, count(DISTINCT word) FILTER (hit) AS n_words, count(DISTINCT group_id) FILTER (hit) AS n_groups FROM asg",
     "substitution_candidates": f"WITH {LEX}, {STOK} SELECT doc_id, word, cand, count(*) AS n, CAST(sum(idx) AS BIGINT) AS idx_sum FROM spos JOIN syn USING (word) GROUP BY ALL",
     "context_vectors": f"WITH {CTX} SELECT doc_id, sno, idx, word, round(list_dot_product(vec, ctx), 6) AS sim FROM ctx",
@@ -269,3 +272,7 @@ ORACLES: dict[str, str] = {
         cs AS (SELECT kind, list_dot_product(a.mu, b.mu) AS cos FROM (SELECT 'same' AS kind, word, cand FROM syn UNION ALL SELECT 'related', word, cand FROM rel) p JOIN w USING (word) JOIN tm a ON a.word = p.word JOIN tm b ON b.word = p.cand) {MARGIN}""",
     "model_selection": f"WITH {PTS}, e AS (SELECT label AS epoch, round(avg(vec[1]), 3) AS value FROM pts GROUP BY 1) SELECT epoch, value FROM e ORDER BY value DESC, epoch LIMIT 1",
 }
+
+ORACLES["consistency"] = f"""WITH ce AS ({ORACLES['csc_entries']}), me AS ({ORACLES['csm_entries']}), ct AS ({ORACLES['csc_template']}), mt AS ({ORACLES['csm_template']})
+    SELECT CASE WHEN ce.csc <> 0 THEN ce.csc ELSE ct.csc END AS csc, CASE WHEN z THEN mt.mu_same ELSE me.mu_same END AS mu_same, CASE WHEN z THEN mt.mu_related ELSE me.mu_related END AS mu_related,
+           CASE WHEN z THEN mt.margin ELSE me.margin END AS margin FROM ce, ct, mt, (SELECT *, mu_same = 0 AND mu_related = 0 AS z FROM me) me"""

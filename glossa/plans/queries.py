@@ -45,6 +45,25 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return lx.from_text(spark, LEXICON)
 
 
+#: Words in a line of the documents' lexicon, and the tags of its successive lines; lines of one cycle share their code.
+LINE_WORDS, LINE_TAGS = 8, "=#=@"
+
+
+def document_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon of all words of the documents: those of each language in hash order, in lines under codes of the language.
+
+    A word of several languages has several senses; a code has two `=` lines, of which groups take the last, and others.
+    """
+    words = tokens(spark, sf_dir).select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode("tokens").alias("word")).distinct()
+    ranked = hash_rank(words, 11, ["lang", "word"], by=["lang"]).withColumn("line", F.floor((F.col("rank") - 1) / LINE_WORDS).cast("int"))
+    langs = words.select("lang").distinct().withColumn("no", F.row_number().over(Window.orderBy("lang")) - 1)  # a few languages
+    lines = ranked.groupBy("lang", "line").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("w")).join(small(langs), "lang")
+    tag = F.substring(F.lit(LINE_TAGS), (F.col("line") % len(LINE_TAGS)) + 1, F.lit(1))
+    code = F.concat(F.lit("L"), "lang", F.format_string("%06d", F.floor(F.col("line") / len(LINE_TAGS)).cast("long")), tag)
+    value = F.concat_ws(" ", code, F.transform("w", lambda x: x["word"]))
+    return lx.parse(lines.select((F.col("line") * 64 + F.col("no")).cast("int").alias("line_no"), value.alias("value")))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.tokens_of(read(spark, sf_dir, "documents"), ["doc_id", "lang"])
 
@@ -143,52 +162,52 @@ def inverted_index(spark, sf_dir):
 
 @query
 def lexicon_table(spark, sf_dir):
-    return lexicon(spark).select("line_no", "code", "tag", "sense_id", "n_parts", "ord", "word")
+    return document_lexicon(spark, sf_dir).select("line_no", "code", "tag", "sense_id", "n_parts", "ord", "word")
 
 
 @query
 def lexicon_senses(spark, sf_dir):
-    return lx.unique_senses(lexicon(spark)).select("word", F.array_join("senses", ",").alias("senses"))
+    return lx.unique_senses(document_lexicon(spark, sf_dir)).select("word", F.array_join("senses", ",").alias("senses"))
 
 
 @query
 def word_senses_all(spark, sf_dir):
-    return lx.word_senses(lexicon(spark)).groupBy("word", "sense_id").agg(F.count(F.lit(1)).alias("n"))
+    return lx.word_senses(document_lexicon(spark, sf_dir)).groupBy("word", "sense_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def syn_pairs(spark, sf_dir):
-    return lx.pairs(lexicon(spark), "=")
+    return lx.pairs(document_lexicon(spark, sf_dir), "=")
 
 
 @query
 def related_pairs(spark, sf_dir):
-    return lx.pairs(lexicon(spark), "#")
+    return lx.pairs(document_lexicon(spark, sf_dir), "#")
 
 
 @query
 def equals_groups(spark, sf_dir):
-    return lx.groups(lexicon(spark))
+    return lx.groups(document_lexicon(spark, sf_dir))
 
 
 @query
 def raw_members(spark, sf_dir):
-    return lx.raw_members(lexicon(spark))
+    return lx.raw_members(document_lexicon(spark, sf_dir))
 
 
 @query
 def mono_words(spark, sf_dir):
-    return lx.mono_words(lexicon(spark))
+    return lx.mono_words(document_lexicon(spark, sf_dir))
 
 
 @query
 def vocab_union(spark, sf_dir):
-    return lx.vocabulary(lexicon(spark))
+    return lx.vocabulary(document_lexicon(spark, sf_dir))
 
 
 @query
 def both_tag_words(spark, sf_dir):
-    return lx.both_tag_words(lexicon(spark))
+    return lx.both_tag_words(document_lexicon(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------------------------- text
@@ -253,7 +272,7 @@ def bmes_decode(spark, sf_dir):
 
 @query
 def template_fill(spark, sf_dir):
-    words = lexicon(spark).where("word is not null").select("word")
+    words = document_lexicon(spark, sf_dir).where("word is not null").select("word")
     return metrics.filled(words, metrics.templates(spark)).select("word", "template_no", "sentence", F.col("start").cast("long").alias("start"))
 
 
@@ -370,7 +389,7 @@ def assigned(spark, sf_dir):
     centers = prototypes.trimmed_center(points(spark, sf_dir), ["label"], "vec_id").select(F.col("label").alias("group_id"), F.col("mu").alias("vec"))
     words = points(spark, sf_dir).select(
         F.floor(F.col("vec_id") / 5).cast("long").alias("sid"), F.col("vec_id").alias("item"), F.concat(F.lit("w"), (F.col("vec_id") % 37).cast("string")).alias("word"), "vec")
-    members = centers.where("group_id < 8").select("group_id", F.posexplode(F.array(F.lit("b"), F.concat(F.lit("a"), F.col("group_id").cast("string")))).alias("ord", "word"))
+    members = centers.select("group_id", F.posexplode(F.array(F.lit("b"), F.concat(F.lit("a"), F.col("group_id").cast("string")))).alias("ord", "word"))
     return prototypes.assign(words, centers, members, min_sim=0.3)
 
 
@@ -525,8 +544,7 @@ def loss_batches(spark, sf_dir):
 def triples(spark, sf_dir):
     p = points(spark, sf_dir).withColumn("row_no", F.floor(F.col("vec_id") / 3).cast("long"))
     side = lambda k, n: p.where(F.col("vec_id") % 3 == k).select("row_no", F.col("vec").alias(n))
-    rows = side(0, "anchor").join(side(1, "pos"), "row_no").join(side(2, "neg"), "row_no")
-    return rows.withColumn("neg", F.when(F.col("row_no") % 4 != 0, F.col("neg")))
+    return side(0, "anchor").join(side(1, "pos"), "row_no").join(side(2, "neg"), "row_no")
 
 
 @query
@@ -627,6 +645,16 @@ def csm_template(spark, sf_dir):
     return out.select(*[r6(c).alias(c) for c in out.columns])
 
 
+def one_row(csc, csm):
+    return csc.select(F.lit(0).alias("_k"), "csc").join(csm.withColumn("_k", F.lit(0)), "_k").drop("_k")
+
+
+@query
+def consistency(spark, sf_dir):
+    """The entry metrics of consistency, or those of the templates where there are no entries."""
+    return metrics.with_fallback(one_row(csc_entries(spark, sf_dir), csm_entries(spark, sf_dir)), one_row(csc_template(spark, sf_dir), csm_template(spark, sf_dir)))
+
+
 @query
 def model_selection(spark, sf_dir):
     """Epochs from the labels of the embeddings; the metric is a label's mean first coordinate, rounded."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.common import hash_limit, small
+from ..operators.sampling import limit_or_all
 
 ROWS = "array<array<string>>"
 
@@ -51,7 +52,7 @@ def text_lines(spark: SparkSession, path: str, recursive: bool = False) -> DataF
 def sample_lines(spark: SparkSession, path: str, limit: int = 0, seed: int = 42) -> DataFrame:
     """Lines of a tree of files; a limit takes that many in hash order, 0 takes all."""
     lines = text_lines(spark, path, recursive=True)
-    return hash_limit(lines, seed, ["file", "line"], limit) if limit else lines
+    return limit_or_all(lines, ["file", "line"], limit, seed)
 
 
 def lexicon_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -136,3 +136,30 @@ def test_numeric_order_and_bad_keys(spark):
     assert sampling.first_positive(v, ["id"]).first()["idx"] == 9
     s = sampling.samples(e, v.where("idx > 99"), ["id"]).first()
     assert (s["word_idx"], s["has_retrofit"], s["s_pos_tokens"]) == (-1, 0, s["s_tokens"])
+
+
+def test_fallback_to_templates(spark):
+    row = lambda *x: spark.createDataFrame([x], "csc double, mu_same double, mu_related double, margin double")
+    template = row(0.9, 0.8, 0.3, 0.5)
+    got = lambda *x: tuple(metrics.with_fallback(row(*x), template).first())
+    assert got(0.5, 0.4, 0.1, 0.3) == (0.5, 0.4, 0.1, 0.3)
+    assert got(0.0, 0.4, 0.1, 0.3) == (0.9, 0.4, 0.1, 0.3)
+    assert got(0.5, 0.0, 0.0, 0.0) == (0.5, 0.8, 0.3, 0.5)
+    assert got(0.5, 0.0, 0.1, -0.1) == (0.5, 0.0, 0.1, -0.1)
+
+
+def test_triplets_without_negatives_are_left_out(spark):
+    rows = spark.createDataFrame([([1.0, 0.0], [0.8, 0.6], [0.6, 0.8]), ([1.0, 0.0], [0.6, 0.8], [0.8, 0.6]), ([1.0, 0.0], [0.6, 0.8], None)], "anchor array<double>, pos array<double>, neg array<double>")
+    assert abs(metrics.triplet(rows).first()["loss"] - 0.35) < 1e-12  # 0.0 and 0.7
+
+
+def test_chunks_of_long_texts_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        words = ["w", " "] * n
+        began = time.perf_counter()
+        assert splitting.chunk(["w", ","] * n, soft=frozenset(",")) and splitting.chunk([" "] * 59 + words)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]

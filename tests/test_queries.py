@@ -5,20 +5,13 @@ from glossa.plans.queries import QUERIES
 
 from oracle import DATA, same
 
-CHECKED = [
-    "sense_counts", "match_summary", "rare_senses", "regex_substring_match", "lexicon_table", "equals_groups", "mono_words", "sentence_split", "sanitize_names", "split_index", "bmes_decode",
-    "trimmed_centers", "cohesion", "safe_groups", "prototype_status", "assign_words", "embed_filtered_variants", "entry_variants", "train_valid_split", "capped_occurrences", "two_stage_batches",
-    "infonce_loss", "retrieval_metrics", "local_uniformity", "csm_template",
-]
-
-
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_its_sql(spark, name):
     same(spark, QUERIES[name], ORACLES[name])
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(QUERIES) - set(ORACLES) == {"semantic_split"}  # each cut depends on the one before
+    assert set(QUERIES) - set(ORACLES) == {"semantic_split", "dict_tokens"}  # each cut depends on the one before; whole texts are too long for a recursive query
 
 
 def test_entry_gives_rows(spark):

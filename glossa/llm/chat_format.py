@@ -2,8 +2,9 @@
 
 DataFrame functions only.  Calls and results meet in a hash join by conversation and identifier; repeated identifiers are
 reduced to one before it, by sums that merge.  Arguments are checked as variants against a table of schemas, row by row.
-A conversation is one JSON text in the end, so its messages are gathered in one row; its calls are put in topological
-order there by a fold that always takes the first call whose known dependencies are done.
+A conversation is one JSON text in the end, so its messages are gathered in one row.  Its calls are put in topological
+order there: always the first call whose known dependencies are done.  By turn that is the order as it stands, unless a
+call depends on a later one or itself; only such conversations go through a fold, which is cubic in their calls.
 """
 
 from __future__ import annotations
@@ -98,13 +99,17 @@ def link_tools(calls: DataFrame, results: DataFrame, schemas: DataFrame, turns:
         F.count_if("called").alias("n_calls"), F.count_if(F.col("called") & F.col("answered")).alias("n_linked"), F.count_if(~F.col("called") & F.col("said").isNull()).alias("n_orphans"), F.array_sort(F.collect_list("said")).alias("said"),
         F.count_if(F.col("called") & (F.size("errors") > 0)).alias("n_invalid"), F.array_sort(F.collect_list(F.when(F.col("called"), entry))).alias("entries"),
     )
-    ordered = grouped.withColumn("o", F.expr(topological("entries")))
-    bodies = F.expr("array_join(transform(o.done, d -> element_at(filter(entries, e -> e.call_id = d), 1).body), ',')")
+    # Where every dependency stands before its call the order is the array's; only other conversations are folded.
+    late = "exists(transform(entries, (x, i) -> exists(x.depends, d -> array_position(ids, d) > i)), b -> b)"
+    ordered = grouped.withColumn("ids", F.expr("transform(entries, x -> x.call_id)")).withColumn("late", F.expr(late))
+    ordered = ordered.withColumn("o", F.when(F.col("late"), F.expr(topological("entries"))))
+    sought = F.expr("array_join(transform(o.done, d -> element_at(filter(entries, e -> e.call_id = d), 1).body), ',')")
+    bodies = F.when(F.col("late"), sought).otherwise(F.expr("array_join(transform(entries, x -> x.body), ',')"))
     value = lambda c: f"coalesce(substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2), 'null')"
     one_turn = f"""concat('{{"role":', {value("x.role")}, ',"text":', {value("x.text")}, ',"turn":', coalesce(cast(x.turn as string), 'null'), '}}')"""
     others = F.when(F.size("said") > 0, F.concat(F.lit(',"turns":['), F.expr(f"array_join(transform(said, x -> {one_turn}), ',')"), F.lit("]"))).otherwise(F.lit(""))
     return ordered.select(
-        "conv_id", "n_calls", "n_linked", "n_orphans", "n_invalid", F.col("o.cyclic").cast("long").alias("n_cyclic"),
+        "conv_id", "n_calls", "n_linked", "n_orphans", "n_invalid", F.coalesce(F.col("o.cyclic"), F.lit(0)).cast("long").alias("n_cyclic"),
         F.concat(F.lit('{"calls":['), F.when(F.size("entries") > 0, bodies).otherwise(F.lit("")), F.lit("]"), others, F.lit("}")).alias("json"),
     )
 

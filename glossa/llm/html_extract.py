@@ -25,7 +25,7 @@ from .common import bounded
 
 # HTML's element classes, as the standard names them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math select button object canvas audio video map datalist".split())
+RAW = frozenset("script style textarea title noscript template iframe noembed noframes select button datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header "
     "hgroup html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()

@@ -1,8 +1,7 @@
 """Line deduplication by a deletion-neighbourhood join.
 
 A line is dropped if an earlier one (by document id, then line number) is within the edit bound: at most one inserted,
-deleted or replaced character, or none for lines under `min_chars` characters.  Lines are compared without the white
-space around them; blank ones stay.
+deleted or replaced character.  Lines are compared without the white space around them; blank ones stay.
 
 Two lines are within one edit just if both are one string v with at most one character put into it, at one gap.  So a
 line emits a hashed key for each of its variants: v = the line itself, or the line less one character, with the gap.
@@ -21,9 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bounded, cut, mix64, string_buffers, text_or_empty
+from .common import Rolling, bounded, cut, free_name, mix64, string_buffers, text_or_empty
 
-MIN_CHARS = 20
 ROUNDS = (2, 16)
 #: Characters of lines whose variants are emitted in one step.
 STEP_CHARS = 1 << 17
@@ -98,13 +96,13 @@ def neighbours(lines: DataFrame, blocks: int) -> DataFrame:
     return keys.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set("part").alias("parts"))
 
 
-def decisions(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
+def decisions(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
     """All lines, without their text, and best(h1, h2, best): the earliest place of an equal or near line, where there is
     an earlier one for some line."""
     lines = lines_of(docs, id_column, text_column)
     exact = cut(lines.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")))
-    long = lines.where(F.length("line") >= min_chars).select("h1", "h2", "line")
-    near = long.join(neighbours(long, ROUNDS[0]).select("h1", "h2"), ["h1", "h2"], "left_semi").distinct()
+    single = lines.select("h1", "h2", "line")
+    near = single.join(neighbours(single, ROUNDS[0]).select("h1", "h2"), ["h1", "h2"], "left_semi").distinct()
     for blocks in ROUNDS[1:]:
         near = cut(near)
         near = near.select("h1", "h2", "line").join(neighbours(near, blocks), ["h1", "h2"])
@@ -121,14 +119,14 @@ def decisions(docs: DataFrame, id_column: str, text_column: str, min_chars: int)
     return lines.drop("line"), best.select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("best"))
 
 
-def dropped_lines(docs: DataFrame, id_column: str, text_column: str, min_chars: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """doc, xx, dropped (sorted line numbers from 0) of the rows that lose lines."""
-    lines, best = decisions(docs, id_column, text_column, min_chars)
+    lines, best = decisions(docs, id_column, text_column)
     gone = lines.join(best, ["h1", "h2"]).where(F.col("best") < place())
     return gone.groupBy("doc", "xx").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 
 
-def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, dropped (line numbers from 0).
 
     Null and empty texts have one blank line, which stays.  Rows that repeat an id have equal places, so they never drop
@@ -137,16 +135,17 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """
     text = text_or_empty(text_column)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text).alias("xx"), F.size(F.split(text, "\n")).cast("long").alias("n_lines"))
-    gone = dropped_lines(docs, id_column, text_column, min_chars)
+    gone = dropped_lines(docs, id_column, text_column)
     out = rows.join(gone, rows["doc_id"].eqNullSafe(gone["doc"]) & (rows["xx"] == gone["xx"]), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
 
 
-def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with the dropped lines gone from text; all other columns as they are.  Cases as in report()."""
-    gone = dropped_lines(docs, id_column, text_column, min_chars).select(F.col("doc").alias("gone_doc"), F.col("xx").alias("gone_xx"), F.col("dropped").alias("gone_lines"))
-    on = F.col(id_column).cast("long").eqNullSafe(F.col("gone_doc")) & (F.xxhash64(text_or_empty(text_column)) == F.col("gone_xx"))
-    kept = F.array_join(F.filter(F.split(F.col(text_column), "\n"), lambda x, k: ~F.array_contains("gone_lines", k)), "\n")
+    doc, xx, dropped = (free_name(docs, c) for c in ("doc", "xx", "dropped"))
+    gone = dropped_lines(docs, id_column, text_column).select(F.col("doc").alias(doc), F.col("xx").alias(xx), F.col("dropped").alias(dropped))
+    on = F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_or_empty(f"`{text_column}`")) == F.col(xx))
+    kept = F.array_join(F.filter(F.split(F.col(f"`{text_column}`"), "\n"), lambda x, k: ~F.array_contains(dropped, k)), "\n")
     joined = docs.join(gone, on, "left")
-    return joined.select(*[F.when(F.col("gone_lines").isNull(), F.col(text_column)).otherwise(kept).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[F.when(F.col(dropped).isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])

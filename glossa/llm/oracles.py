@@ -30,7 +30,7 @@ ORACLES: dict[str, str] = {
                    FROM (SELECT doc_id, string_split(coalesce(text, ''), e'\n') AS parts, unnest(range(1, len(string_split(coalesce(text, ''), e'\n')) + 1)) AS i FROM documents)),
              d AS (SELECT line, length(line) AS n, min({'d': doc_id, 'k': line_no}) AS first FROM l WHERE line <> '' GROUP BY line),
              near AS (SELECT a.line, min(b.first) AS near FROM d a JOIN d b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND b.first < a.first
-                      WHERE a.n >= 20 AND b.n >= 20 AND (a.line[: a.n // 2] = b.line[: a.n // 2] OR a.line[a.n // 2 + 2 :] = b.line[b.n - a.n + a.n // 2 + 2 :])
+                      WHERE (a.line[: a.n // 2] = b.line[: a.n // 2] OR a.line[a.n // 2 + 2 :] = b.line[b.n - a.n + a.n // 2 + 2 :])
                         AND levenshtein(a.line, b.line) <= 1 GROUP BY a.line),
              gone AS (SELECT l.doc_id, list_sort(list(CAST(l.line_no AS INTEGER))) AS dropped, count(*) AS n FROM l JOIN d USING (line) LEFT JOIN near USING (line)
                       WHERE least(d.first, coalesce(near.near, d.first)) < {'d': l.doc_id, 'k': l.line_no} GROUP BY l.doc_id)

@@ -41,7 +41,7 @@ BLOCK_WORDS = 1 << 21
 #: Bytes of text of one row of word numbers (a longer text is a row of its own).
 ROW_BYTES = 1 << 18
 #: Bytes of a text's digest that a block keeps for the comparison with the decoded text.
-DIGEST = 8
+DIGEST = 32
 #: Places (blocks) of a word in one row.
 PLACES = 4096
 #: Pieces that may be broadcast.
@@ -556,7 +556,7 @@ def assemble(stream: DataFrame, model: Model) -> DataFrame:
 def encode(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids, decoded_sha256 (of the decoded text), round_trip.
 
-    Null and empty texts have no tokens.  round_trip compares 8 bytes of SHA-256 with the text in which U+2581, the model's
+    Null and empty texts have no tokens.  round_trip compares the SHA-256 with that of the text in which U+2581, the model's
     own mark for a space, is a space.  Rows are encoded one by one, so ids may be null or repeated; empty tables give no rows; extra
     columns are ignored.  Characters without a piece become byte pieces.
     """

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, bounded, byte_values, cut, mix64, partitions_for, spans, string_buffers, text_or_empty
+from .common import Rolling, bounded, byte_values, cut, free_name, mix64, partitions_for, spans, string_buffers, text_or_empty
 
 LENGTH, KMER = 200, 40
 #: Different runs of one anchor that one bucket sorts, at most.
@@ -303,7 +303,8 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, kmer: int = KMER, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """doc_id and the text that is left; a character of which a byte was removed goes as a whole.  Cases as in report()."""
+    """docs with what is left in text; a character of which a byte was removed goes as a whole.  All columns stay, whatever
+    they are called, and a null text stays null.  Cases as in report()."""
 
     def run(batches):
         for batch in batches:
@@ -314,7 +315,11 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     kept.append(body[upto:a].decode("utf-8", "ignore"))
                     upto = b
                 texts.append("".join([*kept, body[upto:].decode("utf-8", "ignore")]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("xx"), pa.array(texts, pa.string())], ["key", "xx", "left"])
 
     rows = _with_spans(docs, id_column, text_column, length, kmer, max_bucket)
-    return rows.mapInArrow(bounded(run), "doc_id long, text string")
+    key, xx, left = (free_name(docs, c) for c in ("key", "xx", "left"))
+    cut_rows = rows.where(F.size("spans") > 0).mapInArrow(bounded(run), "key long, xx long, left string").dropDuplicates(["key", "xx"]).toDF(key, xx, left)
+    doc = F.col(f"`{id_column}`").cast("long")
+    on = (F.coalesce(doc, F.lit(0)) == F.col(key)) & (F.xxhash64(text_or_empty(f"`{text_column}`"), doc.isNull()) == F.col(xx))
+    return docs.join(cut_rows, on, "left").select(*[F.coalesce(left, F.col(f"`{c}`")).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SENTENCE_ENDS = "。！？；"
 LONG_COLON = "："
 SOFT_PUNCTUATION = ("，", "、")
-CONNECTORS = ("因此 所以 然而 但 不過 此外 同時 另外 於是 因為 由於 如果 雖然 當 為了 也就是說 即 例如 比如 特別是").split()
+CONNECTORS = ("因此", "所以", "然而", "但", "不過", "此外", "同時", "另外", "於是", "因為", "由於", "如果", "雖然", "當", "為了", "也就是說", "即", "例如", "比如", "特別是")
 TEMPLATES = ("我覺得{w}很重要。", "最近大家都在討論{w}。", "很多人關心{w}這件事。")
 
 SPACE = r"(?U)\s+"

@@ -68,7 +68,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, key: str, order: str, vec
 
 
 def ranks(queries: DataFrame, candidates: DataFrame, order: str = "row_no", vector: str = "vec") -> DataFrame:
-    """row_no, rank: 1 + the number of candidates more similar to the query than the candidate of its own number.
+    """row_no, rank: 1 + the number of candidates more similar to the query, by over 1e-12, than the candidate of its own number.
 
     Vectors must be normalized.  Candidates come in blocks, and the counts of blocks add up.
     """

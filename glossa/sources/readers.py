@@ -81,6 +81,13 @@ def token_sentences(spark: SparkSession, path: str, least: int = 3, limit: int |
     return out
 
 
+def unparsable(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """file: the JSON files that the readers of tokens and entries skip, for a warning or a report."""
+    files = _whole_files(spark, path, recursive)
+    parsed = F.coalesce(F.from_json("value", ROWS).isNotNull(), F.lit(False)) | F.from_json("value", "array<struct<tokens:array<string>>>").isNotNull() | F.from_json("value", "struct<tokens:array<string>>")["tokens"].isNotNull()
+    return files.where(~parsed).select("file")
+
+
 ENTRY = "array<struct<tokens:array<string>,pos:map<string,array<array<string>>>,hard_neg:map<string,array<array<string>>>>>"
 
 

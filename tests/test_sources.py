@@ -18,6 +18,7 @@ def test_token_files(spark, tmp_path):
     assert readers.token_sentences(spark, str(tmp_path), limit=2).count() == 2
     with pytest.raises(ValueError):
         readers.token_sentences(spark, str(tmp_path), least=9, strict=True)
+    assert [r["file"].rsplit("/", 1)[1] for r in readers.unparsable(spark, str(tmp_path)).collect()] == ["b.json"]
 
 
 def test_entries(spark, tmp_path):

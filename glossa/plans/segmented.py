@@ -8,6 +8,7 @@ from ..functions import text as tx
 from ..functions.encoders import hash_encoder
 from ..operators import augment, automaton, match, pieces, segment
 from ..operators import lexicon as lx
+from ..operators.common import saved
 from ..streaming import reservoir
 from .encoded import KEYS, MAX_LEN, bits, encoded
 from .oracles import LEX, ORACLES, POS, STOK
@@ -65,7 +66,7 @@ def document_pieces(spark, sf_dir):
     first = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length("word"))), lambda k: F.substr("word", F.lit(1), k))).alias("piece"))
     later = words.where(F.length("word") > 1).select("word", F.explode(F.sequence(F.lit(2), F.length("word"))).alias("i"), F.explode(F.array(F.lit(1), F.lit(2))).alias("size")).where("i + size - 1 <= length(word)")
     parts = first.unionByName(later.select(F.concat(F.lit("##"), F.substr("word", F.col("i"), F.col("size"))).alias("piece")))
-    return parts.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("piece", hash_vector(F.col("piece")).alias("vec"))
+    return saved(parts.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("piece", hash_vector(F.col("piece")).alias("vec")))
 
 
 @query
@@ -82,7 +83,7 @@ def word_pieces(spark, sf_dir):
 @query
 def static_filtered_variants(spark, sf_dir):
     """Synonyms near the word and its context by the vectors that the documents' pieces give them."""
-    vectors = pieces.word_vectors(document_words(spark, sf_dir), document_pieces(spark, sf_dir))
+    vectors = saved(pieces.word_vectors(document_words(spark, sf_dir), document_pieces(spark, sf_dir)))
     ctx = augment.context_vectors(sentence_tokens(spark, sf_dir), vectors, KEYS)
     rows = augment.first_candidates(augment.embedding_filter(ctx, lx.pairs(lexicon(spark), "="), vectors, 0.05, 0.0), KEYS)
     return rows.select(*KEYS, "idx", "word", "cand", "cand_ord", r6("word_sim").alias("word_sim"), r6("ctx_sim").alias("ctx_sim"))
@@ -122,15 +123,15 @@ def masked_variants(spark, sf_dir):
 
 # ---------------------------------------------------------------------------------------------- SQL
 
+# Lists of numbers in pairs: a word's length and log probability for each word at a place (`opts`), and for each place from the
+# right the best score and the length of its first word (`best`).  `starts` walks these lengths from the left.
 DICT = """wc AS (SELECT word, count(*) AS n FROM pos WHERE length(word) <= 32 GROUP BY 1), tot AS (SELECT sum(n) AS total FROM wc),
     blk AS (SELECT DISTINCT array_to_string(tokens, '') AS block FROM stok), sub AS (SELECT block, i, unnest(range(1, least(32, length(block) - i) + 1)) AS size FROM (SELECT block, unnest(range(0, length(block))) AS i FROM blk)),
-    opt AS (SELECT block, i, list({'size': size, 'lp': ln(n::DOUBLE) - ln(total::DOUBLE)}) AS opts FROM sub JOIN wc ON wc.word = substr(sub.block, sub.i + 1, sub.size), tot GROUP BY block, i),
-    route(block, i, scores, size) AS (SELECT block, length(block), [0.0::DOUBLE], 0::BIGINT FROM blk UNION ALL
-        SELECT block, i, list_concat([best.v], scores[1 : 31]), best.size FROM (SELECT r.block, r.i - 1 AS i, r.scores,
-            list_max(list_transform(coalesce(o.opts, [{'size': 1::BIGINT, 'lp': -ln(total::DOUBLE)}]), lambda x: {'v': x.lp + r.scores[x.size], 'size': x.size})) AS best
-            FROM route r LEFT JOIN opt o ON o.block = r.block AND o.i = r.i - 1, tot WHERE r.i > 0)),
-    path(block, place, size) AS (SELECT block, i, size FROM route WHERE i = 0 UNION ALL SELECT p.block, r.i, r.size FROM path p JOIN route r ON r.block = p.block AND r.i = p.place + p.size WHERE r.size > 0),
-    tkn AS (SELECT block, place, substr(block, place + 1, size) AS word, regexp_full_match(substr(block, place + 1, size), '[A-Za-z0-9]') AS lone FROM path),
+    opt AS (SELECT block, i, flatten(list([size::DOUBLE, ln(n::DOUBLE) - ln(total::DOUBLE)] ORDER BY size)) AS opts FROM sub JOIN wc ON wc.word = substr(sub.block, sub.i + 1, sub.size), tot GROUP BY block, i),
+    allo AS (SELECT block, list(coalesce(opts, [1.0::DOUBLE, -ln(total::DOUBLE)]) ORDER BY i DESC) AS os FROM (SELECT block, unnest(range(0, length(block))) AS i FROM blk) LEFT JOIN opt USING (block, i), tot GROUP BY block),
+    bst AS (SELECT block, list_reduce(os, lambda s, x: list_concat(list_max(list_transform(range(0, len(x) // 2), lambda k: [x[2 * k + 2] + s[2 * CAST(x[2 * k + 1] AS BIGINT) - 1], x[2 * k + 1]])), s), [0.0::DOUBLE, 0.0::DOUBLE]) AS best FROM allo),
+    wlk AS (SELECT block, best, list_reduce(list_transform(range(0, length(block)), lambda i: [i]), lambda s, x: CASE WHEN s[1] = x[1] THEN list_concat([x[1] + CAST(best[2 * x[1] + 2] AS BIGINT)], list_append(s[2 :], x[1])) ELSE s END, [0::BIGINT])[2 :] AS starts FROM bst),
+    tkn AS (SELECT block, place, word, regexp_full_match(word, '[A-Za-z0-9]') AS lone FROM (SELECT block, place, substr(block, place + 1, CAST(best[2 * place + 2] AS BIGINT)) AS word FROM (SELECT block, best, unnest(starts) AS place FROM wlk))),
     isl AS (SELECT *, sum(CASE WHEN lone AND before THEN 0 ELSE 1 END) OVER (PARTITION BY block ORDER BY place) AS no FROM (SELECT *, coalesce(lag(lone) OVER (PARTITION BY block ORDER BY place), false) AS before FROM tkn)),
     wrd AS (SELECT block, no, string_agg(word, '' ORDER BY place) AS word FROM isl GROUP BY block, no),
     done AS (SELECT block, count(*) AS n, string_agg(word, ' ' ORDER BY no) AS words FROM wrd GROUP BY block)"""
@@ -166,7 +167,7 @@ ORACLES.update({
     "converted_documents": f"""WITH {POS}, f AS (SELECT DISTINCT tokens[1] || ' ' || tokens[2] AS phrase FROM tok WHERE len(tokens) >= 2), r AS (SELECT '(' || string_agg(phrase, '|' ORDER BY length(phrase) DESC, phrase) || ')' AS p FROM f)
         SELECT doc_id, CAST(coalesce(len(regexp_extract_all(lower(text), p)), 0) AS BIGINT) AS n, md5(regexp_replace(lower(text), p, '[\\1]', 'g')) AS text_md5 FROM documents, r""",
     "event_window_counts": "SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "dict_boundaries": f"""WITH RECURSIVE {POS}, {STOK}, {DICT}
+    "dict_boundaries": f"""WITH {POS}, {STOK}, {DICT}
         SELECT s.doc_id, s.sno, n, words = array_to_string(s.tokens, ' ') AS same, md5(words) AS tokens_md5 FROM stok s JOIN done d ON d.block = array_to_string(s.tokens, '')""",
     "word_pieces": f"WITH RECURSIVE {POS}, {PIECES} SELECT w.word, string_agg(piece, ' ' ORDER BY place) AS pieces FROM w LEFT JOIN whole USING (word) GROUP BY w.word",
     "static_word_vectors": f"WITH RECURSIVE {POS}, {STATIC} SELECT word, " + ", ".join(f"round(vec[{d + 1}], 6) AS x{d}" for d in (0, 5, 11)) + " FROM wv",

@@ -176,9 +176,28 @@ def test_alignment_keeps_columns_and_counts_far_pairs(spark, monkeypatch):
     assert token_alignment.report(docs(spark).limit(0), files).count() == 0
 
 
-def test_merge_of_ends():
-    groups, links = token_alignment.merge([1, 2, 3], [7, 8], [0, 1, 2, 1], [0] * 7 + [3, 1])
-    assert groups == [([1, 2], [7]), ([3], [8])] and links == [(1, 7), (2, 7), (3, 8)]
+def two_pointers(ends_a, ends_b):
+    """Links and groups of two lists of ends, one step at a time."""
+    links, group_a, group_b, i, j, g = [], [], [], 0, 0, 0
+    while i < len(ends_a):
+        links.append((i, j))
+        x, y = ends_a[i], ends_b[j]
+        if x <= y:
+            group_a.append(g)
+            i += 1
+        if y <= x:
+            group_b.append(g)
+            j += 1
+        g += x == y
+    return links, group_a, group_b
+
+
+def test_merge_equals_two_pointers():
+    rng = random.Random(7)
+    for n in [1, 2, 5, 40] * 50:
+        ends = [sorted({n, *rng.sample(range(1, n + 1), rng.randint(0, n))}) for _ in range(2)]
+        links_a, links_b, group_a, group_b = token_alignment.merge(*(np.array(e) for e in ends))
+        assert (list(zip(links_a.tolist(), links_b.tolist())), group_a.tolist(), group_b.tolist()) == two_pointers(*ends)
 
 
 def test_aligner_forgets_within_its_bound(monkeypatch):

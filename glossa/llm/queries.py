@@ -37,7 +37,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import report
 
-    return report(table(spark, sf_dir, "documents"))
+    return report(table(spark, sf_dir, "documents"), unit="byte")  # as the SQL's levenshtein counts
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

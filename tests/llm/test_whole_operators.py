@@ -73,6 +73,21 @@ def test_lines_of_all_lengths_by_brute_force(spark):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: t and "\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i]) for i, t in rows}
 
 
+def test_lines_by_bytes(spark):
+    rng = random.Random(5)
+    rows = [(k, "\n".join("".join(rng.choice("aäöü€") for _ in range(rng.choice([1, 2, 3, 20]))) for _ in range(4))) for k in range(40)]
+    rows += [(50, "Für."), (51, "For."), (52, "För."), (53, "Fär.")]
+    first, want = {}, {}
+    for i, t in rows:
+        for n, line in enumerate(t.split("\n")):
+            first.setdefault(line.encode(), (i, n))
+    for i, t in rows:
+        want[i] = [n for n, line in enumerate(t.split("\n")) if any(first[o] < (i, n) and near(line.encode(), o) for o in first)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: list(r["dropped"]) for r in line_dedup.report(table, unit="byte").collect()} == want
+    assert want[51] == [] and want[52] == [0]
+
+
 def test_suffix_dedup_keeps_all_columns(spark):
     shared = "".join(random.Random(1).choice("abcdefgh") for _ in range(300))
     rows = [(1, "x" + shared + "yé", "l"), (2, shared, "m"), (2, shared, "n"), (3, None, "o"), (None, "short", "p")]

@@ -161,6 +161,23 @@ def test_masks_out_of_reach_have_no_logits(spark):
     assert np.allclose({r["piece"]: r["logit"] for r in got}["cat"], hidden.sum() / np.sqrt(12))
 
 
+def test_best_pieces_come_from_the_task_that_has_the_logits(spark):
+    rng, n = random.Random(4), 70
+    words = ["the", "cat", "sat", "longerword", "on", "a"]
+    rows = [(f"s{k % 9}", k, [rng.choice(words) for _ in range(rng.randint(1, 9))], rng.randint(-1, 8)) for k in range(60)] + [("none", 99, None, 0)]
+    vocabulary = spark.createDataFrame([(f"p{k}", [float((k // 2 * d) % 7 - 3) for d in range(12)]) for k in range(n)], "piece string, vec array<double>")  # pairs of equal vectors
+    requests = spark.createDataFrame(rows, "s string, r int, tokens array<string>, idx int")
+    made = pieces.mask_probabilities(requests, ["s", "r"], hash_encoder, vocabulary, max_len=8, top=5)
+    want = {}
+    for r in pieces.probabilities(pieces.mask_logits(requests, ["s", "r"], hash_encoder, vocabulary, max_len=8), ["s", "r"], 5).collect():
+        want.setdefault((r["s"], r["r"], r["idx"]), {})[r["rank"]] = (r["cand"], r["p"])
+    got = {(r["s"], r["r"], r["idx"]): {b["rank"]: (b["cand"], b["p"]) for b in r["best"]} for r in made.collect()}
+    assert set(got) == set(want) and len(got) == 20 and made.count() == len(got)
+    for key, best in want.items():
+        assert {k: c for k, (c, _) in got[key].items()} == {k: c for k, (c, _) in best.items()}
+        assert np.allclose([got[key][k][1] for k in best], [best[k][1] for k in best])
+
+
 def test_only_candidates_of_one_piece_pass(spark):
     rows = spark.createDataFrame([("s", 0, "w", c) for c in ("a", "una", "unable", "zebra", "un")], "s string, idx int, word string, cand string")
     vocabulary = spark.createDataFrame([(p,) for p in VECTORS], "piece string")

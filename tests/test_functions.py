@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,18 @@ def test_chunks_of_long_texts_take_time_in_proportion():
         assert splitting.chunk(["w", ","] * n, soft=frozenset(",")) and splitting.chunk([" "] * 59 + words)
         took.append(time.perf_counter() - began)
     assert took[1] < 10 * took[0]
+
+
+@pytest.mark.parametrize("block, step", [(1 << 22, 7), (40, 3)])
+def test_ranks_in_small_steps(spark, monkeypatch, block, step):
+    monkeypatch.setattr(similarity, "BLOCK_VALUES", block)
+    monkeypatch.setattr(similarity, "STEP_VALUES", step)
+    rng = np.random.default_rng(2)
+    q, c = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(23, 4)), rng.normal(size=(23, 4))))
+    c[5] = c[9]  # equal candidates favour the query's own
+    made = lambda m: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "row_no long, vec array<double>").repartition(3)
+    sims = q @ c.T
+    want = {k: 1 + int((sims[k] > sims[k, k] + 1e-12).sum()) for k in range(23)}
+    assert {r["row_no"]: r["rank"] for r in similarity.ranks(made(q), made(c)).collect()} == want
+    near = similarity.nearest(made(q).withColumnRenamed("row_no", "item"), made(c), "item", "row_no")
+    assert {r["item"]: r["best_row_no"] for r in near.collect()} == {k: int(sims[k].argmax()) for k in range(23)}

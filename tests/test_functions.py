@@ -179,3 +179,22 @@ def test_ranks_in_small_steps(spark, monkeypatch, block, step):
     assert {r["row_no"]: r["rank"] for r in similarity.ranks(made(q), made(c)).collect()} == want
     near = similarity.nearest(made(q).withColumnRenamed("row_no", "item"), made(c), "item", "row_no")
     assert {r["item"]: r["best_row_no"] for r in near.collect()} == {k: int(sims[k].argmax()) for k in range(23)}
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_listed_variants_equal_joined_ones(spark, limit):
+    rng, words = np.random.default_rng(3), [f"w{k}" for k in range(12)]
+    sentences = spark.createDataFrame([(k, [str(rng.choice([*words, "x", "y"])) for _ in range(int(rng.integers(0, 9)))]) for k in range(60)] + [(99, None), (100, ["w1"])], "s int, tokens array<string>")
+    vec = spark.createDataFrame([(w, rng.normal(size=5).tolist()) for w in words[:10]], "word string, vec array<double>")
+    rows = sorted({(str(rng.choice(["a", "b"])), str(rng.choice(words)), str(rng.choice(words))) for _ in range(90)})
+    pairs = spark.createDataFrame([r for r in rows if r[1] != r[2]], "kind string, word string, cand string")
+    made = augment.listed_variants(sentences, pairs, vec, ["s"], -0.2, -0.3, most=2, limit=limit)
+    got = {(r["s"], r["kind"], r["idx"], r["word"], r["cand"], r["cand_ord"]): (r["word_sim"], r["ctx_sim"]) for r in made.select("s", F.inline("v")).collect()}
+    want, contexts = {}, augment.context_vectors(sentences, vec, ["s"])
+    for kind in ("a", "b"):
+        joined = augment.embedding_filter(contexts, pairs.where(F.col("kind") == kind).select("word", "cand"), vec, -0.2, -0.3)
+        for r in augment.first_candidates(joined, ["s"], 2).collect():
+            want[(r["s"], kind, r["idx"], r["word"], r["cand"], r["cand_ord"])] = (r["word_sim"], r["ctx_sim"])
+    assert set(got) == set(want) and len(want) > 50 and made.count() == 62
+    for key, sims in want.items():
+        assert got[key] == tuple(None if x is None else pytest.approx(x) for x in sims)

@@ -108,6 +108,19 @@ def greedy(word, vocabulary):
     return out if len(word) <= 100 else (["[UNK]"] if "[UNK]" in vocabulary else None)
 
 
+def test_the_compact_dictionary_cuts_as_the_plain_one(spark, monkeypatch):
+    rng = random.Random(8)
+    counts = {"".join(rng.choice("abé1𝒳") for _ in range(rng.randint(1, 6))): rng.randint(1, 9) for _ in range(150)} | {"a" * 32: 5, "a" * 30: 3}
+    texts = ["".join(rng.choice("abé1𝒳 ,\n") for _ in range(rng.randint(0, 80))) for _ in range(200)] + [None, "", "a" * 100]
+    words = spark.createDataFrame(list(counts.items()), "word string, n long")
+    plain, made = segment.Dictionary(counts, sum(counts.values())), segment.compact(words)
+    assert made.tokens(texts) == [plain.tokens(t) for t in texts] == made.tokens(texts)
+    assert made.hashes.nbytes + made.logs.nbytes == 16 * len(counts)
+    monkeypatch.setattr(segment, "STEP_CHARS", 10)
+    monkeypatch.setattr(segment, "KEPT_BLOCKS", 3)
+    assert [made.tokens([t])[0] for t in texts] == [plain.tokens(t) for t in texts]
+
+
 @pytest.mark.parametrize("unknown", [False, True])
 def test_pieces_and_static_vectors(spark, unknown):
     vectors = VECTORS | ({"[UNK]": [0.0, -1.0, 0.0]} if unknown else {})

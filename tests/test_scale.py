@@ -126,3 +126,15 @@ def test_postings_come_back_and_stay_in_blocks(spark):
     scan = sorted((k, d, p) for k, ws in wanted for d, t in rows if d is not None for p in range(len(t)) if t[p : p + len(ws)] == ws)
     assert sorted(tuple(r) for r in postings.phrases(index, asked).collect()) == scan
     assert postings.build(table.limit(0)).count() == 0
+
+
+def test_a_word_is_shuffled_once_for_each_block_of_a_batch(spark):
+    rows = [(7, ["a", "b", "a"]), (7, ["a"]), (None, ["a"]), (8, None), (9, ["b", None, "a"]), (-1, ["a"]), (20, ["a"])]
+    table = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    one = table.coalesce(1)
+    assert postings.partial_lists(one, "doc_id", 16).count() == 4  # a in three blocks, b in one
+    want = [("a", -1, 0), ("a", 7, 0), ("a", 7, 0), ("a", 7, 2), ("a", 9, 2), ("a", 20, 0), ("b", 7, 1), ("b", 9, 0)]
+    for t in (one, table.repartition(7)):
+        index = postings.build(t, block=16)
+        assert sorted((r["word"], r["doc"], r["pos"]) for r in postings.occurrences(index).collect()) == sorted(want)
+        assert {(r["word"], r["block"]): (r["n_docs"], r["n"], r["last"]) for r in index.collect()} == {("a", -1): (1, 1, -1), ("a", 0): (2, 4, 9), ("a", 1): (1, 1, 20), ("b", 0): (2, 2, 9)}

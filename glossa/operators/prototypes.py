@@ -150,7 +150,7 @@ def status_counts(meta: DataFrame) -> DataFrame:
 
 def readable(sentences: DataFrame, least: int = 2) -> DataFrame:
     """Sentences without their blank tokens, of at least `least` others; the words' places are counted without the blanks."""
-    kept = F.filter("tokens", lambda t: F.coalesce(~t.rlike(r"(?U)^\s*$"), F.lit(False)))
+    kept = F.filter("tokens", lambda t: F.coalesce(F.substring(t, 1, 1).between("!", "~") | ~t.rlike(r"(?U)^\s*$"), F.lit(False)))  # most tokens begin with a letter
     return sentences.withColumn("tokens", kept).where(F.size("tokens") >= least)
 
 

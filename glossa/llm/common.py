@@ -54,6 +54,12 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles it however small it is: rounds of small joins would send a table each through the
+    driver, which starts a thread and keeps a copy for each."""
+    return df.hint("merge")
+
+
 def partitions_for(df: DataFrame) -> int:
     """Reduce-side parallelism: the session's setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Rolling, bounded, byte_values, cut, fold_case_table, free_name, grams, mix64, spans, string_buffers, text_or_empty, words_of
+from .common import Rolling, bounded, byte_values, cut, fold_case_table, free_name, grams, mix64, shuffled, spans, string_buffers, text_or_empty, words_of
 from .components import merge_labels
 
 SHINGLE, COORDINATES, MATCHES = 5, 64, 34
@@ -133,12 +133,12 @@ def prefixes(postings: DataFrame, matches: int) -> DataFrame:
     little changes, or PRUNES times.
     """
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1").select("token")
-    left = cut(postings.join(shared, "token"))
+    left = cut(postings.join(shuffled(shared), "token"))
     for _ in range(PRUNES):
         alive = left.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= matches).select("id")
-        left = left.join(alive, "id")
-        left = cut(left.join(left.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "token").select("token", "id"))
-    both = left.join(left.groupBy("token").agg(F.count(F.lit(1)).alias("freq")), "token")
+        left = left.join(shuffled(alive), "id")
+        left = cut(left.join(shuffled(left.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1")), "token").select("token", "id"))
+    both = left.join(shuffled(left.groupBy("token").agg(F.count(F.lit(1)).alias("freq"))), "token")
     by_id = Window.partitionBy("id")
     ranked = both.withColumn("m", F.count(F.lit(1)).over(by_id)).where(F.col("m") >= matches)
     ranked = ranked.withColumn("r", F.row_number().over(by_id.orderBy("freq", "token"))).where(F.col("r") <= F.col("m") - (matches - 1))
@@ -161,14 +161,14 @@ def full_sets(rows: DataFrame, ids: DataFrame, shingle: int, coordinates: int) -
                     ["id", "sig", "codes"],
                 )
 
-    wanted = rows.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    wanted = rows.join(shuffled(ids.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
     return wanted.select("doc_id", "text").mapInArrow(bounded(run), "id long, sig binary, codes binary").distinct()
 
 
 def _sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     """pairs with the column of both sides, as <column>_a and <column>_b."""
     for c in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("id").alias(c), F.col(column).alias(f"{column}_{c}")), c)
+        pairs = pairs.join(shuffled(sets.select(F.col("id").alias(c), F.col(column).alias(f"{column}_{c}"))), c)
     return pairs
 
 
@@ -208,17 +208,17 @@ def links_of(scored: DataFrame, percent: int) -> DataFrame:
 def star(lists: DataFrame, labels: DataFrame, link) -> DataFrame:
     """labels after each class of lists (token, id) has been compared with one head, the one that most of its lists name."""
     heads = lists.groupBy("token").agg(F.min("id").alias("head"))
-    votes = lists.join(heads, "token").where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("votes"))
+    votes = lists.join(shuffled(heads), "token").where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("id").agg(F.max(F.struct("votes", (-F.col("head")).alias("minus"))).alias("top"))
     return merge_labels(labels, link(best.select(F.col("id").alias("a"), (-F.col("top.minus")).alias("b"))))
 
 
 def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """token, id, comp, main: lists that hold several components, and the component with most members there."""
-    member = lists.join(labels, "id").select("token", "id", "comp")
+    member = lists.join(shuffled(labels), "id").select("token", "id", "comp")
     sizes = member.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
     several = sizes.groupBy("token").agg(F.max(F.struct("n", (-F.col("comp")).alias("minus"))).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    return member.join(several.select("token", (-F.col("m.minus")).alias("main")), "token")
+    return member.join(shuffled(several.select("token", (-F.col("m.minus")).alias("main"))), "token")
 
 
 def against_centres(open_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def against_centres(open_: DataFrame, sets: DataFrame) -> DataFrame:
 
     pairs = open_.select(F.col("main").alias("centre"), "id").unionByName(open_.select(F.col("main").alias("centre"), F.col("main").alias("id"))).distinct()
     centres = sets.groupBy(F.col("id").alias("centre")).agg(F.min("codes").alias("codes_centre"))
-    return pairs.join(sets.select("id", "codes"), "id").join(centres, "centre").mapInArrow(bounded(run), "centre long, id long, n long, n_centre long, s long, rest binary")
+    return pairs.join(shuffled(sets.select("id", "codes")), "id").join(shuffled(centres), "centre").mapInArrow(bounded(run), "centre long, id long, n long, n_centre long, s long, rest binary")
 
 
 def shingles_of(rows: DataFrame) -> DataFrame:
@@ -270,25 +270,25 @@ def finer_lists(measured: DataFrame, labels: DataFrame, percent: int) -> DataFra
     the centre alone.  Of two such classes in different components one is not linked with the centre, and so the other is
     smaller than the centre: these meet under sizes.
     """
-    rows = measured.join(labels, "id").withColumn("row", F.xxhash64("centre", "id", "rest"))
+    rows = measured.join(shuffled(labels), "id").withColumn("row", F.xxhash64("centre", "id", "rest"))
     group = rows.groupBy("centre").agg(F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    rows = rows.join(group.select("centre", "least"), "centre")
+    rows = rows.join(shuffled(group.select("centre", "least")), "centre")
     rows = rows.withColumn("m", F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))
     rows = cut(rows.withColumn("need", F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent)) - F.col("s")).where(F.col("need") * 8 <= F.octet_length("rest")))
 
     posted = shingles_of(rows.select("centre", "id", "comp", "row", "need", "rest"))
     shared = posted.groupBy("centre", "code").agg(F.count(F.lit(1)).alias("freq"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("centre", "code", "freq")
     own = Window.partitionBy("centre", "id", "row")
-    ranked = posted.join(shared, ["centre", "code"]).withColumn("have", F.count(F.lit(1)).over(own)).withColumn("r", F.row_number().over(own.orderBy("freq", "code")))
+    ranked = posted.join(shuffled(shared), ["centre", "code"]).withColumn("have", F.count(F.lit(1)).over(own)).withColumn("r", F.row_number().over(own.orderBy("freq", "code")))
     by_shingle = ranked.where(F.col("r") <= F.col("have") - F.greatest(F.col("need"), F.lit(1)) + 1).select(F.xxhash64("centre", "code").alias("token"), "id")
 
     small = rows.where("need <= 0 and n < n_centre")
     sizes = small.select("centre", F.col("n").alias("size")).distinct()
     apart = rows.where("need <= 0").where(F.col("comp") != F.col("centre"))
     fits = F.col("size").between(F.col("m"), F.floor(F.col("s") * (100 + percent) / percent) - F.col("n"))
-    by_size = apart.join(sizes, "centre").where(fits).select("centre", "size", "id")
+    by_size = apart.join(shuffled(sizes), "centre").where(fits).select("centre", "size", "id")
     met = by_size.select("centre", "size").distinct()
-    by_size = by_size.unionByName(small.withColumnRenamed("n", "size").join(met, ["centre", "size"]).select("centre", "size", "id"))
+    by_size = by_size.unionByName(small.withColumnRenamed("n", "size").join(shuffled(met), ["centre", "size"]).select("centre", "size", "id"))
     return by_shingle.unionByName(by_size.select(F.xxhash64(F.lit("size"), "centre", "size").alias("token"), "id")).distinct()
 
 
@@ -315,7 +315,7 @@ def the_rest(prefix: DataFrame, labels: DataFrame, sets: DataFrame, matches: int
         return labels
     labels = star(lists, labels, link)
     member = open_lists(lists, labels)
-    pairs = member.where("comp <> main").join(member.select("token", F.col("id").alias("other"), F.col("comp").alias("comp_other")), "token").where("comp <> comp_other")
+    pairs = member.where("comp <> main").join(shuffled(member.select("token", F.col("id").alias("other"), F.col("comp").alias("comp_other"))), "token").where("comp <> comp_other")
     pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     likely = agreement(pairs, sets).where(F.col("agree") >= matches).select("a", "b")
     return merge_labels(labels, link(likely))
@@ -334,15 +334,15 @@ def groups(
     table = cut(sketch(rows, shingle, coordinates))
     real = table.where("n > 0 and doc_id is not null")
     classes = real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("id"))
-    least = real.join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "h1", "h2", "n"], "left_semi")
+    least = real.join(shuffled(classes.withColumnRenamed("id", "doc_id")), ["doc_id", "h1", "h2", "n"], "left_semi")
     reps = least.select(F.col("doc_id").alias("id"), "sig").distinct()
     labels = components_of(rows, reps, shingle, coordinates, matches, percent)
-    of_class = classes.join(labels, "id", "left").select("h1", "h2", "n", F.coalesce("comp", "id").alias("comp"))
+    of_class = classes.join(shuffled(labels), "id", "left").select("h1", "h2", "n", F.coalesce("comp", "id").alias("comp"))
     # Rows with one id and several texts are in several classes: their components meet in the id.
-    ids = real.join(of_class, ["h1", "h2", "n"]).select("doc_id", "comp")
+    ids = real.join(shuffled(of_class), ["h1", "h2", "n"]).select("doc_id", "comp")
     again = ids.groupBy("doc_id").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     of_class = _join_split_ids(of_class, ids, again)
-    out = table.join(of_class, ["h1", "h2", "n"], "left")
+    out = table.join(shuffled(of_class), ["h1", "h2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -351,10 +351,10 @@ def _join_split_ids(of_class: DataFrame, ids: DataFrame, again: DataFrame) -> Da
     again = cut(again)
     if again.isEmpty():
         return of_class
-    links = ids.join(again.select("doc_id", "lo"), "doc_id").where("comp <> lo").select(F.col("lo").alias("a"), F.col("comp").alias("b")).distinct()
+    links = ids.join(shuffled(again.select("doc_id", "lo")), "doc_id").where("comp <> lo").select(F.col("lo").alias("a"), F.col("comp").alias("b")).distinct()
     comps = of_class.select(F.col("comp").alias("id"), "comp").distinct()
     final = merge_labels(cut(comps), links).withColumnRenamed("comp", "final")
-    return of_class.join(final.withColumnRenamed("id", "comp"), "comp").select("h1", "h2", "n", F.col("final").alias("comp"))
+    return of_class.join(shuffled(final.withColumnRenamed("id", "comp")), "comp").select("h1", "h2", "n", F.col("final").alias("comp"))
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **parameters) -> DataFrame:
@@ -364,5 +364,5 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     id, all stay or none: they are one vertex.  An empty table gives an empty one.
     """
     kept, name = groups(docs, id_column, text_column, **parameters).where("kept and doc_id is not null"), free_name(docs, "kept_id")
-    of_kept = docs.join(kept.select(F.col("doc_id").alias(name)).distinct(), F.col(id_column).cast("long") == F.col(name), "left_semi")
+    of_kept = docs.join(shuffled(kept.select(F.col("doc_id").alias(name)).distinct()), F.col(id_column).cast("long") == F.col(name), "left_semi")
     return of_kept.unionByName(docs.where(F.col(id_column).isNull()))

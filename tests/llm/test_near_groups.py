@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from glossa.llm import components as merging
 from glossa.llm import near_dedup
 
 
@@ -74,3 +75,20 @@ def test_clashing_names(spark):
     rows = spark.createDataFrame([(1, "a b c", 5, 6, 7), (2, "a b c", 5, 6, 7), (None, "a b c", 5, 6, 7)], "doc_id long, text string, kept_id long, kept long, component_id long")
     kept = near_dedup.dedup(rows)
     assert kept.columns == rows.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "None"]
+
+
+def test_components_send_no_table_through_the_driver(spark, monkeypatch):
+    """The plans that ran, small as their tables are: each join of two tables is a shuffle."""
+    plans, cut = [], merging.cut
+
+    def noted(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(merging, "cut", noted)
+    labels = spark.createDataFrame([(i, i) for i in range(40)], "id long, comp long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 35), (35, 39)], "a long, b long")
+    got = {r.id: r.comp for r in merging.merge_labels(labels, links).collect()}
+    assert got == {i: 0 if i <= 20 else 30 if i in (30, 35, 39) else i for i in range(40)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)

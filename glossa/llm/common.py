@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 import tempfile
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,19 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+@contextmanager
+def planned_once(spark: SparkSession):
+    """Plans that run inside are not adaptive.  For rounds of small tables without skewed keys: an adaptive plan takes a
+    job, a thread and a plan of what is left on the driver for each shuffle."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def partitions_for(df: DataFrame) -> int:
     """Reduce-side parallelism: the session's setting."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

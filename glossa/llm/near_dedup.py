@@ -9,8 +9,9 @@ document id under every coordinate-value pair of its signature.  Two classes who
 - lists are not expanded into all pairs.  First each class is compared with one head of a list, the one that most of
   its lists name.  Then, in lists that still hold several components, every class is measured against the centre of the
   main one, and finer lists are made of the shingles that the centre lacks (`finer_lists`): two classes that are not
-  linked through the centre can be linked only if they meet there.  Finer lists have heads too, and only classes that are
-  outside of their main component after that are compared with the others, if enough coordinates agree.
+  linked through the centre can be linked only if they meet there.  In finer lists each class is compared with a few
+  neighbours of an order of the list, and only classes that are outside of their main component after that are compared
+  with the others, if enough coordinates agree.
 
 So every candidate pair is inside one component already, or compared, or out of reach, and groups of near copies take a
 few comparisons a member.  All links are decided on full sets.
@@ -35,6 +36,8 @@ SHINGLE, COORDINATES, MATCHES = 5, 64, 34
 PERCENT = 75
 #: Passes that drop classes without enough shared pairs.
 PRUNES = 1
+#: Places in the order of a finer list over which members are compared before all that are still apart are.
+BESIDE = 2
 
 
 def space_bytes() -> np.ndarray:
@@ -213,6 +216,26 @@ def star(lists: DataFrame, labels: DataFrame, link) -> DataFrame:
     return merge_labels(labels, link(best.select(F.col("id").alias("a"), (-F.col("top.minus")).alias("b"))))
 
 
+def neighbours(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b: members of different components that are among the next BESIDE of each other in an order of their list.
+
+    The order is another one in each list, so a class meets others in each of its lists, and there are at most BESIDE
+    pairs a row.  They only settle in advance what the comparison of all would: neighbours that are parted by the end of
+    a partition or batch are left to that.
+    """
+
+    def run(batches):
+        for batch in batches:
+            token, ids, comp = (np.asarray(batch.column(c)) for c in ("token", "id", "comp"))
+            for k in range(1, BESIDE + 1):
+                at = np.flatnonzero((token[k:] == token[:-k]) & (comp[k:] != comp[:-k]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], ids[at + k])), pa.array(np.maximum(ids[at], ids[at + k]))], ["a", "b"])
+
+    member = lists.join(shuffled(labels), "id").select("token", "id", "comp", F.xxhash64("token", "id").alias("place"))
+    dealt = member.repartitionByRange("token", "place").sortWithinPartitions("token", "place")
+    return dealt.select("token", "id", "comp").mapInArrow(bounded(run), "a long, b long").distinct()
+
+
 def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """token, id, comp, main: lists that hold several components, and the component with most members there."""
     member = lists.join(shuffled(labels), "id").select("token", "id", "comp")
@@ -313,7 +336,7 @@ def the_rest(prefix: DataFrame, labels: DataFrame, sets: DataFrame, matches: int
     lists = cut(finer_lists(measured, labels, percent))
     if lists.isEmpty():
         return labels
-    labels = star(lists, labels, link)
+    labels = merge_labels(labels, link(neighbours(lists, labels)))
     member = open_lists(lists, labels)
     pairs = member.where("comp <> main").join(shuffled(member.select("token", F.col("id").alias("other"), F.col("comp").alias("comp_other"))), "token").where("comp <> comp_other")
     pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()

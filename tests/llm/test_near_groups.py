@@ -92,3 +92,17 @@ def test_components_send_no_table_through_the_driver(spark, monkeypatch):
     got = {r.id: r.comp for r in merging.merge_labels(labels, links).collect()}
     assert got == {i: 0 if i <= 20 else 30 if i in (30, 35, 39) else i for i in range(40)}
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_rounds_of_components_are_single_jobs(spark):
+    """A hub with many members takes one round, whose plans are no adaptive ones; the session's setting is as before."""
+    labels = spark.createDataFrame([(i, i) for i in range(200)], "id long, comp long")
+    links = spark.createDataFrame([(0, i) for i in range(1, 150)] + [(i, i + 1) for i in range(150, 154)], "a long, b long")
+    before, sc = spark.conf.get("spark.sql.adaptive.enabled"), spark.sparkContext
+    sc.setJobGroup("merge", "merge")
+    merged = merging.merge_labels(labels, links)
+    sc.setJobGroup("after", "after")
+    got = {r.id: r.comp for r in merged.collect()}
+    assert got == {i: 0 if i < 150 else 150 if i <= 154 else i for i in range(200)}
+    assert len(sc.statusTracker().getJobIdsForGroup("merge")) <= 16
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before

@@ -19,6 +19,9 @@ CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch that goes to Python.
 BATCH_BYTES = 1 << 22
 
+#: Rows of a partition in rounds of small tables.
+ROUND_ROWS = 1 << 16
+
 MASK64 = (1 << 64) - 1
 
 
@@ -62,16 +65,21 @@ def shuffled(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def planned_once(spark: SparkSession):
-    """Plans that run inside are not adaptive.  For rounds of small tables without skewed keys: an adaptive plan takes a
-    job, a thread and a plan of what is left on the driver for each shuffle."""
-    key = "spark.sql.adaptive.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+def planned_once(spark: SparkSession, rows: int):
+    """Plans that run inside are not adaptive, and their shuffles have as many partitions as tables of so many rows take.
+
+    For rounds of small tables without skewed keys: an adaptive plan takes a job, a thread and a plan of what is left on
+    the driver for each shuffle.
+    """
+    wanted = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1 + rows // ROUND_ROWS))}
+    before = {key: spark.conf.get(key) for key in wanted}
     try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def partitions_for(df: DataFrame) -> int:

@@ -26,8 +26,8 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges, hooks = links.join(shuffled(left), "a").join(shuffled(right), "b").select(F.least("ca", "cb").alias("u"), F.greatest("ca", "cb").alias("v")), []
     edges = cut(edges.where("u < v").distinct())
     while True:
-        with planned_once(spark):
-            done = edges.count() == 0
+        rows = edges.count()
+        done = rows == 0
         if hooks and (done or len(hooks) == TOGETHER):
             for hook in hooks:
                 labels = move(labels, "comp", hook)
@@ -35,7 +35,7 @@ def merge_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
         if done:
             sweep(spark)
             return labels
-        with planned_once(spark):
+        with planned_once(spark, rows):
             hook = edges.groupBy("v").agg(F.min("u").alias("least")).withColumn("p", F.col("least"))
             for _ in range(2):
                 up = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))

@@ -106,3 +106,25 @@ def test_rounds_of_components_are_single_jobs(spark):
     assert got == {i: 0 if i < 150 else 150 if i <= 154 else i for i in range(200)}
     assert len(sc.statusTracker().getJobIdsForGroup("merge")) <= 16
     assert spark.conf.get("spark.sql.adaptive.enabled") == before
+
+
+def test_dense_group_is_settled_by_neighbours(spark, monkeypatch):
+    """Copies around one text, each linked with many others: few pairs are left to the comparison of all that are apart."""
+    rng, compared, agreement = random.Random(5), [], near_dedup.agreement
+
+    def noted(pairs, sets):
+        compared.append(pairs.count())
+        return agreement(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "agreement", noted)
+    base = [f"w{rng.randrange(10_000)}" for _ in range(150)]
+    variants = [(rng.randrange(len(base)), f"e{k}") for k in range(12)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for k, word in rng.sample(variants, 4):
+            words[k] = word
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components(rows)
+    assert sum(compared) < 3 * len(rows)
